@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from isohyet.llm import mixing, sharding
+from isohyet.llm import chat, mixing, sharding
 
 QUERIES = {
     "op2_systematic_mix": mixing.op2_systematic_mix,
+    "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op10_sampled_splitters": sharding.op10_sampled_splitters,
 }
 
