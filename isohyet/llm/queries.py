@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from isohyet.llm import chat, mixing, sharding
+from isohyet.llm import chat, mixing, sharding, simhash
 
 QUERIES = {
     "op2_systematic_mix": mixing.op2_systematic_mix,
+    "op7_pigeonring_groups": simhash.op7_pigeonring_groups,
     "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op10_sampled_splitters": sharding.op10_sampled_splitters,
 }
