@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from isohyet.llm import chat, mixing, quality, sharding, simhash, toxicity
+from isohyet.llm import chat, decontamination, mixing, quality, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
     "op2_systematic_mix": mixing.op2_systematic_mix,
+    "op3_simhash_windows": decontamination.op3_simhash_windows,
     "op7_pigeonring_groups": simhash.op7_pigeonring_groups,
     "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op9_classifier_chain": toxicity.op9_classifier_chain,
