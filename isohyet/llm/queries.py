@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from isohyet.llm import ann, chat, decontamination, mixing, quality, sharding, simhash, toxicity
+from isohyet.llm import ann, chat, decontamination, mixing, quality, repeats, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
     "op2_systematic_mix": mixing.op2_systematic_mix,
     "op3_simhash_windows": decontamination.op3_simhash_windows,
+    "op4_suffix_array_family": repeats.op4_suffix_array_family,
     "op5_hnsw_shards": ann.op5_hnsw_shards,
     "op7_pigeonring_groups": simhash.op7_pigeonring_groups,
     "op8_budgeted_windows": chat.op8_budgeted_windows,
