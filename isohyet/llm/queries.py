@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isohyet.llm import ann, chat, decontamination, mixing, quality, repeats, sharding, simhash, toxicity
+from isohyet.llm import ann, chat, decontamination, lm, mixing, quality, repeats, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash_windows": decontamination.op3_simhash_windows,
     "op4_suffix_array_family": repeats.op4_suffix_array_family,
     "op5_hnsw_shards": ann.op5_hnsw_shards,
+    "op6_katz_backoff": lm.op6_katz_backoff,
     "op7_pigeonring_groups": simhash.op7_pigeonring_groups,
     "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op9_classifier_chain": toxicity.op9_classifier_chain,
