@@ -16,9 +16,12 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from isohyet.llm import tokens as T
 from isohyet.llm.common import arrow, cut, table
 from isohyet.llm.graph import components
+from isohyet.llm.toxicity import word_sets
 
 RADIUS = 4
 #: Segments from the lowest bit, as (first bit, bits).
@@ -164,3 +167,105 @@ def near_groups(fps: DataFrame) -> DataFrame:
 def op7_pigeonring_groups(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_groups(with_fingerprints(docs)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+#: Word-set fingerprints of a text, each by another seed. Two texts whose five-word shingles are 0.8 similar share about
+#: 96% of their words; each seed brings such a pair within RADIUS more often than not, and one is enough.
+SEEDS = 6
+WORDS, SIMILARITY = 5, 0.8
+
+
+def set_fingerprints(texts: pa.Array) -> np.ndarray:
+    """Fingerprints (texts x SEEDS) of the sets of words; 0 without words."""
+    out = np.zeros((len(texts), SEEDS), np.uint64)
+    for d, h in word_sets(texts):
+        if not len(d):
+            continue
+        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
+        n = np.diff(np.r_[first, len(d)])
+        for s in range(SEEDS):
+            x = T.mix(h + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
+            over = np.add.reduceat(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
+            out[d[first], s] = np.packbits(2 * over > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[bytes]:
+    """Sorted hashes of each text's shingles, repeats included; fewer words than k make one shingle."""
+    out = [b""] * len(texts)
+    for first, data, offsets in T.chunks(texts):
+        w = T.words(data, offsets)
+        g, at = T.grams(w.hash, w.doc, k)
+        doc = w.doc[at]
+        order = np.lexsort((g, doc))
+        ends = np.searchsorted(doc, np.arange(len(offsets)))
+        for i in range(len(offsets) - 1):
+            out[first + i] = g[order[ends[i] : ends[i + 1]]].tobytes()
+        n = np.bincount(w.doc, minlength=len(offsets) - 1)
+        for i in np.flatnonzero((n > 0) & (n < k)):
+            own = w.hash[w.doc == i]
+            out[first + i] = T.grams(own, np.zeros(len(own), int), len(own))[0].tobytes()
+    return out
+
+
+def similarity(a: np.ndarray, b: np.ndarray) -> float:
+    """Sum of minima over sum of maxima of two sorted multisets; 1 for two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    both = int(np.minimum(n[i], m[j]).sum())
+    return both / (len(a) + len(b) - both)
+
+
+def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
+    """Keeps one document of each group of near duplicates, with the columns of docs.
+
+    Candidates are texts with a word-set fingerprint within RADIUS, found as in links(); they are linked if the
+    weighted similarity of their five-word shingles is at least `least`; groups are what links connect. The smallest
+    doc_id of a group stays (nulls first), once. Null counts as empty, texts without words are one group. An empty
+    table gives an empty table.
+    """
+    arrow(docs.sparkSession)
+    keyed = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
+
+    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            fps = set_fingerprints(b.column(2)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(fps[:, s])) for s in range(SEEDS))], ["id", "th", *(f"f{s}" for s in range(SEEDS))])
+
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    rows = cut(keyed.select("doc_id", "__th", "__text").mapInArrow(prints, f"id {ids}, th long, " + ", ".join(f"f{s} long" for s in range(SEEDS))), "word-set-fingerprints")
+    first = F.min(F.struct("id"))
+    texts = cut(rows.groupBy("th").agg(first.alias("first"), *[F.first(f"f{s}").alias(f"f{s}") for s in range(SEEDS)]), "texts")
+    edges = None
+    for s in range(SEEDS):
+        owner = texts.groupBy(F.col(f"f{s}").alias("fp")).agg(F.min("th").alias("rep"))
+        same = texts.join(owner, F.col(f"f{s}") == F.col("fp")).where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+        linked = links(owner.select("fp"))
+        near = linked.join(owner.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(owner.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
+        more = same.unionByName(near)
+        edges = more if edges is None else edges.unionByName(more)
+    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
+
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("th")).distinct()
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shingle_sets(b.column(1)), pa.binary())], ["th", "set"])
+
+    one = texts.join(wanted, "th", "left_semi").select(F.col("th").alias("__t"), F.col("first.id").alias("__i"))
+    sample = keyed.select("doc_id", "__th", "__text").join(one, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__i"))).select("__th", "__text")
+    known = cut(sample.mapInArrow(sets, "th long, set binary").dropDuplicates(["th"]), "shingles")
+
+    @F.arrow_udf("double")
+    def alike(a: pa.Array, b: pa.Array) -> pa.Array:
+        return pa.array([similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)], pa.float64())
+
+    pairs = edges.join(known.select(F.col("th").alias("a"), F.col("set").alias("sa")), "a").join(known.select(F.col("th").alias("b"), F.col("set").alias("sb")), "b")
+    roots = components(pairs.withColumn("sim", alike("sa", "sb")).where(F.col("sim") >= least - 1e-9).select("a", "b"))
+    group = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
+    stay = group.groupBy("root").agg(F.min(F.struct("first", "th")).alias("s")).select(F.col("s.th").alias("__t"), F.col("s.first.id").alias("__i"))
+    kept = keyed.join(stay, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__i")))
+    rank = F.row_number().over(Window.partitionBy("__th").orderBy(F.lit(0)))
+    return kept.withColumn("__rank", rank).where("__rank = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
