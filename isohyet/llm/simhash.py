@@ -88,12 +88,14 @@ def chain(x: np.ndarray, start: np.ndarray) -> np.ndarray:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(fp), distinct -> (a, b): links that connect all that links of RADIUS or less connect.
+    """(s, fp), distinct -> (s, a, b): links within each s that connect all that links of RADIUS or less connect.
+
+    s, from 0, numbers kinds of fingerprint that are not compared with each other.
 
     A bucket over PART fingerprints is dealt out as pairs of parts, so no task holds more than two parts and no pair
     is missed. Within a large bucket only links between so far unconnected fingerprints are given.
     """
-    at = fps.select("fp", F.explode(keys(F.col("fp"))).alias("key"))
+    at = fps.select("s", "fp", F.explode(keys(F.col("fp"))).alias("key")).select("fp", (F.col("key") + F.shiftleft(F.col("s").cast("long"), 40)).alias("key"))
     large = at.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     g = F.ceil(F.coalesce("n", F.lit(1)) / PART)
     mine = F.pmod(F.xxhash64("fp"), g)
@@ -106,7 +108,7 @@ def links(fps: DataFrame) -> DataFrame:
         size = np.diff(cuts)
         found = []
         run = np.repeat(np.arange(len(size)), size)
-        start = ((key >> 32) // 2).astype(np.int64)
+        start, kind = ((key >> 32) & 255) // 2, key >> 40
         inside = np.flatnonzero(size[run] <= SMALL) if len(key) else run
         for s in range(1, min(SMALL, size.max(initial=1))):
             i = inside[inside + s < len(key)]
@@ -114,7 +116,7 @@ def links(fps: DataFrame) -> DataFrame:
             if not len(i):
                 break
             ok = i[chain(fp[i] ^ fp[i + s], start[i])]
-            found.append(np.stack([fp[ok], fp[ok + s]]))
+            found.append(np.stack([fp[ok], fp[ok + s], kind[ok].astype(np.uint64)]))
         for a, b in ((cuts[k], cuts[k + 1]) for k in np.flatnonzero(size > SMALL)):
             f, st = fp[a:b], start[a:b]
             label = np.arange(b - a)
@@ -123,10 +125,10 @@ def links(fps: DataFrame) -> DataFrame:
                 j = j[chain(f[j] ^ f[i], st[j])]
                 if len(j):
                     other, k = np.unique(label[j], return_index=True)
-                    found.append(np.stack([np.full(len(k), f[i]), f[j[k]]]))
+                    found.append(np.stack([np.full(len(k), f[i]), f[j[k]], np.full(len(k), kind[a], np.uint64)]))
                     label[np.isin(label, other)] = label[i]
-        e = np.concatenate(found, axis=1) if found else np.zeros((2, 0), np.uint64)
-        return pa.RecordBatch.from_arrays([pa.array(e[0].view(np.int64)), pa.array(e[1].view(np.int64))], ["a", "b"])
+        e = (np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.uint64)).view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(e[2].astype(np.int32)), pa.array(e[0]), pa.array(e[1])], ["s", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[np.ndarray] = []
@@ -147,7 +149,7 @@ def links(fps: DataFrame) -> DataFrame:
         if n:
             yield take(np.concatenate(kept, axis=1))
 
-    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "a long, b long").distinct()
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "s int, a long, b long").distinct()
 
 
 def near_groups(fps: DataFrame) -> DataFrame:
@@ -158,7 +160,7 @@ def near_groups(fps: DataFrame) -> DataFrame:
     """
     fps = cut(fps, "fingerprints")
     each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
-    roots = components(links(each.select("fp")))
+    roots = components(links(each.select(F.lit(0).alias("s"), "fp")))
     own = each.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = own.groupBy("root").agg(F.min("least").alias("component_id"))
     return fps.join(own.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
@@ -238,14 +240,13 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = cut(keyed.select("doc_id", "__th", "__text").mapInArrow(prints, f"id {ids}, th long, " + ", ".join(f"f{s} long" for s in range(SEEDS))), "word-set-fingerprints")
     first = F.min(F.struct("id"))
     texts = cut(rows.groupBy("th").agg(first.alias("first"), *[F.first(f"f{s}").alias(f"f{s}") for s in range(SEEDS)]), "texts")
-    edges = None
-    for s in range(SEEDS):
-        owner = texts.groupBy(F.col(f"f{s}").alias("fp")).agg(F.min("th").alias("rep"))
-        same = texts.join(owner, F.col(f"f{s}") == F.col("fp")).where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
-        linked = links(owner.select("fp"))
-        near = linked.join(owner.select(F.col("fp").alias("a"), F.col("rep").alias("ra")), "a").join(owner.select(F.col("fp").alias("b"), F.col("rep").alias("rb")), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b"))
-        more = same.unionByName(near)
-        edges = more if edges is None else edges.unionByName(more)
+    each = texts.select("th", F.posexplode(F.array(*[f"f{s}" for s in range(SEEDS)])).alias("s", "fp"))
+    owner = cut(each.groupBy("s", "fp").agg(F.min("th").alias("rep")), "owners")
+    same = each.join(owner, ["s", "fp"]).where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
+    near = links(owner.select("s", "fp"))
+    for end in ("a", "b"):
+        near = near.join(owner.select("s", F.col("fp").alias(end), F.col("rep").alias(f"r{end}")), ["s", end])
+    edges = same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
     edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
 
     wanted = edges.select(F.explode(F.array("a", "b")).alias("th")).distinct()
