@@ -61,7 +61,7 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def logistic(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, use: np.ndarray, n: int, l2: float = 0.1) -> np.ndarray:
+def logistic(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray, use: np.ndarray, n: int, l2: float = 1.0) -> np.ndarray:
     """Weights of n words, of the extra columns and the intercept; full-batch Adam on the rows in use."""
     m = use[row]
     row, col, x = row[m], col[m], np.c_[extra, np.ones(len(y))]
