@@ -116,8 +116,31 @@ def grid_edges(row, col, moves=QUEEN) -> list[tuple[int, int]]:
     return [(i, j) for (r, c), i in at.items() for a, b in moves if (j := at.get((r + a, c + b))) is not None and i < j]
 
 
-def agglomerate(x: np.ndarray, edges, k: int, linkage: str = "ward", metric: str = "euclidean") -> np.ndarray:
-    """Labels of k clusters merged along edges only; nearest components of an unconnected graph are linked first."""
+def relative_gap(merges) -> float | None:
+    """Where to cut a tree: amid the largest step, relative to the distance before it, of the upper two thirds of the
+    merge distances."""
+    d = np.sort(np.asarray(merges, float))
+    if len(d) < 2:
+        return None
+    step = np.diff(d) / np.where(d[:-1] == 0, 1e-12, d[:-1])
+    step[: len(d) // 3] = -np.inf
+    i = int(np.argmax(step))
+    return float((d[i] + d[i + 1]) / 2)
+
+
+def auto_k(x: np.ndarray, edges, linkage: str = "ward", metric: str = "euclidean") -> int:
+    """Number of clusters below the cut at the largest relative gap."""
+    merges: list[float] = []
+    agglomerate(x, edges, 1, linkage, metric, merges)
+    cut = relative_gap(merges)
+    return 1 if cut is None else 1 + int((np.array(merges) > cut).sum())
+
+
+def agglomerate(x: np.ndarray, edges, k: int, linkage: str = "ward", metric: str = "euclidean", merges: list[float] | None = None) -> np.ndarray:
+    """Labels of k clusters merged along edges only; nearest components of an unconnected graph are linked first.
+
+    merges, if given, takes the distances of the merges.
+    """
     n = len(x)
     dist = (lambda a, b: float(np.abs(a - b).sum())) if metric == "manhattan" else (lambda a, b: float(np.sqrt(((a - b) ** 2).sum())))
     edges = list(edges)
@@ -146,6 +169,8 @@ def agglomerate(x: np.ndarray, edges, k: int, linkage: str = "ward", metric: str
         if a not in member or b not in member or near[a].get(b) != d:
             continue
         new, fresh = fresh, fresh + 1
+        if merges is not None:
+            merges.append(d)
         member[new] = member.pop(a) + member.pop(b)
         size[new] = size[a] + size[b]
         centre[new] = (centre[a] * size[a] + centre[b] * size[b]) / size[new]

@@ -84,7 +84,7 @@ CONFIGS = [("ward", "euclidean"), ("average", "euclidean"), ("average", "manhatt
 def cluster_configs(cells: DataFrame, ks, least_fraction: float = 0.0, configs=CONFIGS, connectivity: str = "queen") -> DataFrame:
     """(cell, row, col, value) -> (linkage, metric, k_req, k_found, q, p, labels): one task for each configuration.
 
-    Features are value, row and col, each scaled. A configuration gets the whole grid, which is what one clustering needs.
+    Features are value, row and col, each scaled. k = 0 asks for the k of the largest relative gap. A configuration gets the whole grid, which is what one clustering needs.
     """
     grid = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "row", "col", "value"))).alias("grid"))
     asked = F.explode(F.array(*[F.struct(F.lit(a).alias("linkage"), F.lit(b).alias("metric"), F.lit(int(k)).alias("k_req")) for k in ks for a, b in configs]))
@@ -99,7 +99,8 @@ def cluster_configs(cells: DataFrame, ks, least_fraction: float = 0.0, configs=C
             x = (x - x.mean(0)) / np.where(sd == 0, 1, sd)
             rows, cols = g.row.tolist(), g.col.tolist()
             edges = kernels.grid_edges(rows, cols, QUEEN if connectivity == "queen" else ROOK)
-            labels = kernels.agglomerate(x, edges, r.k_req, r.linkage, r.metric) if edges else np.arange(len(g))
+            k = r.k_req or kernels.auto_k(x, edges, r.linkage, r.metric)
+            labels = kernels.agglomerate(x, edges, k, r.linkage, r.metric) if edges else np.arange(len(g))
             labels = np.unique(kernels.merge_tiny(labels, rows, cols, max(5, int(len(g) * least_fraction)) if least_fraction else 1), return_inverse=True)[1]
             q = kernels.q_statistic(g.value, labels)
             out.append((r.linkage, r.metric, r.k_req, int(labels.max()) + 1, q["q"], q["p"], labels.tolist()))

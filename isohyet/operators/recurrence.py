@@ -130,20 +130,28 @@ def theiler_windows(curves: DataFrame, keys: list[str], within: int = 30) -> Dat
     return curves.groupBy(*keys).applyInPandas(cut, schema)
 
 
-def surrogates(state: DataFrame, count: int = 99, q: float = 0.1, theiler: int = 0, cosine: bool = True, rounds: int = 20, batch: int = 11) -> DataFrame:
-    """(win, surr, det, lam, entr, lmean) of seeded IAAFT surrogates; a task takes some surrogates of one window."""
-    packed = state.groupBy("win").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows")).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit((count - 1) // batch))))
+def surrogates(state: DataFrame, count: int = 99, q: float = 0.1, theiler: int = 0, cosine: bool = True, rounds: int = 20, batch: int = 11, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, surr, det, lam, entr, lmean) of seeded IAAFT surrogates; a task takes some surrogates of one window.
+
+    A column theiler of the state overrides the parameter. Keys are whole numbers, which seed the surrogates.
+    """
+    kinds = dict(state.dtypes)
+    tw = F.max("theiler") if "theiler" in kinds else F.lit(theiler)
+    parts = F.explode(F.sequence(F.lit(0), F.lit((count - 1) // batch)))
+    packed = state.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"), tw.alias("tw")).withColumn("part", parts)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        win, part = int(t.win.iloc[0]), int(t.part.iloc[0])
+        at = {k: int(t[k].iloc[0]) for k in keys}
+        part = int(t.part.iloc[0])
         x = np.array([r["x"] for r in t.rows.iloc[0]], float)
         out = []
         for k in range(part * batch, min(count, (part + 1) * batch)):
-            y = kernels.iaaft(x, np.random.default_rng([win, k]), rounds)
-            out.append({"win": win, "surr": k} | kernels.line_metrics(kernels.recurrence(y, q, theiler, cosine)))
+            y = kernels.iaaft(x, np.random.default_rng([*at.values(), k]), rounds)
+            out.append(at | {"surr": k} | kernels.line_metrics(kernels.recurrence(y, q, int(t.tw.iloc[0]), cosine)))
         return pd.DataFrame(out)
 
-    return packed.groupBy("win", "part").applyInPandas(run, "win long, surr int, det double, lam double, entr double, lmean double")
+    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", surr int, det double, lam double, entr double, lmean double"
+    return packed.groupBy(*keys, "part").applyInPandas(run, schema)
 
 
 def rank_test(observed: DataFrame, surr: DataFrame, value: str, keys: list[str], alpha: float = 0.05) -> DataFrame:

@@ -114,6 +114,12 @@ def recurrence_series(z: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame
     p = R.pairs(rows, 0, keys=keys).join(F.broadcast(tw), "community").where(F.abs(F.col("i") - F.col("j")) > F.col("theiler")).drop("theiler")
     got = R.nulled(R.line_metrics(R.recurrences(p, cfg.q, keys=keys), size, keys=keys), METRICS)
     got = got.join(W.midpoints(w, size), "win")
+    if cfg.surrogates:
+        surr = hold(R.surrogates(rows.join(F.broadcast(tw), "community"), cfg.surrogates, cfg.q, keys=keys))
+        got = hold(got)
+        for m in METRICS:
+            test = R.rank_test(got.where(F.col(m).isNotNull()), surr, m, list(keys)).drop(m)
+            got = got.join(test.withColumnsRenamed({"low": f"{m}_surr_low", "high": f"{m}_surr_high", "p": f"{m}_p", "significant": f"{m}_rank_sig"}), list(keys), "left")
     for m in METRICS:
         got = W.smooth(got, m, cfg.median_days, keys=["community"])
     return got

@@ -497,6 +497,25 @@ def rqa_with_rain(spark, d):
     return R.line_metrics(rec(spark, d), STATE).select("win", *r6("det")).join(rain, "win", "left")
 
 
+@query("rank_test", on_cube("SELECT cell, obs, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round((count(*) FILTER (WHERE v >= obs) + 1) / (count(*) + 1.0), 6) AS p, (count(*) FILTER (WHERE v >= obs) + 1) / (count(*) + 1.0) <= 0.3 AS significant FROM yearly JOIN (SELECT cell, v AS obs FROM yearly WHERE y = 1998) USING (cell) GROUP BY 1, 2", YEARLY))
+def rank_test(spark, d):
+    y = yearly(spark, d)
+    got = R.rank_test(y.where("y = 1998"), y, "v", ["cell"], 0.3)
+    return got.select("cell", F.col("v").alias("obs"), *r6("low", "high", "p"), "significant")
+
+
+@query("dedupe_partitions", "SELECT label, q, k_req FROM (SELECT k_req % 3 AS label, q, k_req, row_number() OVER (PARTITION BY k_req % 3 ORDER BY q DESC, k_req) AS r FROM (SELECT l_linenumber AS k_req, round(avg(l_discount), 6) AS q FROM lineitem GROUP BY 1)) WHERE r = 1")
+def dedupe_partitions(spark, d):
+    found = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("k_req")).agg(F.round(F.avg("l_discount"), 6).alias("q"))
+    found = found.withColumns({"labels": F.array(F.col("k_req") % 3), "linkage": F.lit("ward"), "metric": F.lit("euclidean")})
+    return G.distinct_partitions(found).select(F.col("labels")[0].alias("label"), "q", "k_req")
+
+
+@query("zero_counts", lines() + "SELECT count(*) FILTER (WHERE det = 0) AS det, count(*) FILTER (WHERE lam = 0) AS lam FROM (" + METRICS + ")")
+def zero_counts(spark, d):
+    return R.zero_counts(R.line_metrics(rec(spark, d), STATE), ["det", "lam"])
+
+
 # Without an SQL twin: factorisations, knees, clusterings.
 
 
@@ -512,12 +531,12 @@ def svd_window(spark, d):
 
 @query("window_communities")
 def window_communities(spark, d):
-    return S.communities(matrix(spark, d), 0.2)
+    return S.communities(matrix(spark, d), 0.05)
 
 
 @query("community_heatmap")
 def community_heatmap(spark, d):
-    got = hold(S.communities(matrix(spark, d), 0.2))
+    got = hold(S.communities(matrix(spark, d), 0.05))
     return G.heatmap(got, cells(spark, d), 7, G.least_size(G.sizes(got, ["win"])))
 
 
@@ -537,6 +556,11 @@ def k_choice(spark, d):
     return G.k_frequency(found).withColumn("chosen", F.lit(G.choose_k(found)))
 
 
+@query("auto_k")
+def auto_k(spark, d):
+    return swept(spark, d, [0]).select("linkage", "metric", "k_found", "q")
+
+
 @query("smooth_clusters")
 def smooth_clusters(spark, d):
     return G.smooth_labels(rough_labels(spark, d), 0.1)

@@ -62,11 +62,12 @@ def test_whole_analysis(spark):
     wave = np.sin(np.arange(360) * 2 * np.pi / 30)
     rows = [(d, 10 + r * 0.5, 70 + c * 0.5, float(max(0, 3 + (2 * wave[k] if r < 3 else 0) + rng.normal()))) for k, d in enumerate(days) for r in range(6) for c in range(6)]
     cube = spark.createDataFrame(rows, "time date, lat double, lon double, rainfall double")
-    cfg = analysis.Config(window=30, months=None, ks=range(2, 6), trend_periods=[(2000, 2001)], heatmap_periods=[(2000, 2000)])
+    cfg = analysis.Config(window=30, months=None, ks=range(2, 6), surrogates=9, trend_periods=[(2000, 2001)], heatmap_periods=[(2000, 2000)])
     got = analysis.run_pipeline(spark, cube, cfg)
     assert got["heatmap"].count() == 36
     assert got["communities"].count() == 36
     assert got["rqa"].select("win").distinct().count() == (360 - 180) // 30 + 1
+    assert {"det_rank_sig", "lam_surr_low", "entr_med"} <= set(got["rqa"].columns)
     assert {r.metric for r in got["trends"].select("metric").distinct().collect()} == {*analysis.METRICS, *analysis.RAIN}
 
 
