@@ -61,15 +61,16 @@ def quantiles(sample: list[int], parts: int) -> list[int]:
     return sorted({x if h in alone else h << LOW for x, h in zip(at, high)})
 
 
-def split(docs: DataFrame, shards: int = 24, ranges: int = RANGES, seed: int = 7) -> DataFrame:
+def split(docs: DataFrame, shards: int = 24, ranges: int = RANGES, seed: int = 7, key: Column | None = None, size: Column | None = None) -> DataFrame:
     """Returns docs with shard (0 to shards - 1) and slot (gapless from 0 in its shard), near equal in bytes.
 
     A record weighs its text's UTF-8 bytes plus 8 (null text: 8). Equal texts share a shard unless they
     outgrow a range or meet a shard's end. Rows that agree in id and text are kept apart as rows. An empty table
-    gives an empty table; columns of docs named shard or slot are replaced.
+    gives an empty table; columns of docs named shard or slot are replaced. key and size are sort_key() and size_of()
+    of the text, unless docs has them already and no longer its text.
     """
     docs = docs.drop("shard", "slot")
-    with_key = docs.withColumns({"__key": sort_key(F.col("doc_id"), F.col("text")), "__size": size_of("text")})
+    with_key = docs.withColumns({"__key": sort_key(F.col("doc_id"), F.col("text")) if key is None else key, "__size": size_of("text") if size is None else size})
     keys = cut(with_key.select(F.col("__key").alias("key"), F.col("__size").alias("size")), "shard-keys")
     weight = keys.agg(F.sum("size")).first()[0] or 0
     parts = shards * ranges
@@ -107,8 +108,8 @@ def size_of(text: str) -> Column:
 
 
 def op10_sampled_splitters(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return split(docs, 24).select(
-        "doc_id", size_of("text").alias("size"), F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
-    )
+    docs = table(spark, sf_dir, "documents")
+    crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    docs = docs.select("doc_id", size_of("text").alias("size"), crc.alias("text_crc32"), sort_key(F.col("doc_id"), F.col("text")).alias("key"))
+    out = split(docs, 24, key=F.col("key"), size=F.col("size"))
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
