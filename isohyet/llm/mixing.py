@@ -58,18 +58,20 @@ def copies(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: str = "mix"
     size = F.col("size")
     level = F.floor(F.log2(size + 1.0) * 4 + 1e-9).cast("int")
     sized = docs.withColumn("size", n_words(F.col("text"))).withColumns({"__h": h, "__t": hash_hex(F.col("text")), "__bin": F.concat(F.lpad(level.cast("string"), 4, "0"), F.substring(h, 1, HEX))})
-    bins = cut(sized.groupBy("source", "__bin").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-bins")
+    # One key without nulls serves the ranking and the join, so documents move once.
+    sized = sized.withColumn("__g", F.concat(F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n")), "__bin"))
+    bins = cut(sized.groupBy("source", "__bin", "__g").agg(F.count("*").alias("n"), F.sum("size").alias("size")), "mix-bins")
     rates = targets(bins.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most)
     before = Window.partitionBy("source").orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
     starts = bins.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).join(rates.withColumnRenamed("source", "__s"), F.col("source").eqNullSafe(F.col("__s"))).drop("__s", "n", "size", "weight")
-    starts = cut(starts.select(F.col("source").alias("__s"), F.col("__bin").alias("__b"), "before", "source_size", "target"), "mix-starts")
-    rank = F.row_number().over(Window.partitionBy("source", "__bin").orderBy("size", "__h", "__t"))
-    placed = sized.withColumn("__rank", rank).join(starts, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__bin") == F.col("__b")))
+    starts = cut(starts.select("__g", F.col("before").alias("__before"), "source_size", "target"), "mix-starts")
+    rank = F.row_number().over(Window.partitionBy("__g").orderBy("size", "__h", "__t"))
+    placed = sized.withColumn("__rank", rank).join(starts, "__g")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     offset = F.conv(F.substring(hash_hex(F.concat(F.lit(seed + "|"), F.coalesce("source", F.lit("")))), 1, 8), 16, 10).cast("long") / F.lit(4294967296.0)
     reach = lambda i: F.floor(F.lit(1.0) * i * rate + offset)
-    i = F.col("before") + F.col("__rank")
-    return placed.withColumn("copies", (reach(i) - reach(i - 1)).cast("int")).drop("__h", "__t", "__bin", "__rank", "__s", "__b", "before")
+    i = F.col("__before") + F.col("__rank")
+    return placed.withColumn("copies", (reach(i) - reach(i - 1)).cast("int")).drop("__h", "__t", "__bin", "__rank", "__g", "__before")
 
 
 def mix(docs: DataFrame, **how) -> DataFrame:
