@@ -21,7 +21,7 @@ from isohyet.llm.common import cut, table
 #: Distinct vectors in a shard, about.
 SHARD = 4096
 #: Neighbours of a node on level 0 (half as many above), width of searches when building and when answering.
-LINKS, BUILD, SEARCH = 32, 96, 160
+LINKS, BUILD, SEARCH = 24, 64, 112
 #: Queries in a block.
 BLOCK = 1024
 K = 20
@@ -160,13 +160,14 @@ def descend(points: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], que
 
 
 def augmented(v: np.ndarray) -> np.ndarray:
+    """With the further coordinate, in single precision: enough to walk the graph. Scores are taken from the originals."""
     norm = (v * v).sum(1)
-    return np.c_[v, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))]
+    return np.c_[v, np.sqrt(np.maximum(norm.max(initial=0) - norm, 0))].astype(np.float32)
 
 
 def search(v: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries: np.ndarray, width: int) -> np.ndarray:
     """Places of up to `width` vectors for each query, -1 where none."""
-    points, q = augmented(v), np.c_[queries, np.zeros(len(queries))]
+    points, q = augmented(v), np.c_[queries, np.zeros(len(queries))].astype(np.float32)
     entry = descend(points, levels[:-1], q)[:, None] if len(levels) > 1 else np.zeros((len(q), 1), int)
     return beam(points, levels[-1][1], q, entry, width)[1]
 
