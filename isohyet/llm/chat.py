@@ -112,3 +112,37 @@ def op8_budgeted_windows(spark, sf_dir: str) -> DataFrame:
         "conv_id", "n_turns", F.sha2(F.col("said").cast("binary"), 256).alias("turns_sha256"), F.length("learnt").cast("long").alias("loss_chars"),
         F.sha2(F.col("learnt").cast("binary"), 256).alias("loss_sha256"), F.col("formatted_chars").cast("long").alias("formatted_chars"),
     )
+
+
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, role, text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+r AS (
+  SELECT *, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) + 1 AS tok,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rank FROM c),
+s AS (
+  SELECT *, coalesce(max(CASE WHEN rank = 1 AND role = 'system' THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys_tok,
+         sum(tok) OVER (PARTITION BY conv_id ORDER BY rank) - tok AS before FROM r),
+x AS (
+  SELECT *, rank = 1 AND sys_tok > 0 AS is_sys, greatest(512 - sys_tok, 128) AS room, greatest(before - sys_tok, 0) AS at_tok,
+         length('<|role|><|text|><|end|>') + length(regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\1\\|', 'g'))
+         + length(regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')) AS chars FROM s),
+y AS (SELECT *, room * 3 // 8 AS stride, room // 4 AS history FROM x),
+z AS (
+  SELECT *, CASE WHEN is_sys THEN 0 ELSE at_tok // stride END AS block, CASE WHEN NOT is_sys AND tok > stride THEN 1 ELSE 0 END AS alone FROM y),
+w AS (SELECT conv_id, block * 2 + alone AS win, min(at_tok) AS start_tok FROM z GROUP BY 1, 2),
+o AS (
+  SELECT conv_id, chars FROM z
+  UNION ALL
+  SELECT z.conv_id, chars FROM z JOIN w ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND w.win BETWEEN block * 2 + 1 AND block * 2 + 3
+  WHERE alone = 0 AND NOT is_sys AND at_tok >= start_tok - history AND (w.win = block * 2 + 1 OR (block + 1) * stride - at_tok <= history)
+  UNION ALL
+  SELECT z.conv_id, chars FROM z JOIN w ON z.conv_id IS NOT DISTINCT FROM w.conv_id WHERE is_sys AND w.win > 0),
+f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM o GROUP BY 1),
+t AS (
+  SELECT conv_id, count(*) AS n_turns, sha256(string_agg(coalesce(role, '') || chr(10) || coalesce(text, '') || chr(10), '' ORDER BY rank)) AS turns_sha256,
+         coalesce(string_agg(text, '' ORDER BY rank) FILTER (WHERE role = 'assistant'), '') AS learnt FROM r GROUP BY 1)
+SELECT t.conv_id, n_turns, turns_sha256, length(learnt) AS loss_chars, sha256(learnt) AS loss_sha256, formatted_chars
+FROM t JOIN f ON t.conv_id IS NOT DISTINCT FROM f.conv_id
+"""

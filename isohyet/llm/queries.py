@@ -18,5 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op8_budgeted_windows": chat.OP8_SQL,
     "op2_systematic_mix": mixing.OP2_SQL,
 }
