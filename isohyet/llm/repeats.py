@@ -23,8 +23,10 @@ from isohyet.llm import tokens as T
 from isohyet.llm.common import arrow, cut, table
 
 SPAN, GRAM = 400, 200
-#: Contexts in a batch of the family.
-BATCH = 4096
+#: Contexts in a batch of the family, and in a family before it gives its results.
+BATCH, FAMILY = 4096, 16_384
+#: Bytes of text that are scanned for anchors together; arrays take some hundred times that.
+CHUNK = 1 << 18
 #: An anchor with more different contexts than that is compared by window hashes, spread over all tasks.
 HOT = 2048
 _PLACE = np.uint64((1 << 28) - 1)
@@ -138,7 +140,7 @@ def find(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             key = b.column(0).to_numpy()
-            for first, data, offsets in T.chunks(b.column(1)):
+            for first, data, offsets in T.chunks(b.column(1), CHUNK):
                 doc, h, c, low, high, a = anchors(data, offsets)
                 if len(doc):
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key[doc + first], h.view(np.int64), c.view(np.int64), low.astype(np.int32), high.astype(np.int32), a.astype(np.int32))], ["__key", "h", "c", "low", "high", "anchor"])
@@ -184,7 +186,7 @@ def find(docs: DataFrame) -> DataFrame:
                     family.add(batch)
                     batch = []
                 # Anchors come in order of their hash, so once they change a full family can give its results.
-                if h != last and len(rows) >= 16 * BATCH:
+                if h != last and len(rows) >= FAMILY:
                     family.add(batch)
                     yield close(family, rows)
                     family, rows, batch = Family(), [], []
