@@ -193,19 +193,25 @@ def score(docs: DataFrame) -> DataFrame:
         return np.where(h == BEGIN, begun, counts(np.maximum(h - 1, 0)) if len(counts.count) else 0)
 
     own = words.where("chunk >= 0").groupBy("chunk").agg(F.collect_list(F.struct("part", "a")).alias("numbers"))
-    joined = chunks.join(own, "chunk").select("chunk", "held", "lengths", "vocabulary", "tokens", "numbers", "ids")
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            to = [squeeze(((swell(x, np.uint64) >> np.uint64(20)) % np.uint64(parts)).astype(np.int16)) for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(to, pa.binary())], ["chunk", "places"])
+
+    # Only the part of each word goes along to where the numbers meet the tokens, an eighth of its hash.
+    places = chunks.select("chunk", "vocabulary").mapInArrow(place, "chunk long, places binary")
+    joined = chunks.select("chunk", "held", "lengths", "tokens", "ids").join(own, "chunk").join(places, "chunk")
     packs = {"part": pa.int32(), "chunk": pa.int64(), "data": pa.list_(pa.binary()), "ids": pa.list_(pa.int64())}
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in range(b.num_rows):
-                chunk, held, lengths, words, tokens, ids = (b.column(c)[i].as_py() for c in ("chunk", "held", "lengths", "vocabulary", "tokens", "ids"))
-                held, lengths, words, tokens = swell(held, np.uint8).astype(bool), swell(lengths), swell(words, np.uint64), swell(tokens, np.int32).astype(np.int64)
-                number = np.empty(len(words), np.int64)
-                to = (words >> np.uint64(20)) % np.uint64(parts)
+                chunk, held, lengths, to, tokens, ids = (b.column(c)[i].as_py() for c in ("chunk", "held", "lengths", "places", "tokens", "ids"))
+                held, lengths, to, tokens = swell(held, np.uint8).astype(bool), swell(lengths), swell(to, np.int16), swell(tokens, np.int32).astype(np.int64)
+                number = np.empty(len(to), np.int64)
                 for x in b.column("numbers")[i].as_py():
                     number[to == x["part"]] = swell(x["a"])
-                del words
                 count = counts(number)
                 doc = np.repeat(np.arange(len(lengths)), lengths)
                 known, base = count > 0, np.log10((count + 1) / (total + kinds + 1))
