@@ -149,7 +149,7 @@ def links(fps: DataFrame) -> DataFrame:
         if n:
             yield take(np.concatenate(kept, axis=1))
 
-    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair").mapInArrow(run, "s int, a long, b long").distinct()
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "fp").mapInArrow(run, "s int, a long, b long").distinct()
 
 
 def near_groups(fps: DataFrame) -> DataFrame:
