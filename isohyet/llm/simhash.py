@@ -21,7 +21,6 @@ from pyspark.sql.window import Window
 from isohyet.llm import tokens as T
 from isohyet.llm.common import arrow, cut, table
 from isohyet.llm.graph import components
-from isohyet.llm.toxicity import word_sets
 
 RADIUS = 4
 #: Segments from the lowest bit, as (first bit, bits).
@@ -171,45 +170,186 @@ def op7_pigeonring_groups(spark, sf_dir: str) -> DataFrame:
     return near_groups(with_fingerprints(docs)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Word-set fingerprints of a text, each by another seed. Two texts whose five-word shingles are 0.8 similar share about
-#: 96% of their words; each seed brings such a pair within RADIUS more often than not, and one is enough.
-SEEDS = 6
 WORDS, SIMILARITY = 5, 0.8
-
-
-def set_fingerprints(texts: pa.Array) -> np.ndarray:
-    """Fingerprints (texts x SEEDS) of the sets of words; 0 without words."""
-    out = np.zeros((len(texts), SEEDS), np.uint64)
-    for d, h in word_sets(texts):
-        if not len(d):
-            continue
-        first = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
-        n = np.diff(np.r_[first, len(d)])
-        for s in range(SEEDS):
-            x = T.mix(h + np.uint64((s + 1) * 0x9E3779B97F4A7C15 % (1 << 64)))
-            over = np.add.reduceat(np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"), first, axis=0, dtype=np.int32)
-            out[d[first], s] = np.packbits(2 * over > n[:, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
-    return out
-
-
-def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[bytes]:
-    """Sorted hashes of each text's shingles, repeats included; fewer words than k make one shingle."""
-    out = [b""] * len(texts)
+#: Texts whose shingles are counted for the rare-first order. The order decides how much work there is, not what is found.
+SAMPLE = 10_000
+#: Up to this size all pairs of a bucket are verified at once; larger ones are linked by stars and chains first.
+FEW = 3
+#: Texts that candidates need are marked by their hash modulo this, so that few others are moved.
+MARKS = 1 << 24
+#: Texts of the commonest root that a turn compares with all of a bucket, and turns before all pairs of different roots.
+STARS, TURNS = 4, 3
+#: Texts of a bucket of shared shingles that one task compares with each other.
+BLOCK = 1 << 12
+
+
+def shingles(texts: pa.Array, k: int = WORDS) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(index of the first text, hashes of shingles, where each text's start) for runs of texts.
+
+    Hashes are sorted in each text, repeats included; fewer words than k make one shingle.
+    """
     for first, data, offsets in T.chunks(texts):
         w = T.words(data, offsets)
         g, at = T.grams(w.hash, w.doc, k)
-        doc = w.doc[at]
-        order = np.lexsort((g, doc))
-        ends = np.searchsorted(doc, np.arange(len(offsets)))
-        for i in range(len(offsets) - 1):
-            out[first + i] = g[order[ends[i] : ends[i + 1]]].tobytes()
         n = np.bincount(w.doc, minlength=len(offsets) - 1)
+        gs, docs = [g], [w.doc[at]]
         for i in np.flatnonzero((n > 0) & (n < k)):
-            own = w.hash[w.doc == i]
-            out[first + i] = T.grams(own, np.zeros(len(own), int), len(own))[0].tobytes()
+            gs.append(T.grams(w.hash[w.doc == i], np.zeros(n[i], int), int(n[i]))[0])
+            docs.append(np.array([i]))
+        g, doc = np.concatenate(gs), np.concatenate(docs)
+        order = np.lexsort((g, doc))
+        yield first, g[order], np.searchsorted(doc[order], np.arange(len(offsets)))
+
+
+def shingle_sets(texts: pa.Array, k: int = WORDS) -> list[bytes]:
+    """Sorted hashes of each text's shingles, repeats included; fewer words than k make one shingle."""
+    out = [b""] * len(texts)
+    for first, g, ends in shingles(texts, k):
+        for i in range(len(ends) - 1):
+            out[first + i] = g[ends[i] : ends[i + 1]].tobytes()
     return out
 
 
+def numbered(g: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(tokens, text of each): the n-th repeat of a shingle in a text is a token of its own, so multisets become sets."""
+    doc = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    i = np.arange(len(g))
+    new = np.ones(len(g), bool)
+    new[1:] = (g[1:] != g[:-1]) | (doc[1:] != doc[:-1])
+    nth = (i - np.maximum.accumulate(np.where(new, i, 0))).astype(np.uint64)
+    return np.where(nth > 0, T.mix(g + nth * np.uint64(0x9E3779B97F4A7C15)), g), doc
+
+
+def prefixes(texts: pa.Array, common: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, list[bytes]]:
+    """Number of shingles of each text, and as many of them, rare first, that texts of `least` similarity share one.
+
+    A text of n shingles shares at least ceil(least * n) with a similar one, so in any order that all texts follow, the
+    first n - ceil(least * n) + 1 of both have one in common.
+    """
+    size, out = np.zeros(len(texts), np.int32), [b""] * len(texts)
+    for first, g, ends in shingles(texts):
+        token, doc = numbered(g, ends)
+        key = token >> np.uint64(3)
+        if len(common):
+            at = np.minimum(np.searchsorted(common, token), len(common) - 1)
+            key |= np.where(common[at] == token, rank[at], np.uint64(0)) << np.uint64(61)
+        key = key[np.lexsort((key, doc))]
+        n = np.diff(ends)
+        size[first : first + len(n)] = n
+        m = np.minimum(n, n - np.ceil((least - 1e-9) * n).astype(int) + 1)
+        for i in range(len(n)):
+            out[first + i] = key[ends[i] : ends[i] + m[i]].tobytes()
+    return size, out
+
+
+def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
+    """Sorted rows of longs as arrays (columns x rows) of whole buckets: rows that agree in the first columns."""
+    kept: list[np.ndarray] = []
+    n = 0
+    for b in batches:
+        kept.append(np.stack([c.to_numpy() for c in b.columns]))
+        n += b.num_rows
+        if n >= 1 << 17:
+            whole = np.concatenate(kept, axis=1)
+            other = np.flatnonzero((whole[:keys] != whole[:keys, -1:]).any(0))
+            cut_at = other[-1] + 1 if len(other) else 0
+            if cut_at:
+                yield whole[:, :cut_at]
+            kept, n = [whole[:, cut_at:]], n - cut_at
+    if n:
+        yield np.concatenate(kept, axis=1)
+
+
+def buckets(key: np.ndarray) -> np.ndarray:
+    """Where the buckets of sorted keys (keys x rows) start, and the end."""
+    return np.flatnonzero(np.r_[True, (key[:, 1:] != key[:, :-1]).any(0), True])
+
+
+def index(texts: DataFrame) -> DataFrame:
+    """(th, n, prefix) -> (key, th, n, pos): shingles of prefixes that several texts have, and their place in each."""
+
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            ps = [np.frombuffer(x.as_py(), np.int64) for x in b.column(2)]
+            m = np.array([len(x) for x in ps], int)
+            pos = np.concatenate([np.arange(x) for x in m] or [m])
+            cols = [np.concatenate(ps or [m]), *(np.repeat(b.column(i).to_numpy().astype(np.int64), m) for i in (0, 1)), pos]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "th", "n", "pos"])
+
+    def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in runs(batches, 1):
+            size = np.diff(buckets(whole[:1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in whole[:, np.repeat(size, size) > 1]], ["key", "th", "n", "pos"])
+
+    kind = "key long, th long, n long, pos long"
+    at = texts.select("th", "n", "prefix").where("n > 0").mapInArrow(explode, kind)
+    return at.repartition("key").sortWithinPartitions("key").mapInArrow(shared, kind)
+
+
+def prefix_pairs(index: DataFrame, least: float, turn: int | None) -> DataFrame:
+    """(key, th, n, pos, root) -> (a, b), a < b, distinct: pairs of texts that share a key, differ in root and may be similar.
+
+    All such pairs without a turn, else in buckets over FEW only a chain, and stars around some texts of the commonest
+    root; each turn takes other texts. At their first common key similar
+    texts have enough shingles left on both sides, so pairs that have not are left out. A bucket over BLOCK texts is dealt
+    out as pairs of parts, so no task holds more than two parts and no pair is missed.
+    """
+    t = (least - 1e-9) / (1 + least - 1e-9)
+    large = index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    g = F.ceil(F.coalesce("c", F.lit(1)) / BLOCK)
+    mine = F.pmod(F.xxhash64("th"), g)
+    pairs = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda j: F.least(mine, j) * 4294967296 + F.greatest(mine, j))
+    dealt = index.join(large, "key", "left").select("key", F.explode(pairs).alias("pair"), "th", "n", "pos", "root")
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in runs(batches, 2):
+            th, n, pos, root = whole[2:]
+            left = n - pos
+
+            def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+                ok = (root[i] != root[j]) & (np.minimum(left[i], left[j]) >= t * (n[i] + n[j]) - 1e-6)
+                return th[i[ok]], th[j[ok]]
+
+            cuts = buckets(whole[:2])
+            size = np.diff(cuts)
+            many = np.repeat(size > FEW, size)
+            run = np.repeat(np.arange(len(size)), size)
+            small = np.flatnonzero(~many)
+            found = []
+            for s in range(1, FEW):
+                i = small[small + s < len(th)]
+                i = i[run[i] == run[i + s]]
+                found.append(fit(i, i + s))
+            if turn is not None:
+                first = buckets(whole[[0, 1, 5]])
+                length, first = np.diff(first), first[:-1]
+                best = np.lexsort((-length, run[first]))
+                best = best[np.flatnonzero(np.r_[True, run[first][best][1:] != run[first][best][:-1]])]
+                i = np.flatnonzero(many)
+                for s in range(STARS):
+                    found.append(fit((first[best] + np.minimum(s, length[best] - 1))[run[i]], i))
+                i = i[i + 1 < len(th)]
+                i = i[run[i] == run[i + 1]]
+                found.append(fit(i, i + 1))
+            else:
+                for a, b in ((cuts[k], cuts[k + 1]) for k in np.flatnonzero(size > FEW)):
+                    for i in range(a, b - 1):
+                        j = np.arange(i + 1, b)
+                        found.append(fit(np.full(len(j), i), j))
+                    if sum(len(x) for x, _ in found[-(b - a) :]) > 1 << 18:
+                        yield from out(found)
+                        found = []
+            yield from out(found)
+
+    def out(found: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if found:
+            a, b = (np.concatenate(x) for x in zip(*found))
+            e = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(e[0]), pa.array(e[1])], ["a", "b"])
+
+    return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "root", F.xxhash64("th", F.lit(turn or 0))).mapInArrow(find, "a long, b long").where("a <> b").distinct()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Sum of minima over sum of maxima of two sorted multisets; 1 for two empty ones."""
     if not len(a) and not len(b):
@@ -223,48 +363,70 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Keeps one document of each group of near duplicates, with the columns of docs.
 
-    Candidates are texts with a word-set fingerprint within RADIUS, found as in links(); they are linked if the
-    weighted similarity of their five-word shingles is at least `least`; groups are what links connect. The smallest
-    doc_id of a group stays (nulls first), once. Null counts as empty, texts without words are one group. An empty
-    table gives an empty table.
+    Texts are linked if the weighted similarity of their five-word shingles is at least `least`; groups are what links
+    connect. Every such pair shares a shingle of its prefixes (see prefixes()). Some turns verify a few pairs of each bucket,
+    then come all pairs that are still in different groups, so no link between groups is missed. The
+    smallest doc_id of a group stays (nulls first), once. Null counts as empty, texts without words are one group. An
+    empty table gives an empty table.
     """
-    arrow(docs.sparkSession)
+    spark = docs.sparkSession
+    arrow(spark)
     keyed = docs.withColumn("__text", F.coalesce(F.col("text"), F.lit(""))).withColumn("__th", F.xxhash64("__text"))
 
-    def prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = set_fingerprints(b.column(2)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(np.ascontiguousarray(fps[:, s])) for s in range(SEEDS))], ["id", "th", *(f"f{s}" for s in range(SEEDS))])
+            for _, g, ends in shingles(b.column(0)):
+                yield pa.RecordBatch.from_arrays([pa.array(numbered(g, ends)[0].view(np.int64))], ["t"])
 
-    ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = cut(keyed.select("doc_id", "__th", "__text").mapInArrow(prints, f"id {ids}, th long, " + ", ".join(f"f{s} long" for s in range(SEEDS))), "word-set-fingerprints")
-    first = F.min(F.struct("id"))
-    texts = cut(rows.groupBy("th").agg(first.alias("first"), *[F.first(f"f{s}").alias(f"f{s}") for s in range(SEEDS)]), "texts")
-    each = texts.select("th", F.posexplode(F.array(*[f"f{s}" for s in range(SEEDS)])).alias("s", "fp"))
-    owner = cut(each.groupBy("s", "fp").agg(F.min("th").alias("rep")), "owners")
-    same = each.join(owner, ["s", "fp"]).where("th <> rep").select(F.col("rep").alias("a"), F.col("th").alias("b"))
-    near = links(owner.select("s", "fp"))
-    for end in ("a", "b"):
-        near = near.join(owner.select("s", F.col("fp").alias(end), F.col("rep").alias(f"r{end}")), ["s", end])
-    edges = same.unionByName(near.select(F.col("ra").alias("a"), F.col("rb").alias("b")))
-    edges = cut(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-
-    wanted = edges.select(F.explode(F.array("a", "b")).alias("th")).distinct()
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    few = keyed.where(F.pmod("__th", F.lit(docs.count() // SAMPLE + 1)) == 0).select("__text").distinct()
+    often = few.mapInArrow(tokens, "t long").groupBy("t").agg(F.count("*").alias("n")).where("n > 2").toArrow()
+    common = often["t"].to_numpy().view(np.uint64)
+    order = np.argsort(common)
+    rank = np.clip(np.log2(often["n"].to_numpy()[order].astype(float)), 1, 7).astype(np.uint64)
+    known = spark.sparkContext.broadcast((common[order], rank))
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(shingle_sets(b.column(1)), pa.binary())], ["th", "set"])
+            n, prefix = prefixes(b.column(2), *known.value, least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(prefix, pa.binary())], ["id", "th", "n", "prefix"])
 
-    one = texts.join(wanted, "th", "left_semi").select(F.col("th").alias("__t"), F.col("first.id").alias("__i"))
-    sample = keyed.select("doc_id", "__th", "__text").join(one, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__i"))).select("__th", "__text")
-    known = cut(sample.mapInArrow(sets, "th long, set binary").dropDuplicates(["th"]), "shingles")
+    ids = docs.schema["doc_id"].dataType.simpleString()
+    rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary")
+    texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    at = cut(index(texts), "shared-shingles")
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
-        return pa.array([similarity(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)) for x, y in zip(a, b)], pa.float64())
-
-    pairs = edges.join(known.select(F.col("th").alias("a"), F.col("set").alias("sa")), "a").join(known.select(F.col("th").alias("b"), F.col("set").alias("sb")), "b")
-    roots = components(pairs.withColumn("sim", alike("sa", "sb")).where(F.col("sim") >= least - 1e-9).select("a", "b"))
+        sets = [[np.frombuffer(x, np.uint64) for x in shingle_sets(t)] for t in (a, b)]
+        return pa.array([similarity(x, y) for x, y in zip(*sets)], pa.float64())
+
+    def verified(edges: DataFrame) -> DataFrame:
+        wanted = edges.select(F.explode(F.array("a", "b")).alias("th")).select(F.pmod("th", F.lit(MARKS)).alias("m")).distinct().toArrow()
+        marks = np.zeros(MARKS, bool)
+        marks[wanted["m"].to_numpy()] = True
+        marked = spark.sparkContext.broadcast(np.packbits(marks))
+
+        @F.arrow_udf("boolean")
+        def asked(th: pa.Array) -> pa.Array:
+            m = th.to_numpy() % MARKS
+            return pa.array((marked.value[m >> 3] >> (7 - (m & 7)).astype(np.uint8) & 1).astype(bool))
+
+        # Texts, not sets of hashes: they take less than half the disk, and shingling them again is cheap.
+        some = keyed.select(F.col("__th").alias("th"), F.col("__text").alias("t")).where(asked("th"))
+        have = cut(some.groupBy("th").agg(F.first("t").alias("t")), "candidate-texts")
+        pairs = edges.join(have.select(F.col("th").alias("a"), F.col("t").alias("ta")), "a").join(have.select(F.col("th").alias("b"), F.col("t").alias("tb")), "b")
+        return cut(pairs.withColumn("sim", alike("ta", "tb")).where(F.col("sim") >= least - 1e-9).select("a", "b"), "links")
+
+    wordless = texts.where("n = 0").select("th")
+    linked = wordless.crossJoin(wordless.agg(F.min("th").alias("m"))).select(F.col("m").alias("a"), F.col("th").alias("b"))
+    rooted, tried = at.withColumn("root", F.col("th")), None
+    for turn in [*range(TURNS), None]:
+        edges = prefix_pairs(rooted, least, turn)
+        edges = cut(edges.join(tried, ["a", "b"], "left_anti") if tried else edges, "candidates")
+        tried = tried.unionByName(edges) if tried else edges
+        linked = linked.unionByName(verified(edges))
+        roots = components(linked)
+        rooted = at.join(roots, F.col("th") == F.col("node"), "left").select("key", "th", "n", "pos", F.coalesce("root", "th").alias("root"))
     group = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     stay = group.groupBy("root").agg(F.min(F.struct("first", "th")).alias("s")).select(F.col("s.th").alias("__t"), F.col("s.first.id").alias("__i"))
     kept = keyed.join(stay, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__i")))
