@@ -36,3 +36,18 @@ def test_block_edits(spark):
     want = expected(texts)
     assert len(want) < 50
     assert kept(spark, texts) == want
+
+
+def test_repeats_and_equal_word_sets(spark):
+    """Texts of one word set: two similar ones are linked though neither is similar to the others."""
+    rng, texts = np.random.default_rng(4), []
+    for _ in range(12):
+        line = words(rng, 12)
+        texts += [" ".join(line * n) for n in (5, 50, 52)]
+        own = words(rng, 150)
+        other = list(rng.permutation(own))
+        texts += [" ".join(own), " ".join(other), " ".join(other + other[:6])]
+    texts += ["", " ", "  "]
+    want = expected(texts)
+    assert len(want) == 12 * 4 + 1
+    assert kept(spark, texts) == want
