@@ -51,3 +51,16 @@ def test_repeats_and_equal_word_sets(spark):
     want = expected(texts)
     assert len(want) == 12 * 4 + 1
     assert kept(spark, texts) == want
+
+
+def test_large_buckets(spark):
+    """Many texts of one template, of which some pairs are similar, and many orders of one word set, each twice."""
+    rng = np.random.default_rng(5)
+    template, own = words(rng, 200), words(rng, 300)
+    texts = [" ".join(template + words(rng, n, "x")) for n in rng.integers(4, 60, 150)]
+    for _ in range(60):
+        other = list(rng.permutation(own))
+        texts += [" ".join(other + words(rng, 2, "y")) for _ in range(2)]
+    want = expected(texts)
+    assert 80 < len(want) < 200
+    assert kept(spark, texts) == want
