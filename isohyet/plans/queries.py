@@ -552,7 +552,7 @@ def k_sweep(spark, d):
 
 @query("k_choice")
 def k_choice(spark, d):
-    found = hold(swept(spark, d, range(2, 8)))
+    found = hold(swept(spark, d, range(2, 15)))
     return G.k_frequency(found).withColumn("chosen", F.lit(G.choose_k(found)))
 
 
