@@ -6,6 +6,8 @@ days without rows are dry. The state series is made of embeddings, in order of v
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -280,7 +282,10 @@ def theiler_window(spark, d):
 def surrogate_rank_test(spark, d):
     s = state(spark, d)
     got = R.line_metrics(R.recurrences(R.pairs(s, THEILER), Q), STATE)
-    return R.rank_test(R.nulled(got, ["det"]), R.surrogates(s, 19, Q, THEILER), "det", ["win"])
+    metrics = ["det", "lam", "entr", "lmean"]
+    got, surr = hold(R.nulled(got, metrics)), hold(R.surrogates(s, 99, Q, THEILER))
+    tests = [R.rank_test(got.where(F.col(m).isNotNull()), surr, m, ["win"]).select("win", F.lit(m).alias("metric"), F.col(m).alias("value"), "low", "high", "p", "significant") for m in metrics]
+    return functools.reduce(DataFrame.unionByName, tests)
 
 
 # Trends of the cells' yearly totals.
