@@ -79,14 +79,18 @@ def sc_cutoff(concentration: np.ndarray) -> float:
     return float(x[0]) if knee is None else knee
 
 
-def min_community_size(sizes) -> int:
+def min_community_size(sizes, counts=None) -> int:
+    """Knee of the share of communities of a size or more; sizes may come as a histogram."""
     sizes = np.asarray(sizes, float)
-    if len(sizes) < 4:
+    counts = np.ones(len(sizes)) if counts is None else np.asarray(counts, float)
+    if counts.sum() < 4:
         return 2
     x = np.arange(3, int(sizes.max()) + 1)
     if len(x) < 4:
         return 3
-    knee = kneedle(x, [(sizes >= s).mean() for s in x], "convex", "decreasing")
+    order = np.argsort(sizes)
+    above = np.r_[np.cumsum(counts[order][::-1])[::-1], 0.0]
+    knee = kneedle(x, above[np.searchsorted(sizes[order], x)] / counts.sum(), "convex", "decreasing")
     return max(2, int(x[0] if knee is None else knee))
 
 
@@ -117,13 +121,15 @@ def grid_edges(row, col, moves=QUEEN) -> list[tuple[int, int]]:
 
 
 def relative_gap(merges) -> float | None:
-    """Where to cut a tree: amid the largest step, relative to the distance before it, of the upper two thirds of the
-    merge distances."""
+    """Where to cut a tree: amid the largest step of the sorted merge distances, relative to the distance before it.
+
+    The steps before place int(0.33 n) - 1 are ignored.
+    """
     d = np.sort(np.asarray(merges, float))
     if len(d) < 2:
         return None
-    step = np.diff(d) / np.where(d[:-1] == 0, 1e-12, d[:-1])
-    step[: len(d) // 3] = -np.inf
+    step = np.diff(d) / (d[:-1] + 1e-12)
+    step[: max(int(0.33 * len(d)) - 1, 0)] = -np.inf
     i = int(np.argmax(step))
     return float((d[i] + d[i + 1]) / 2)
 
@@ -240,7 +246,7 @@ def q_statistic(z, labels) -> dict[str, float]:
     if df1 <= 0 or df2 <= 0:
         return dict(q=q, f=math.nan, lam=math.nan, df1=df1, df2=df2, p=math.nan)
     f = math.inf if q >= 1 else df2 / df1 * q / (1 - q)
-    lam = math.inf if ssw == 0 else (sst - ssw) / (2 * ssw / df2)
+    lam = 0.0 if ssw == 0 else (sst - ssw) / (2 * ssw / df2)
     return dict(q=q, f=f, lam=lam, df1=df1, df2=df2, p=0.0 if q >= 1 else f_tail(f, df1, df2))
 
 
@@ -273,7 +279,7 @@ def mann_kendall(x, alpha: float = 0.05) -> dict:
     x = x[np.isfinite(x)]
     n = len(x)
     if n < 2:
-        return dict(n=n, s=None, slope=None, intercept=None, z=None, p=None, trend="no trend", significant=False)
+        return dict(n=n, s=None, slope=None, intercept=None, z=None, p=None, trend=None, significant=None)
     i, j = np.triu_indices(n, 1)
     s = float(np.sign(x[j] - x[i]).sum())
     slope = float(np.median((x[j] - x[i]) / (j - i)))
@@ -312,13 +318,15 @@ def iaaft(window: np.ndarray, rng: np.random.Generator, rounds: int = 20) -> np.
     spectrum = np.fft.rfft(window, axis=0)
     size, lead = np.abs(spectrum), np.angle(spectrum) - np.angle(spectrum[:, :1])
     ordered = np.sort(window, axis=0)
-    start = rng.uniform(0, 2 * np.pi, (len(spectrum), 1))
-    x = np.fft.irfft(size * np.exp(1j * (start + lead)), n=n, axis=0)
-    for _ in range(rounds):
-        first = np.angle(np.fft.rfft(x[:, :1], axis=0))
+
+    def ranked(first: np.ndarray) -> np.ndarray:
         x = np.fft.irfft(size * np.exp(1j * (first + lead)), n=n, axis=0)
         rank = np.argsort(np.argsort(x, axis=0, kind="stable"), axis=0, kind="stable")
-        x = np.take_along_axis(ordered, rank, axis=0)
+        return np.take_along_axis(ordered, rank, axis=0)
+
+    x = ranked(rng.uniform(-np.pi, np.pi, (len(spectrum), 1)))
+    for _ in range(rounds):
+        x = ranked(np.angle(np.fft.rfft(x[:, :1], axis=0)))
     return x
 
 
@@ -349,6 +357,70 @@ def line_lengths(r: np.ndarray, diagonal: bool = True) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, int)
 
 
+def lag_distances(x: np.ndarray, at: np.ndarray, most: int, stop: int, cosine: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """(lag, distance) of rows up to `most` places apart, for first rows before place `stop`; rows come by place."""
+    x = np.nan_to_num(np.asarray(x, float))
+    if cosine:
+        x = x + 1e-6
+        norm = np.sqrt((x * x).sum(1, keepdims=True))
+        x = x / np.where(norm == 0, 1, norm)
+    lags, found = [np.zeros(0, int)], [np.zeros(0)]
+    first = np.flatnonzero(at < stop)
+    for dt in range(1, most + 1):
+        j = np.searchsorted(at, at[first] + dt)
+        ok = j < len(at)
+        i, j = first[ok], j[ok]
+        ok = at[j] == at[i] + dt
+        i, j = i[ok], j[ok]
+        d = np.clip(1 - np.einsum("ij,ij->i", x[i], x[j]), 0, 2) if cosine else np.sqrt(((x[i] - x[j]) ** 2).sum(1))
+        lags.append(np.full(len(i), dt))
+        found.append(np.round(d, 9))
+    return np.concatenate(lags), np.concatenate(found)
+
+
+def outline(row, col) -> list[list[tuple[int, int]]]:
+    """Rings of (x, y) corners around a set of grid cells: outer ones counter-clockwise, holes clockwise.
+
+    A cell (r, c) spans corners (c, r) to (c + 1, r + 1). Cells that touch at a corner alone get rings of their own.
+    """
+    have = set(zip(row, col))
+    follow: dict[tuple[int, int], list[tuple[int, int]]] = {}
+    for r, c in sorted(have):
+        for other, a, b in (((r - 1, c), (c, r), (c + 1, r)), ((r, c + 1), (c + 1, r), (c + 1, r + 1)), ((r + 1, c), (c + 1, r + 1), (c, r + 1)), ((r, c - 1), (c, r + 1), (c, r))):
+            if other not in have:
+                follow.setdefault(a, []).append(b)
+    rings = []
+    while follow:
+        at = start = min(follow)
+        ring, way = [start], None
+        while True:
+            ends = follow[at]
+            left = lambda b: way is None or (way[0] * (b[1] - at[1]) - way[1] * (b[0] - at[0])) > 0  # noqa: B023, E731
+            to = next((b for b in ends if left(b)), ends[0])  # at a shared corner turn left, around one cell
+            ends.remove(to)
+            if not ends:
+                del follow[at]
+            step = (to[0] - at[0], to[1] - at[1])
+            if step == way:
+                ring.pop()
+            ring.append(to)
+            at, way = to, step
+            if at == start:
+                break
+        rings.append(ring)
+    return rings
+
+
+def within(ring: list[tuple[float, float]], x: float, y: float) -> bool:
+    """Whether a point lies in a ring."""
+    return sum((a[1] > y) != (b[1] > y) and x < (b[0] - a[0]) * (y - a[1]) / (b[1] - a[1]) + a[0] for a, b in zip(ring, ring[1:])) % 2 == 1
+
+
+def ring_area(ring: list[tuple[float, float]]) -> float:
+    """Area with sign: above 0 for counter-clockwise rings."""
+    return sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:])) / 2
+
+
 def line_metrics(r: np.ndarray, least: int = 2) -> dict[str, float]:
     d, v, n = line_lengths(r), line_lengths(r, False), len(r)
     long = d[d >= least]

@@ -65,7 +65,7 @@ def years_half_open(df: DataFrame, first: int, stop: int) -> DataFrame:
 def grid_index(cells: DataFrame) -> DataFrame:
     """Adds row and col: ranks of latitude and longitude from 0. One row per cell, so one task orders the axes."""
     axis = lambda c, to: cells.select(c).distinct().withColumn(to, F.row_number().over(Window.orderBy(c)) - 1)
-    return cells.drop("row", "col").join(F.broadcast(axis("lat", "row")), "lat").join(F.broadcast(axis("lon", "col")), "lon")
+    return cells.drop("row", "col").join(axis("lat", "row"), "lat").join(axis("lon", "col"), "lon")
 
 
 def resolution(cells: DataFrame, how: str = "min") -> DataFrame:
@@ -79,26 +79,25 @@ def resolution(cells: DataFrame, how: str = "min") -> DataFrame:
 
 
 def cell_area(lat: Column, dlat: Column, dlon: Column) -> Column:
-    """Square kilometres."""
+    """Square kilometres of a cell; summed they are the area of a region."""
     return dlat * 111.32 * dlon * 111.32 * F.cos(F.radians(lat))
 
 
-def inside(polygon: list[tuple[float, float]], lon: Column, lat: Column, dlon: float, dlat: float) -> Column:
-    """Whether a cell's box touches the polygon (x, y ring): a box corner or centre in it, a vertex in the box, or edges that cross."""
-    ring = [*polygon, polygon[0]] if polygon[0] != polygon[-1] else list(polygon)
-    x0, x1, y0, y1 = lon - dlon / 2, lon + dlon / 2, lat - dlat / 2, lat + dlat / 2
+Ring = list[tuple[float, float]]
 
-    def within(x: Column, y: Column) -> Column:
-        n = F.lit(0)
-        for (ax, ay), (bx, by) in zip(ring, ring[1:]):
-            if ay != by:
-                n = n + F.when(((F.lit(ay) > y) != (F.lit(by) > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax), 1).otherwise(0)
-        return n % 2 == 1
 
-    test = within(lon, lat)
-    for x in (x0, x1):
-        for y in (y0, y1):
-            test = test | within(x, y)
+def within(ring: Ring, x: Column, y: Column) -> Column:
+    """Whether a point lies in a closed ring."""
+    n = F.lit(0)
+    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
+        if ay != by:
+            n = n + F.when(((F.lit(ay) > y) != (F.lit(by) > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax), 1).otherwise(0)
+    return n % 2 == 1
+
+
+def crossed(ring: Ring, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
+    """Whether a closed ring runs through a box: a vertex in it, or an edge that crosses one of its sides."""
+    test = F.lit(False)
     for (ax, ay), (bx, by) in zip(ring, ring[1:]):
         test = test | ((x0 <= ax) & (x1 >= ax) & (y0 <= ay) & (y1 >= ay))
         for x in (x0, x1):
@@ -114,13 +113,29 @@ def inside(polygon: list[tuple[float, float]], lon: Column, lat: Column, dlon: f
     return test
 
 
-def clip(cube: DataFrame, polygons: list[list[tuple[float, float]]], dlon: float, dlat: float) -> DataFrame:
+def inside(polygon: Ring | list[Ring], lon: Column, lat: Column, dlon: float, dlat: float) -> Column:
+    """Whether a cell's box touches the polygon: one ring (x, y), or an outer ring and its holes."""
+    rings = [polygon] if not polygon or isinstance(polygon[0][0], (int, float)) else polygon
+    outer, *holes = [[*r, r[0]] if r[0] != r[-1] else list(r) for r in rings]
+    box = (lon - dlon / 2, lon + dlon / 2, lat - dlat / 2, lat + dlat / 2)
+    test = within(outer, lon, lat) | crossed(outer, *box)
+    for h in holes:
+        test = test & (~within(h, lon, lat) | crossed(h, *box))
+    return test
+
+
+def clip(cube: DataFrame, polygons: list, dlon: float, dlat: float) -> DataFrame:
     test = F.lit(False)
     for p in polygons:
         test = test | inside(p, F.col("lon"), F.col("lat"), dlon, dlat)
     return cube.where(test)
 
 
+def valid_cells(cube: DataFrame) -> DataFrame:
+    """One row: the number of cells that have any value."""
+    return cube.where(F.col("value").isNotNull()).agg(F.countDistinct("cell").alias("valid_cells"))
+
+
 def roi(cube: DataFrame, least: int = 1) -> DataFrame:
     """Cells with enough values that are not all alike."""
     return cube.groupBy("cell").agg(F.count("value").alias("n"), F.stddev_pop("value").alias("sd")).where((F.col("n") >= least) & (F.col("sd") > 0))

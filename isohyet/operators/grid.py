@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from isohyet.functions import kernels
 from isohyet.operators.hold import hold
+from isohyet.operators.recurrence import by_group
 
 QUEEN, ROOK = kernels.QUEEN, kernels.ROOK
 
@@ -52,39 +53,64 @@ def size_ccdf(s: DataFrame) -> DataFrame:
     return all_.withColumn("fraction", n / F.sum("k").over(w)).where("size >= 3").select(F.col("size").alias("s"), "fraction")
 
 
-def heatmap(parts: DataFrame, cells: DataFrame, windows: int, least: int = 2) -> DataFrame:
-    """(cell, n, fraction): windows in which the cell is in a part of at least `least` cells; none is null."""
-    size = F.count(F.lit(1)).over(Window.partitionBy("win", "comp"))
-    n = parts.withColumn("__s", size).where(F.col("__s") >= least).groupBy("cell").agg(F.countDistinct("win").alias("n"))
-    return cells.select("cell").join(n, "cell", "left").withColumn("fraction", F.col("n") / windows)
+def heatmap(parts: DataFrame, cells: DataFrame, windows: DataFrame, least: DataFrame | int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, cell, n, fraction): windows in which the cell is in a part of at least `least` cells; none is null.
 
-
-def least_size(s: DataFrame) -> int:
-    """Smallest size of communities by the knee of their size distribution; sizes come as a short histogram."""
-    rows = s.groupBy("size").count().collect()
-    return kernels.min_community_size(np.repeat([r["size"] for r in rows], [r["count"] for r in rows])) if rows else 2
+    windows has (keys, win) of all windows, parts or not; least is a number or a table (keys, least).
+    """
+    keys = list(keys)
+    size = F.count(F.lit(1)).over(Window.partitionBy(*keys, "win", "comp"))
+    sized = parts.withColumn("__s", size)
+    if isinstance(least, DataFrame):
+        sized = sized.join(least, keys) if keys else sized.crossJoin(least)
+    else:
+        sized = sized.withColumn("least", F.lit(int(least)))
+    n = sized.where(F.col("__s") >= F.col("least")).groupBy(*keys, "cell").agg(F.countDistinct("win").alias("n"))
+    total = windows.groupBy(*keys).agg(F.countDistinct("win").alias("__w")) if keys else windows.agg(F.countDistinct("win").alias("__w"))
+    every = cells.select("cell").crossJoin(total)  # one row for each cell and period
+    return every.join(n, [*keys, "cell"], "left").withColumn("fraction", F.col("n") / F.col("__w")).drop("__w")
+
+
+def least_sizes(s: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, least): smallest size of communities by the knee of their size distribution, from a short histogram."""
+    hist = s.groupBy(*keys, "size").agg(F.count("*").alias("k"))
+    at = keys or ("__g",)
+    hist = hist if keys else hist.withColumn("__g", F.lit(0))
+    got = by_group(hist, at, lambda key, t: pd.DataFrame({"least": [kernels.min_community_size(t["size"].to_numpy(), t.k.to_numpy())]}), "least int")
+    return got.select(*keys, "least")
 
 
 def q_statistic(values: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, z, label) -> (keys, n, sst, ssw, q, f, lam, df1, df2)."""
+    """(keys, z, label) -> (keys, n, sst, ssw, q, df1, df2, f, lam, p): share of variance between labels and its test."""
     g = values.groupBy(*keys, "label").agg(F.count("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("w"))
     whole = values.groupBy(*keys).agg(F.count("z").alias("n"), (F.var_pop("z") * F.count("z")).alias("sst")) if keys else values.agg(F.count("z").alias("n"), (F.var_pop("z") * F.count("z")).alias("sst"))
     inner = g.groupBy(*keys).agg(F.sum("w").alias("ssw"), F.count("*").alias("k")) if keys else g.agg(F.sum("w").alias("ssw"), F.count("*").alias("k"))
     j = whole.join(inner, keys) if keys else whole.withColumn("__k", F.lit(1)).join(inner.withColumn("__k", F.lit(1)), "__k").drop("__k")
     q = F.when(F.col("sst") == 0, 0.0).otherwise(F.least(F.greatest(1 - F.col("ssw") / F.col("sst"), F.lit(0.0)), F.lit(1.0)))
     j = j.withColumns({"q": q, "df1": F.col("k") - 1, "df2": F.col("n") - F.col("k")})
-    f = F.when(F.col("sst") == 0, 0.0).when((F.col("df1") <= 0) | (F.col("df2") <= 0), F.lit(None)).otherwise(F.col("df2") / F.col("df1") * F.col("q") / F.nullif(1 - F.col("q"), F.lit(0.0)))
-    lam = (F.col("sst") - F.col("ssw")) / (2 * F.col("ssw") / F.col("df2"))
-    return j.withColumns({"f": f, "lam": lam}).drop("k")
+    flat, few = F.col("sst") == 0, (F.col("df1") <= 0) | (F.col("df2") <= 0)
+    nan, infinite = F.lit(float("nan")), F.lit(float("inf"))
+    f = F.when(flat, 0.0).when(few, nan).when(F.col("q") >= 1, infinite).otherwise(F.col("df2") / F.col("df1") * F.col("q") / F.nullif(1 - F.col("q"), F.lit(0.0)))
+    lam = F.when(flat, 0.0).when(few, nan).when(F.col("ssw") == 0, 0.0).otherwise((F.col("sst") - F.col("ssw")) / (2 * F.nullif(F.col("ssw"), F.lit(0.0)) / F.col("df2")))
+
+    @F.pandas_udf("double")
+    def tail(f: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([kernels.f_tail(x, m, n) for x, m, n in zip(f, a, b)], dtype=float)
 
+    p = F.when(flat, 1.0).when(few, nan).when(F.col("q") >= 1, 0.0).otherwise(tail(F.coalesce("f", F.lit(1.0)), F.greatest("df1", F.lit(1)), F.greatest("df2", F.lit(1))))
+    return j.withColumns({"f": f, "lam": lam}).withColumn("p", p).drop("k")
 
+
+#: Cells of a cluster at least (fixed value).
+LEAST = 5
 CONFIGS = [("ward", "euclidean"), ("average", "euclidean"), ("average", "manhattan"), ("complete", "euclidean"), ("complete", "manhattan")]
 
 
 def cluster_configs(cells: DataFrame, ks, least_fraction: float = 0.0, configs=CONFIGS, connectivity: str = "queen") -> DataFrame:
     """(cell, row, col, value) -> (linkage, metric, k_req, k_found, q, p, labels): one task for each configuration.
 
-    Features are value, row and col, each scaled. k = 0 asks for the k of the largest relative gap. A configuration gets the whole grid, which is what one clustering needs.
+    Features are value, row and col, each scaled. k = 0 asks for the k of the largest relative gap. Clusters below the
+    larger of 5 cells and the fraction join others. A configuration gets the whole grid, which is what one clustering needs.
     """
     grid = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "row", "col", "value"))).alias("grid"))
     asked = F.explode(F.array(*[F.struct(F.lit(a).alias("linkage"), F.lit(b).alias("metric"), F.lit(int(k)).alias("k_req")) for k in ks for a, b in configs]))
@@ -101,7 +127,7 @@ def cluster_configs(cells: DataFrame, ks, least_fraction: float = 0.0, configs=C
             edges = kernels.grid_edges(rows, cols, QUEEN if connectivity == "queen" else ROOK)
             k = r.k_req or kernels.auto_k(x, edges, r.linkage, r.metric)
             labels = kernels.agglomerate(x, edges, k, r.linkage, r.metric) if edges else np.arange(len(g))
-            labels = np.unique(kernels.merge_tiny(labels, rows, cols, max(5, int(len(g) * least_fraction)) if least_fraction else 1), return_inverse=True)[1]
+            labels = np.unique(kernels.merge_tiny(labels, rows, cols, max(LEAST, int(len(g) * least_fraction))), return_inverse=True)[1]
             q = kernels.q_statistic(g.value, labels)
             out.append((r.linkage, r.metric, r.k_req, int(labels.max()) + 1, q["q"], q["p"], labels.tolist()))
         return pd.DataFrame(out, columns=["linkage", "metric", "k_req", "k_found", "q", "p", "labels"])
@@ -115,6 +141,11 @@ def distinct_partitions(found: DataFrame) -> DataFrame:
     return found.withColumn("__r", F.row_number().over(w)).where("__r = 1").drop("__r")
 
 
+def ranked_partitions(found: DataFrame, n: int = 20) -> DataFrame:
+    """The n distinct partitions of two or more clusters with the highest q; the first one is the best."""
+    return distinct_partitions(found.where("k_found >= 2")).orderBy(F.desc("q"), "k_req", "linkage", "metric").limit(n)
+
+
 def k_frequency(found: DataFrame) -> DataFrame:
     return found.groupBy("k_found").agg(F.count("*").alias("n"), F.max("q").alias("best_q"))
 
@@ -127,11 +158,27 @@ def choose_k(found: DataFrame) -> int:
 
 
 def nearest_fill(labels: DataFrame) -> DataFrame:
-    """Cells without a label get that of the nearest with one; ties to the smaller (row, col). Grids are small tables."""
-    have = labels.where("label IS NOT NULL").select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("label").alias("l"), F.lit(1).alias("k"))
-    lack = labels.where("label IS NULL").withColumn("k", F.lit(1))
-    d = (F.col("row") - F.col("r")) * (F.col("row") - F.col("r")) + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c"))
-    fill = lack.join(have, "k").groupBy("cell", "row", "col").agg(F.min_by("l", F.struct(d, "r", "c")).alias("label"))
+    """Cells without a label get that of the nearest with one; ties to the smaller (row, col).
+
+    In two steps, as distance transforms go: for each place of a column the nearest labelled cells above and below, then
+    for each cell the best of these along its row. Both steps are dealt out by column and by row. Places of the row that
+    are no cells take part too, so gaps in the grid hide nothing.
+    """
+    have = labels.where("label IS NOT NULL").select(F.col("row").alias("r"), F.col("col").alias("c"), F.col("label").alias("l"))
+    lack = labels.where("label IS NULL")
+    rows = lack.select("row").distinct()
+    # A column's labelled cells and the rows asked for, in one order.
+    asked = have.select("c").distinct().crossJoin(rows).select("c", F.col("row").alias("r"), F.lit(None).cast("struct<r:int,l:bigint>").alias("at"))
+    seen = have.select("c", "r", F.struct(F.col("r").cast("int").alias("r"), F.col("l").cast("bigint").alias("l")).alias("at"))
+    w = Window.partitionBy("c").orderBy("r")
+    both = seen.unionByName(asked).withColumns({
+        "up": F.last("at", True).over(w.rangeBetween(Window.unboundedPreceding, Window.currentRow)),
+        "down": F.first("at", True).over(w.rangeBetween(Window.currentRow, Window.unboundedFollowing)),
+    }).where("at IS NULL")
+    near = both.select(F.col("r").alias("row"), "c", F.explode(F.array_compact(F.array("up", "down"))).alias("at"))
+    d = (F.col("row") - F.col("at.r")) * (F.col("row") - F.col("at.r")) + (F.col("col") - F.col("c")) * (F.col("col") - F.col("c"))
+    kind = dict(labels.dtypes)["label"]
+    fill = lack.select("cell", "row", "col").join(near, "row").groupBy("cell", "row", "col").agg(F.min_by("at.l", F.struct(d, "at.r", "c")).cast(kind).alias("label"))
     return labels.where("label IS NOT NULL").select("cell", "row", "col", "label").unionByName(fill)
 
 
@@ -148,7 +195,7 @@ def split_parts(labels: DataFrame) -> DataFrame:
     """(cell, label, part): connected parts of each label, numbered by label and first cell in scan order."""
     comp = components(labels.select("label", "cell", "row", "col"), ["label"], 1)
     order = comp.select("label", "comp").distinct().withColumn("part", F.row_number().over(Window.orderBy("label", "comp")) - 1)
-    return comp.join(F.broadcast(order), ["label", "comp"]).select("cell", "label", "part")
+    return comp.join(order, ["label", "comp"]).select("cell", "label", "part")
 
 
 def cluster_adjacency(labels: DataFrame) -> DataFrame:
@@ -168,10 +215,11 @@ def merge_small(labels: DataFrame, least: int) -> DataFrame:
     place = {k: i for i, k in enumerate(ids)}
     root = kernels.union_find(len(ids), [(place[a], place[b]) for a, b in pairs])
     to = {k: ids[root[i]] for k, i in place.items() if ids[root[i]] != k}
-    label = F.col("label")
-    for a, b in to.items():
-        label = F.when(F.col("label") == a, b).otherwise(label)
-    return labels.withColumn("label", label)
+    if not to:
+        return labels
+    kind = dict(labels.dtypes)["label"]
+    new = labels.sparkSession.createDataFrame([*to.items()], f"label {kind}, __to {kind}")
+    return labels.join(new, "label", "left").withColumn("label", F.coalesce("__to", "label")).select(*labels.columns)
 
 
 def merge_remaining(labels: DataFrame, least: int) -> DataFrame:
@@ -189,7 +237,7 @@ def relabel(labels: DataFrame, order: str = "south") -> DataFrame:
     g = labels.groupBy("label").agg(F.avg("lat").alias("y"), F.avg("lon").alias("x"), F.max("lat").alias("top"), F.min("lon").alias("west"))
     by = [F.round("y", 9), F.round("x", 9)] if order == "south" else [F.desc("top"), F.col("west")]
     ranks = g.withColumn("rank", F.row_number().over(Window.orderBy(*by, "label")) - 1).select("label", "rank")
-    return labels.join(F.broadcast(ranks), "label").select("cell", "label", "rank")
+    return labels.join(ranks, "label").select("cell", "label", "rank")
 
 
 def smooth_labels(labels: DataFrame, least: float = 0.1, split: bool = True, order: str = "south") -> DataFrame:
@@ -207,8 +255,40 @@ def smooth_labels(labels: DataFrame, least: float = 0.1, split: bool = True, ord
     return hold(relabel(hold(got), order))
 
 
-def bilinear(cells: DataFrame, factor: int = 2) -> DataFrame:
-    """(row, col, value) on a grid -> (row, col, value) at 1/factor steps: each point joins the four cells around it."""
+def outlines(labels: DataFrame, dlat: float, dlon: float, lat0: float, lon0: float) -> DataFrame:
+    """(community, row, col) -> (community, cells, rings, area, geometry): one multipolygon for each community.
+
+    lat0 and lon0 are the centre of row 0 and column 0. Inner borders are dissolved, holes are kept; area in square
+    degrees. A community is one group, at most a grid.
+    """
+
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        rings = [[(lon0 + (x - 0.5) * dlon, lat0 + (y - 0.5) * dlat) for x, y in r] for r in kernels.outline(t.row.tolist(), t.col.tolist())]
+        outer, holes = [[r] for r in rings if kernels.ring_area(r) > 0], [r for r in rings if kernels.ring_area(r) < 0]
+        for h in holes:  # the smallest outer ring around a point just off the hole's first corner
+            x, y = h[0][0] + dlon / 2, h[0][1] + dlat / 2
+            around = [p for p in outer if kernels.within(p[0], x, y)]
+            min(around or outer, key=lambda p: kernels.ring_area(p[0])).append(h)
+        text = ", ".join("(" + ", ".join("(" + ", ".join(f"{x:.4f} {y:.4f}" for x, y in r) + ")" for r in p) + ")" for p in outer)
+        return pd.DataFrame({"cells": [len(t)], "rings": [len(rings)], "area": [sum(map(kernels.ring_area, rings))], "geometry": [f"MULTIPOLYGON ({text})"]})
+
+    return by_group(labels.select("community", "row", "col"), ("community",), run, "cells long, rings int, area double, geometry string")
+
+
+def bilinear(cells: DataFrame, factor: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, row, col, value) -> (keys, y, x, value) at 1/factor steps: each point joins the four cells around it."""
+    if keys:
+        rows, cols = ((F.col(c) * factor).alias(c) for c in ("row", "col"))
+        span = lambda c: F.sequence(F.greatest(c - factor + 1, F.lit(0)), c + factor - 1)
+        p = cells.select(*keys, rows, cols).select(*keys, F.explode(span(F.col("row"))).alias("y"), "col").select(*keys, "y", F.explode(span(F.col("col"))).alias("x")).distinct()
+        corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
+        y, x = F.col("y") / factor, F.col("x") / factor
+        p = p.withColumn("k", corner).withColumns({"row": (F.floor(y) + F.col("k.a")).cast("int"), "col": (F.floor(x) + F.col("k.b")).cast("int")})
+        w = (1 - F.abs(y - F.col("row"))) * (1 - F.abs(x - F.col("col")))
+        j = p.withColumn("w", w).where("w > 0").join(cells.select(*keys, "row", "col", "value"), [*keys, "row", "col"])
+        # As in a triangulation, a point between cells needs all of them.
+        whole = F.abs(F.sum("w") - 1) < 1e-9
+        return j.groupBy(*keys, "y", "x").agg(F.when(whole, F.sum(F.col("w") * F.col("value"))).alias("value")).where("value IS NOT NULL")
     m = cells.agg(F.max("row").alias("rmax"), F.max("col").alias("cmax")).select(F.explode(F.sequence(F.lit(0), F.col("rmax") * factor)).alias("y"), "cmax").select("y", F.explode(F.sequence(F.lit(0), F.col("cmax") * factor)).alias("x"))
     y, x = F.col("y") / factor, F.col("x") / factor
     p = m.withColumns({"fy": y - F.floor(y), "fx": x - F.floor(x), "r0": F.floor(y), "c0": F.floor(x)})

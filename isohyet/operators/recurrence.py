@@ -1,56 +1,69 @@
 """Recurrence analysis of windows of a multivariate series, from pairs to line metrics.
 
-State tables have (win, i, x): the window, the row's place in it, and its features. Pairs meet by an equi-join on the
-window, so the work is windows times squared window size, whatever the series' length.
+State tables have (win, i, x): the window, the row's place in it, and its features. One window is one group, so the
+work is windows times squared window size, whatever the series' length, and a task holds one window's distances.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isohyet.functions import kernels
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+def by_group(df: DataFrame, keys, f, schema: str) -> DataFrame:
+    """Grouped map f(key values, pandas frame) -> pandas frame, for keys that are kept in front."""
+    kinds = dict(df.dtypes)
 
+    def run(t: pd.DataFrame) -> pd.DataFrame:
+        at = {k: t[k].iloc[0] for k in keys}
+        out = f(at, t)
+        for n, k in enumerate(keys):
+            out.insert(n, k, pd.Series([at[k]] * len(out), index=out.index, dtype=object))
+        return out
+
+    return df.groupBy(*keys).applyInPandas(run, ", ".join([*(f"{k} {kinds[k]}" for k in keys), schema]))
+
+
+def vectors(t: pd.DataFrame) -> np.ndarray:
+    """Features of a group's rows in order of their place; None counts as missing."""
+    return np.array([np.asarray(v, float) for v in t.sort_values("i").x])
 
-def prepared(x: Column, cosine: bool) -> Column:
-    """Missing features as 0; for the cosine distance each is raised by 1e-6 and the vector scaled to length 1."""
-    x = F.transform(x, lambda v: F.coalesce(F.when(~F.isnan(v), v.cast("double")), F.lit(0.0)) + F.lit(1e-6 if cosine else 0.0))
-    if not cosine:
-        return x
-    norm = F.sqrt(dot(x, x))
-    return F.transform(x, lambda v: v / F.when(norm == 0, 1.0).otherwise(norm))
 
+def recurrences(state: DataFrame, q: float | None = 0.1, theiler: int = 0, cosine: bool = True, eps: float | None = None, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, i, j, eps): pairs with |i - j| > theiler whose distance is at most eps, or the window's q quantile of them.
+
+    One window is one group: its distances are a matrix product, and only recurrent pairs leave the task. Missing
+    features count as 0; the cosine distance raises each by 1e-6. Distances have 9 decimals and include their limit. A
+    column theiler of the state overrides the parameter.
+    """
+
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        i = np.sort(t.i.to_numpy())
+        d = kernels.distances(vectors(t), cosine)
+        off = np.abs(i[:, None] - i[None]) > (int(t.theiler.iloc[0]) if "theiler" in t else theiler)
+        if not off.any():
+            return pd.DataFrame({"i": [], "j": [], "eps": []})
+        limit = float(np.quantile(d[off], q)) if eps is None else float(eps)
+        a, b = np.nonzero((d <= limit) & off)
+        return pd.DataFrame({"i": i[a], "j": i[b], "eps": np.full(len(a), limit)})
 
-def pairs(state: DataFrame, theiler: int = 0, cosine: bool = True, keys: tuple[str, ...] = ("win",)) -> DataFrame:
-    """(keys, i, j, d) of all pairs with |i - j| > theiler; distances to 9 decimals. Each is computed once and mirrored."""
-    s = state.select(*keys, "i", prepared(F.col("x"), cosine).alias("x"))
-    a, b = s.withColumnsRenamed({"i": "i", "x": "xa"}), s.withColumnsRenamed({"i": "j", "x": "xb"})
-    half = a.join(b, [*keys]).where(F.col("j") - F.col("i") > theiler)
-    if cosine:
-        d = F.least(F.greatest(1 - dot(F.col("xa"), F.col("xb")), F.lit(0.0)), F.lit(2.0))
-    else:
-        d = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    half = half.select(*keys, "i", "j", F.round(d, 9).alias("d"))
-    return half.select(*keys, F.explode(F.array(F.struct("i", "j", "d"), F.struct(F.col("j").alias("i"), F.col("i").alias("j"), "d"))).alias("p")).select(*keys, "p.i", "p.j", "p.d")
+    return by_group(state, keys, run, "i int, j int, eps double")
 
 
-def recurrences(pairs_: DataFrame, q: float | None = 0.1, eps: float | None = None, keys: tuple[str, ...] = ("win",)) -> DataFrame:
-    """(keys, i, j, eps) of recurrent pairs: distance at most eps, or at most the window's q quantile of distances."""
-    if eps is not None:
-        return pairs_.where(F.col("d") <= eps).select(*keys, "i", "j", F.lit(float(eps)).alias("eps"))
-    limit = F.percentile("d", F.lit(q)).over(Window.partitionBy(*keys))
-    return pairs_.withColumn("eps", limit).where("d <= eps").select(*keys, "i", "j", "eps")
+def epsilons(state: DataFrame, q: float = 0.1, theiler: int = 0, cosine: bool = True, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, eps): the q quantile of each window's distances."""
 
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        i = np.sort(t.i.to_numpy())
+        off = np.abs(i[:, None] - i[None]) > theiler
+        return pd.DataFrame({"eps": [float(np.quantile(kernels.distances(vectors(t), cosine)[off], q))] if off.any() else []})
 
-def epsilons(pairs_: DataFrame, q: float = 0.1, keys: tuple[str, ...] = ("win",)) -> DataFrame:
-    return pairs_.groupBy(*keys).agg(F.percentile("d", F.lit(q)).alias("eps"))
+    return by_group(state, keys, run, "eps double")
 
 
 def runs(rec: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
@@ -97,37 +110,43 @@ def zero_counts(df: DataFrame, metrics: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(m) == 0).alias(m) for m in metrics])
 
 
-def lag_percentiles(state: DataFrame, most: int, cosine: bool = True, percentiles=(1, 10, 50, 90, 99), keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, dt, p1 ...): percentiles of the distances of rows dt apart, dt from 1 to most, by an equi-join on the later row."""
-    s = state.select(*keys, "i", prepared(F.col("x"), cosine).alias("x"))
-    a = s.select(*keys, F.col("x").alias("xa"), "i", F.explode(F.sequence(F.lit(1), F.lit(most))).alias("dt")).withColumn("j", F.col("i") + F.col("dt"))
-    b = s.select(*keys, F.col("i").alias("j"), F.col("x").alias("xb"))
-    pair = a.join(b, [*keys, "j"])
-    if cosine:
-        d = F.least(F.greatest(1 - dot(F.col("xa"), F.col("xb")), F.lit(0.0)), F.lit(1.0))
-    else:
-        d = F.sqrt(F.aggregate(F.zip_with("xa", "xb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    pair = pair.select(*keys, "dt", F.round(d, 9).alias("d"))
-    pair = pair.where("d > 1e-5") if cosine else pair
-    got = pair.groupBy(*keys, "dt").agg(F.percentile("d", F.array(*[F.lit(p / 100) for p in percentiles])).alias("p"))
+def lag_percentiles(state: DataFrame, most: int, cosine: bool = True, percentiles=(1, 10, 50, 90, 99), keys: tuple[str, ...] = (), block: int = 4096) -> DataFrame:
+    """(keys, dt, p1 ...): percentiles of the distances of rows dt apart, dt from 1 to most.
+
+    The series is cut into blocks of places; a row also goes to the block before it if it stands within reach of that.
+    Cosine distances are clamped to 0 to 2 and left out up to 1e-5.
+    """
+    at = F.floor(F.col("i") / block)
+    near = F.when((F.col("i") % block < most) & (at > 0), F.array(at, at - 1)).otherwise(F.array(at))
+    rows = state.select(*keys, "i", "x", F.explode(near).alias("__b"))
+
+    def run(key: dict, t: pd.DataFrame) -> pd.DataFrame:
+        lag, d = kernels.lag_distances(vectors(t), np.sort(t.i.to_numpy()), most, (int(key["__b"]) + 1) * block, cosine)
+        keep = d > 1e-5 if cosine else np.ones(len(d), bool)
+        return pd.DataFrame({"dt": lag[keep], "d": d[keep]})
+
+    got = by_group(rows, (*keys, "__b"), run, "dt int, d double").groupBy(*keys, "dt").agg(F.percentile("d", F.array(*[F.lit(p / 100) for p in percentiles])).alias("p"))
     return got.select(*keys, "dt", *[F.col("p")[k].alias(f"p{p}") for k, p in enumerate(percentiles)])
 
 
 def theiler_windows(curves: DataFrame, keys: list[str], within: int = 30) -> DataFrame:
-    """(keys, theiler): knee of the 90th percentile curve up to `within`, else the last lag there; few points: the last lag."""
-    schema = ", ".join(f"{k} {dict(curves.dtypes)[k]}" for k in keys) + ", theiler int"
+    """(keys, theiler): knee of the 90th percentile curve up to `within`, else the last lag there.
+
+    With fewer than 3 points of the curve, or of its part up to `within`, the last lag of all.
+    """
 
-    def cut(t: pd.DataFrame) -> pd.DataFrame:
+    def cut(key: dict, t: pd.DataFrame) -> pd.DataFrame:
+        last = int(t.dt.max())
         t = t.dropna(subset=["p90"]).sort_values("dt")
-        at = int(t.dt.max()) if len(t) else 1
-        if len(t) >= 3:
-            y = (t.p90 - t.p90.min()) / (t.p90.max() - t.p90.min() + 1e-10)
-            near = (t.dt <= within).to_numpy()
-            knee = kernels.kneedle(t.dt.to_numpy()[near], y.to_numpy()[near])
-            at = int(knee) if knee is not None else int(t.dt.to_numpy()[near].max()) if near.any() else at
-        return pd.DataFrame([[*(t[k].iloc[0] for k in keys), at]], columns=[*keys, "theiler"])
-
-    return curves.groupBy(*keys).applyInPandas(cut, schema)
+        near = t[t.dt <= within]
+        at = last
+        if len(near) >= 3:
+            y = (near.p90 - t.p90.min()) / (t.p90.max() - t.p90.min() + 1e-10)
+            knee = kernels.kneedle(near.dt.to_numpy(), y.to_numpy())
+            at = int(near.dt.iloc[-1] if knee is None else knee)
+        return pd.DataFrame({"theiler": [at]})
+
+    return by_group(curves, keys, cut, "theiler int")
 
 
 def surrogates(state: DataFrame, count: int = 99, q: float = 0.1, theiler: int = 0, cosine: bool = True, rounds: int = 20, batch: int = 11, keys: tuple[str, ...] = ("win",)) -> DataFrame:

@@ -11,15 +11,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isohyet.functions import kernels
+from isohyet.operators.recurrence import by_group
 
 
-def power(series: DataFrame, size: int, keys: list[str]) -> DataFrame:
-    """(keys, f, p): spectrum of series of `size` values by sums of sines and cosines, inner bins twice, at most 1."""
-    bins = size // 2 + 1
-    each = series.withColumn("f", F.explode(F.sequence(F.lit(0), F.lit(bins - 1))))
-    angle = F.lit(2 * math.pi / size) * F.pmod(F.col("f") * F.col("i"), F.lit(size))
-    s = each.groupBy(*keys, "f").agg(F.sum(F.col("v") * F.cos(angle)).alias("c"), F.sum(F.col("v") * F.sin(angle)).alias("s"))
-    p = (F.col("c") * F.col("c") + F.col("s") * F.col("s")) / size * F.when((F.col("f") > 0) & (F.col("f") < bins - 1), 2.0).otherwise(1.0)
+def power(series: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, f, p): spectrum of each whole series by sums of sines and cosines, inner bins twice, at most 1."""
+    size = F.col("__n")
+    each = series.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    each = each.withColumn("f", F.explode(F.sequence(F.lit(0), F.floor(size / 2).cast("int"))))
+    angle = F.lit(2 * math.pi) / size * F.pmod(F.col("f") * F.col("i"), size)
+    s = each.groupBy(*keys, "f", "__n").agg(F.sum(F.col("v") * F.cos(angle)).alias("c"), F.sum(F.col("v") * F.sin(angle)).alias("s"))
+    p = (F.col("c") * F.col("c") + F.col("s") * F.col("s")) / size * F.when((F.col("f") > 0) & (F.col("f") < F.floor(size / 2)), 2.0).otherwise(1.0)
     top = F.max("p").over(Window.partitionBy(*keys))
     return s.withColumn("p", p).withColumn("p", F.col("p") / F.when(top == 0, 1.0).otherwise(top)).select(*keys, "f", "p")
 
@@ -51,44 +53,60 @@ def threshold_curve(values: DataFrame, column: str = "sc", base: float = 0.0) ->
 
 
 def relevant(loadings: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, cell): cells whose loading on some component exceeds 3 times the spread of that component's loadings."""
-    sd = F.stddev_pop("a").over(Window.partitionBy(*keys, "pc"))
+    """(keys, cell): cells whose absolute loading on some component exceeds 3 times the spread of the absolute loadings."""
+    sd = F.stddev_pop(F.abs("a")).over(Window.partitionBy(*keys, "pc"))
     return loadings.withColumn("sd", sd).where(F.abs("a") > 3 * F.col("sd")).select(*keys, "cell").distinct()
 
 
-def svd_by_window(matrix: DataFrame) -> DataFrame:
-    """(win, cell, i, z) -> (win, pc, share, sc): each component's share of variance and spectral concentration."""
+def factors(t: pd.DataFrame) -> tuple[pd.Index, np.ndarray, np.ndarray, np.ndarray]:
+    """Cells, loadings, singular components' shares and spectral concentrations of a window's rows (cell, i, z)."""
+    b = t.pivot(index="cell", columns="i", values="z").fillna(0.0)
+    z, a = kernels.svd_factors(b.to_numpy())
+    size = (a**2).sum(0)
+    sc = np.array([kernels.half_height(p)[0] for p in kernels.power_spectrum(z)]) if len(z) else np.zeros(0)
+    return b.index, a, size / max(size.sum(), 1e-300), sc
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        b = t.pivot(index="cell", columns="i", values="z").fillna(0.0)
-        z, a = kernels.svd_factors(b.to_numpy())
-        size = (a**2).sum(0)
-        sc = [kernels.half_height(p)[0] for p in kernels.power_spectrum(z)] if len(z) else []
-        return pd.DataFrame({"win": int(t.win.iloc[0]), "pc": np.arange(len(z)), "share": size / max(size.sum(), 1e-300), "sc": sc})
 
-    return matrix.groupBy("win").applyInPandas(run, "win long, pc int, share double, sc double")
+def svd_by_window(matrix: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, cell, i, z) -> (keys, pc, share, sc): each component's share of variance and spectral concentration."""
 
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        _, _, share, sc = factors(t)
+        return pd.DataFrame({"pc": np.arange(len(sc)), "share": share, "sc": sc})
 
-def communities(matrix: DataFrame, fixed: float | None = None) -> DataFrame:
-    """(win, cell, row, col, i, z) -> (win, comp, cell): spatially connected cells that load on concentrated components.
+    return by_group(matrix, keys, run, "pc int, share double, sc double")
 
+
+def loadings(matrix: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, cell, i, z) -> (keys, cell, pc, sc, a): the loadings of all components; their signs are arbitrary."""
+
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        cells, a, _, sc = factors(t)
+        n = len(sc)
+        return pd.DataFrame({"cell": np.repeat(np.asarray(cells), n), "pc": np.tile(np.arange(n), len(cells)), "sc": np.tile(sc, len(cells)), "a": a.reshape(-1)})
+
+    return by_group(matrix, keys, run, "cell long, pc int, sc double, a double")
+
+
+def communities(matrix: DataFrame, fixed: float | None = None, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, cell, row, col, i, z) -> (keys, comp, cell): spatially connected cells that load on concentrated components.
+
+    A component counts if its concentration is above the limit, the knee of the window's own curve unless one is fixed.
     A window's matrix is one group; it is as large as the grid times the window.
     """
 
-    def run(t: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"win": [], "comp": [], "cell": []})
-        b = t.pivot(index="cell", columns="i", values="z").fillna(0.0)
-        z, a = kernels.svd_factors(b.to_numpy())
-        if not len(z):
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"comp": [], "cell": []})
+        cells, a, _, sc = factors(t)
+        if not len(sc):
             return none
-        sc = np.array([kernels.half_height(p)[0] for p in kernels.power_spectrum(z)])
-        pcs = np.flatnonzero(sc >= (kernels.sc_cutoff(sc) if fixed is None else fixed))
-        hot = np.flatnonzero((np.abs(a[:, pcs]) > 3 * a[:, pcs].std(0)).any(1)) if len(pcs) else []
+        strong = np.abs(a[:, np.flatnonzero(sc > (kernels.sc_cutoff(sc) if fixed is None else fixed))])
+        hot = np.flatnonzero((strong > 3 * strong.std(0)).any(1))
         if len(hot) < 2:
             return none
-        place = t.drop_duplicates("cell").set_index("cell").loc[b.index[hot]]
+        place = t.drop_duplicates("cell").set_index("cell").loc[cells[hot]]
         comp = kernels.union_find(len(hot), kernels.grid_edges(place.row.tolist(), place.col.tolist()))
-        out = pd.DataFrame({"win": int(t.win.iloc[0]), "comp": comp, "cell": b.index[hot]})
-        return out[out.groupby("comp").cell.transform("size") >= 2]
+        out = pd.DataFrame({"comp": np.asarray(cells[hot])[comp], "cell": np.asarray(cells[hot])})
+        return out[out.groupby("comp").cell.transform("size") >= 2].reset_index(drop=True)
 
-    return matrix.groupBy("win").applyInPandas(run, "win long, comp int, cell long")
+    return by_group(matrix, keys, run, "comp long, cell long")

@@ -39,7 +39,8 @@ def trend_table(series: DataFrame, keys: list[str], periods: list[tuple[int, int
     """
     s = series.where(F.col("v").isNotNull())
     whole = s.groupBy(*keys).agg(F.avg("v").alias("__m"), F.stddev_samp("v").alias("__sd"))
-    spans = F.concat(F.array(F.lit("full")), F.filter(F.array(*[F.when((F.year("time") >= a) & (F.year("time") < b), F.lit(f"{a}-{b}")) for a, b in periods], F.lit(None)), lambda x: x.isNotNull()))
+    inside = [F.when((F.year("time") >= a) & (F.year("time") < b), F.lit(f"{a}-{b}")) for a, b in periods]
+    spans = F.array_compact(F.array(F.lit("full"), *inside))
     each = s.withColumn("period", F.explode(spans))
     each = each.withColumn("i", F.row_number().over(Window.partitionBy(*keys, "period").orderBy("time")) - 1)
     got = mann_kendall(each.select(*keys, "period", "i", "v"), [*keys, "period"]).join(whole, keys)

@@ -66,6 +66,30 @@ def by_year(days: DataFrame) -> DataFrame:
     return years.join(got, "year", "left").withColumn("dry_days", F.coalesce("dry_days", F.lit(0.0)))
 
 
+def highest_median(days: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, highest): the largest daily median."""
+    return days.groupBy(*keys).agg(F.max("median").alias("highest"))
+
+
+def padded_limits(series: DataFrame, metrics: list[str], pad: float = 0.1) -> DataFrame:
+    """(metric, low, high): range of each metric and its band over all series, widened by a share; 0 to 1 without values.
+
+    A metric's band is in the columns <metric>_low and <metric>_high, where the series has them.
+    """
+    columns = {m: [c for c in (m, f"{m}_low", f"{m}_high") if c in series.columns] for m in metrics}
+    fine = lambda c: F.when(~F.isnan(c) & (F.abs(c) != F.lit(float("inf"))), F.col(c))
+    ends = [f(fine(c).cast("double")).alias(f"{c}__{n}") for cs in columns.values() for c in cs for n, f in (("min", F.min), ("max", F.max))]
+    one = series.agg(*ends)
+    rows = F.array(*[F.struct(F.lit(m).alias("metric"), *[f(F.array(*[F.col(f"{c}__{n}") for c in cs])).alias(n) for n, f in (("min", F.array_min), ("max", F.array_max))]) for m, cs in columns.items()])
+    got = one.select(F.explode(rows).alias("r")).select("r.*")
+    margin = (F.col("max") - F.col("min")) * pad
+    return got.select("metric", F.coalesce(F.col("min") - margin, F.lit(0.0)).alias("low"), F.coalesce(F.col("max") + margin, F.lit(1.0)).alias("high"))
+
+
+def first_k(win: Column, k: int) -> Column:
+    return win < k
+
+
 def every_nth(win: Column, n: int) -> Column:
     return F.pmod(win, F.lit(n)) == 0
 

@@ -19,6 +19,7 @@ from isohyet.operators import spectral as S
 from isohyet.operators import trend as T
 from isohyet.operators import windows as W
 from isohyet.operators.hold import hold
+from isohyet.plans import analysis
 from isohyet.sources import tables
 
 QUERIES: dict = {}
@@ -133,26 +134,81 @@ def grid_geometry(spark, d):
     return C.grid_index(c).select("cell", *long("row", "col"), F.round(C.cell_area(F.col("lat"), F.lit(step.dlat), F.lit(step.dlon)), 6).alias("area"))
 
 
-@query("grid_resolution", on_cube("SELECT 'min' AS how, 0.25 + 0 * (SELECT count(*) FROM cells) AS dlat, CAST(0.25 AS DOUBLE) AS dlon UNION ALL SELECT 'median', 0.25, 0.25").replace("0.25 + 0 * (SELECT count(*) FROM cells)", "(SELECT min(d) FROM (SELECT lat - lag(lat) OVER (ORDER BY lat) AS d FROM (SELECT DISTINCT lat FROM cells)))"))
+@query("grid_resolution", on_cube("SELECT how, round(CASE how WHEN 'min' THEN (SELECT min(d) FROM y) ELSE (SELECT median(d) FROM y) END, 9) AS dlat, round(CASE how WHEN 'min' THEN (SELECT min(d) FROM x) ELSE (SELECT median(d) FROM x) END, 9) AS dlon FROM (VALUES ('min'), ('median')) h(how)", " y AS (SELECT lat - lag(lat) OVER (ORDER BY lat) AS d FROM (SELECT DISTINCT lat + 0.01 * \"row\" * \"row\" AS lat FROM cells)), x AS (SELECT lon - lag(lon) OVER (ORDER BY lon) AS d FROM (SELECT DISTINCT lon + 0.02 * col * col AS lon FROM cells))"))
 def grid_resolution(spark, d):
-    c = cells(spark, d)
-    return C.resolution(c).select(F.lit("min").alias("how"), "dlat", "dlon").unionByName(C.resolution(c, "median").select(F.lit("median").alias("how"), "dlat", "dlon"))
+    # Axes with uneven steps, so the smallest and the median differ.
+    c = cells(spark, d).select((F.col("lat") + 0.01 * F.col("row") * F.col("row")).alias("lat"), (F.col("lon") + 0.02 * F.col("col") * F.col("col")).alias("lon"))
+    one = lambda how: C.resolution(c, how).select(F.lit(how).alias("how"), F.round("dlat", 9).alias("dlat"), F.round("dlon", 9).alias("dlon"))
+    return one("min").unionByName(one("median"))
+
+
+@query("grid_area", on_cube("SELECT count(*) AS cells, round(sum(cos(radians(lat)) * 0.25 * 111.32 * 0.25 * 111.32), 4) AS square_km FROM cells"))
+def grid_area(spark, d):
+    return cells(spark, d).agg(F.count("*").alias("cells"), F.round(F.sum(C.cell_area(F.col("lat"), F.lit(0.25), F.lit(0.25))), 4).alias("square_km"))
+
+
+#: A triangle and a smaller one within it, and by separating axes whether a cell's box touches or lies within them.
+TRIANGLE, HOLE = [(75.31, 10.22), (77.13, 10.91), (75.87, 12.14)], [(75.7, 10.6), (76.7, 10.95), (76.0, 11.6)]
 
 
-@query("clip_polygon", on_cube("SELECT cell, sum(value) AS total FROM cube WHERE lat + 0.125 >= 10.6 AND lat - 0.125 <= 11.4 AND lon + 0.125 >= 75.7 AND lon - 0.125 <= 76.9 GROUP BY 1"))
+def apart(points, within: bool = False) -> str:
+    """SQL: whether box and triangle are apart (or, within, whether the box is not wholly inside)."""
+    tests = []
+    (ax, ay), (bx, by), (cx, cy) = points
+    for (px, py), (qx, qy), (rx, ry) in (((ax, ay), (bx, by), (cx, cy)), ((bx, by), (cx, cy), (ax, ay)), ((cx, cy), (ax, ay), (bx, by))):
+        nx, ny = qy - py, px - qx
+        if nx * (rx - px) + ny * (ry - py) < 0:
+            nx, ny = -nx, -ny
+        side = f"({nx} * (lon - {px}) + {ny} * (lat - {py}))"
+        tests.append(f"{side} {'-' if within else '+'} {0.125 * (abs(nx) + abs(ny))} < 0")
+    if not within:
+        xs, ys = [p[0] for p in points], [p[1] for p in points]
+        tests += [f"lon + 0.125 < {min(xs)}", f"lon - 0.125 > {max(xs)}", f"lat + 0.125 < {min(ys)}", f"lat - 0.125 > {max(ys)}"]
+    return "(" + " OR ".join(tests) + ")"
+
+
+@query("clip_polygon", on_cube(f"SELECT cell, sum(value) AS total FROM cube WHERE NOT {apart(TRIANGLE)} GROUP BY 1"))
 def clip_polygon(spark, d):
-    box = [(75.7, 10.6), (76.9, 10.6), (76.9, 11.4), (75.7, 11.4)]
-    return C.clip(cube(spark, d), [box], 0.25, 0.25).groupBy("cell").agg(F.sum("value").alias("total"))
+    return C.clip(cube(spark, d), [TRIANGLE], 0.25, 0.25).groupBy("cell").agg(F.sum("value").alias("total"))
+
+
+@query("clip_with_hole", on_cube(f"SELECT cell, sum(value) AS total FROM cube WHERE NOT {apart(TRIANGLE)} AND {apart(HOLE, True)} GROUP BY 1"))
+def clip_with_hole(spark, d):
+    return C.clip(cube(spark, d), [[TRIANGLE, HOLE]], 0.25, 0.25).groupBy("cell").agg(F.sum("value").alias("total"))
+
 
+#: The cube with gaps: some values of cells 0 to 29 are missing, cells whose number ends in 4 are dry throughout.
+GAPS = " gaps AS (SELECT time, cell, \"row\", col, lat, lon, CASE WHEN cell < 30 AND (cell * 31 + date_diff('day', DATE '1970-01-01', time)) % 97 = 0 THEN NULL WHEN cell % 10 = 4 THEN 0 WHEN cell = 37 AND time > (SELECT min(time) FROM cube) THEN NULL ELSE value END AS value FROM cube)"
 
-@query("roi_cells", on_cube("SELECT cell, count(value) AS n, round(stddev_pop(value), 6) AS sd FROM cube GROUP BY 1 HAVING count(value) >= 2 AND stddev_pop(value) > 0"))
+
+def gaps(spark, d: str) -> DataFrame:
+    c, day = cube(spark, d), F.datediff("time", F.lit("1970-01-01").cast("date"))
+    first = F.min("time").over(Window.partitionBy("cell"))
+    gone = ((F.col("cell") < 30) & ((F.col("cell") * 31 + day) % 97 == 0)) | ((F.col("cell") == 37) & (F.col("time") > first))
+    return c.withColumn("value", F.when(gone, None).when(F.col("cell") % 10 == 4, 0.0).otherwise(F.col("value")))
+
+
+@query("whole_cells", on_cube("SELECT cell, sum(value) AS total FROM gaps GROUP BY 1 HAVING count(value) = count(*)", GAPS))
+def whole_cells(spark, d):
+    return C.whole_cells(gaps(spark, d)).groupBy("cell").agg(F.sum("value").alias("total"))
+
+
+@query("valid_cells", on_cube("SELECT 'read' AS step, count(DISTINCT cell) FILTER (WHERE value IS NOT NULL) AS valid_cells FROM g2 UNION ALL SELECT 'clipped', count(DISTINCT cell) FILTER (WHERE value IS NOT NULL) FROM g2 WHERE NOT " + apart(TRIANGLE), GAPS + ", g2 AS (SELECT cell, lat, lon, CASE WHEN cell % 9 = 5 THEN NULL ELSE value END AS value FROM gaps)"))
+def valid_cells(spark, d):
+    g = gaps(spark, d).withColumn("value", F.when(F.col("cell") % 9 != 5, F.col("value")))
+    one = lambda step, df: C.valid_cells(df).select(F.lit(step).alias("step"), "valid_cells")
+    return one("read", g).unionByName(one("clipped", C.clip(g, [TRIANGLE], 0.25, 0.25)))
+
+
+@query("roi_cells", on_cube("SELECT cell, count(value) AS n, round(stddev_pop(value), 6) AS sd FROM gaps GROUP BY 1 HAVING count(value) >= 2 AND stddev_pop(value) > 0", GAPS))
 def roi_cells(spark, d):
-    return C.roi(C.whole_cells(cube(spark, d)), 2).select("cell", "n", *r6("sd"))
+    return C.roi(gaps(spark, d), 2).select("cell", "n", *r6("sd"))
 
 
-@query("wet_and_scaled", on_cube("SELECT cell, round(sum(CASE WHEN value * 1000 >= 0.0001 THEN value * 1000 ELSE 0 END), 4) AS total FROM cube GROUP BY 1"))
+@query("wet_and_scaled", on_cube("SELECT cell, round(sum(CASE WHEN value * 4e-9 * 1000 >= 0.0001 THEN value * 4e-9 * 1000 ELSE 0 END), 6) AS total, count(*) FILTER (WHERE value > 0 AND value * 4e-9 * 1000 < 0.0001) AS cut FROM cube GROUP BY 1"))
 def wet_and_scaled(spark, d):
-    return cube(spark, d).groupBy("cell").agg(F.round(F.sum(C.wet(C.scaled(F.col("value"), "m"))), 4).alias("total"))
+    v = C.scaled(F.col("value") * 4e-9, "m")
+    return cube(spark, d).groupBy("cell").agg(F.round(F.sum(C.wet(v)), 6).alias("total"), F.count_if((v > 0) & (C.wet(v) == 0)).alias("cut"))
 
 
 WINDOWS = f"""
@@ -184,6 +240,30 @@ def smooth_band(spark, d):
     return W.smooth(W.daily(cube(spark, d), []), "mean", 60).select(F.col("time").cast("string").alias("time"), *r6("mean_med", "mean_low", "mean_high"))
 
 
+@query("highest_median", on_cube("SELECT cell % 4 AS k, round(max(med), 6) AS highest FROM (SELECT cell % 4 AS cell, time, median(value) AS med FROM cube GROUP BY 1, 2) GROUP BY 1"))
+def highest_median(spark, d):
+    return W.highest_median(W.daily(cube(spark, d).withColumn("k", F.col("cell") % 4), ["k"]), ["k"]).select("k", *r6("highest"))
+
+
+@query("padded_limits", on_cube("SELECT m AS metric, round(lo - 0.1 * (hi - lo), 6) AS low, round(hi + 0.1 * (hi - lo), 6) AS high FROM (SELECT 'mean' AS m, least(min(mean), min(b)) AS lo, greatest(max(mean), max(b)) AS hi FROM x UNION ALL SELECT 'dry_node_fraction', min(dry_node_fraction), max(dry_node_fraction) FROM x) UNION ALL SELECT 'none', 0, 1", DAILY + ", x AS (SELECT mean, mean + 1 AS b, dry_node_fraction FROM daily)"))
+def padded_limits(spark, d):
+    x = W.daily(cube(spark, d), []).withColumns({"mean_high": F.col("mean") + 1, "none": F.lit(float("nan"))})
+    return W.padded_limits(x, ["mean", "dry_node_fraction", "none"]).select("metric", *r6("low", "high"))
+
+
+@query("window_selection", on_cube("SELECT win, win < 4 AS first, win % 3 = 0 AS nth FROM (SELECT DISTINCT win FROM wins) WHERE win < 4 OR win % 3 = 0", WINDOWS))
+def window_selection(spark, d):
+    w = W.row_windows(W.positions(cube(spark, d)), SIZE, STEP).select("win").distinct()
+    first, nth = W.first_k(F.col("win"), 4), W.every_nth(F.col("win"), 3)
+    return w.where(first | nth).select("win", first.alias("first"), nth.alias("nth"))
+
+
+@query("overlapping_windows", on_cube("SELECT w AS win, count(*) AS n, CAST(min(time) AS VARCHAR) AS first FROM (SELECT time, row_number() OVER (ORDER BY time) - 1 AS pos FROM days), (SELECT unnest(generate_series(0, ((SELECT count(*) FROM days) - 365) // 274)) AS w) WHERE pos BETWEEN w * 274 AND w * 274 + 364 GROUP BY 1"))
+def overlapping_windows(spark, d):
+    w = W.row_windows(W.positions(cube(spark, d)), 365, W.step_of(365, 0.25))
+    return w.groupBy("win").agg(F.count("*").alias("n"), F.min("time").cast("string").alias("first"))
+
+
 @query("annual_resample", on_cube("SELECT year(time) AS year, round(avg(dry_node_fraction), 6) AS dry_node_fraction, sum(dry_day) AS dry_days FROM daily GROUP BY 1", DAILY))
 def annual_resample(spark, d):
     return W.by_year(W.daily(cube(spark, d), [])).select(*long("year"), *r6("dry_node_fraction"), "dry_days")
@@ -203,7 +283,7 @@ def state(spark, d: str) -> DataFrame:
 
 
 def rec(spark, d: str, cosine: bool = True) -> DataFrame:
-    return R.recurrences(R.pairs(state(spark, d), THEILER, cosine), Q)
+    return R.recurrences(state(spark, d), Q, THEILER, cosine)
 
 
 VECTORS = f"""
@@ -254,7 +334,7 @@ def det_lam_ratio(spark, d):
 
 @query("recurrence_eps", f"WITH {VECTORS} SELECT win, round(eps, 8) AS eps FROM eps")
 def recurrence_eps(spark, d):
-    return R.epsilons(R.pairs(state(spark, d), THEILER), Q).select("win", F.round("eps", 8).alias("eps"))
+    return R.epsilons(state(spark, d), Q, THEILER).select("win", F.round("eps", 8).alias("eps"))
 
 
 @query("diag_hist", lines() + "SELECT win, len, n FROM h WHERE kind = 'diag' AND len >= 2 AND win % 3 = 0")
@@ -262,7 +342,7 @@ def diag_hist(spark, d):
     return R.diagonal_histogram(rec(spark, d)).where(W.every_nth(F.col("win"), 3)).select("win", *long("len", "n"))
 
 
-@query("theiler_curve", f"WITH {VECTORS}, l AS (SELECT b.pos - a.pos AS dt, round(least(greatest(1 - list_dot_product(a.u, b.u), 0), 1), 9) AS d FROM v a JOIN v b ON b.pos - a.pos BETWEEN 1 AND 30) SELECT dt, " + ", ".join(f"round(quantile_cont(d, {p / 100}), 6) AS p{p}" for p in (1, 10, 50, 90, 99)) + " FROM l WHERE d > 1e-5 GROUP BY 1")
+@query("theiler_curve", f"WITH {VECTORS}, l AS (SELECT b.pos - a.pos AS dt, round(least(greatest(1 - list_dot_product(a.u, b.u), 0), 2), 9) AS d FROM v a JOIN v b ON b.pos - a.pos BETWEEN 1 AND 30) SELECT dt, " + ", ".join(f"round(quantile_cont(d, {p / 100}), 6) AS p{p}" for p in (1, 10, 50, 90, 99)) + " FROM l WHERE d > 1e-5 GROUP BY 1")
 def theiler_curve(spark, d):
     e = series(spark, d)
     return R.lag_percentiles(e, 30).select(*long("dt"), *r6("p1", "p10", "p50", "p90", "p99"))
@@ -281,7 +361,7 @@ def theiler_window(spark, d):
 @query("surrogate_rank_test")
 def surrogate_rank_test(spark, d):
     s = state(spark, d)
-    got = R.line_metrics(R.recurrences(R.pairs(s, THEILER), Q), STATE)
+    got = R.line_metrics(R.recurrences(s, Q, THEILER), STATE)
     metrics = ["det", "lam", "entr", "lmean"]
     got, surr = hold(R.nulled(got, metrics)), hold(R.surrogates(s, 99, Q, THEILER))
     tests = [R.rank_test(got.where(F.col(m).isNotNull()), surr, m, ["win"]).select("win", F.lit(m).alias("metric"), F.col(m).alias("value"), "low", "high", "p", "significant") for m in metrics]
@@ -306,10 +386,36 @@ def mk_pieces(spark, d):
     return T.pieces(yearly(spark, d), ["cell"]).select("cell", *long("n", "s"), *r6("var_s", "slope", "intercept"))
 
 
-@query("mk_trend")
+def trend_sql(series: str, keys: str, periods) -> str:
+    """CTEs up to mk(keys, period, n, slope, slope_rel_pct, slope_z, intercept, p) for a CTE `series` of (keys, y, v)."""
+    spans = " ".join(f"UNION ALL SELECT '{a}-{b}', * FROM {series} WHERE y >= {a} AND y < {b}" for a, b in periods)
+    k = f"{keys}, period"
+    return f""" per AS (SELECT 'full' AS period, * FROM {series} {spans}),
+ ps AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY y) AS i, count(*) OVER (PARTITION BY {k}) AS n FROM per),
+ pr AS (SELECT {k}, sum(sign(b.v - a.v)) AS s, median((b.v - a.v) / (b.i - a.i)) AS slope FROM ps a JOIN ps b USING ({k}) WHERE a.i < b.i GROUP BY ALL),
+ ti AS (SELECT {k}, sum(t) AS n, sum(t * (t - 1) * (2 * t + 5)) AS ties FROM (SELECT {k}, v, count(*) AS t FROM ps GROUP BY ALL) GROUP BY ALL),
+ md AS (SELECT {k}, median(v) AS med FROM ps GROUP BY ALL),
+ wh AS (SELECT {keys}, avg(v) AS m, stddev_samp(v) AS sd FROM {series} GROUP BY ALL),
+ dt AS (SELECT {k}, i, n, round(v - slope * i, 12) AS r FROM ps JOIN pr USING ({k})),
+ rk AS (SELECT {k}, i, n, rank() OVER (PARTITION BY {k} ORDER BY r) + (count(*) OVER (PARTITION BY {k}, r) - 1) / 2.0 - (n + 1) / 2.0 AS c FROM dt),
+ c0 AS (SELECT {k}, sum(c * c) AS c0 FROM rk GROUP BY ALL),
+ ac AS (SELECT {k}, a.n, b.i - a.i AS lag, sum(a.c * b.c) AS g FROM rk a JOIN rk b USING ({k}) WHERE b.i > a.i GROUP BY ALL),
+ co AS (SELECT {k}, sum(CASE WHEN abs(g / c0) > 1.959963984540054 / sqrt(n) THEN (n - lag) * (n - lag - 1) * (n - lag - 2) * g / c0 ELSE 0 END) AS x FROM ac JOIN c0 USING ({k}) WHERE c0 > 0 GROUP BY ALL),
+ vr AS (SELECT {k}, ti.n, s, slope, med, m, sd, CASE WHEN ti.n >= 3 AND c0 > 0 THEN (ti.n * (ti.n - 1) * (2 * ti.n + 5) - ties) / 18.0 * (1 + 2 / CAST(ti.n * (ti.n - 1) * (ti.n - 2) AS DOUBLE) * x) END AS var
+   FROM ti JOIN md USING ({k}) JOIN wh USING ({keys}) LEFT JOIN pr USING ({k}) LEFT JOIN co USING ({k}) LEFT JOIN c0 USING ({k})),
+ zz AS (SELECT *, CASE WHEN var > 0 THEN abs(s - sign(s)) / sqrt(var) END AS z FROM vr),
+ mk AS (SELECT {k}, n, s, slope, 100 * slope / nullif(m, 0) AS slope_rel_pct, slope / nullif(sd, 0) AS slope_z, med - (n - 1) / 2.0 * slope AS intercept,
+   1 - sqrt(2 / pi()) * z / 1200 * list_sum(list_transform(range(0, 401), lambda k: (CASE WHEN k = 0 OR k = 400 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * exp(-0.5 * (z * k / 400) * (z * k / 400)))) AS p FROM zz)"""
+
+
+TREND = "CASE WHEN n < 2 THEN NULL WHEN p < 0.05 THEN CASE WHEN s > 0 THEN 'increasing' ELSE 'decreasing' END ELSE 'no trend' END AS trend, coalesce(p < 0.05, false) AS significant"
+
+
+@query("mk_trend", on_cube(f"SELECT cell, period, CAST(n AS BIGINT) AS n, round(slope, 6) AS slope, round(slope_rel_pct, 6) AS slope_rel_pct, round(slope_z, 6) AS slope_z, round(intercept, 6) AS intercept, round(p, 5) AS p, {TREND} FROM mk", YEARLY + "," + trend_sql("yearly", "cell", [(1993, 1997), (1994, 1999), (2001, 2004)])))
 def mk_trend(spark, d):
     y = yearly(spark, d).withColumn("time", F.make_date("y", F.lit(7), F.lit(1)))
-    return T.trend_table(y.select("cell", "time", "v"), ["cell"], [(1995, 1999), (1998, 2002)])
+    got = T.trend_table(y.select("cell", "time", "v"), ["cell"], [(1993, 1997), (1994, 1999), (2001, 2004)])
+    return got.select("cell", "period", *long("n"), *r6("slope", "slope_rel_pct", "slope_z", "intercept"), F.round("p", 5).alias("p"), "trend", F.coalesce("significant", F.lit(False)).alias("significant"))
 
 
 @query("neg_log_p", on_cube("SELECT cell, round(-log10(greatest(total / 1e6, 1e-10)), 6) AS neg_log_p, total / 1e6 < 0.05 AS significant FROM (SELECT cell, sum(value) AS total FROM cube GROUP BY 1)"))
@@ -320,16 +426,14 @@ def neg_log_p(spark, d):
 
 # Spectra of the cells' monthly totals.
 
-MONTHLY = " m0 AS (SELECT cell, date_trunc('month', time) AS m, sum(value) AS v FROM cube GROUP BY 1, 2), m AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY m) - 1 AS i, v - avg(v) OVER (PARTITION BY cell) AS v FROM m0 QUALIFY row_number() OVER (PARTITION BY cell ORDER BY m) <= 72), f AS (SELECT unnest(generate_series(0, 36)) AS f), cs AS (SELECT cell, f, sum(v * cos(2 * pi() / 72 * ((f * i) % 72))) AS c, sum(v * sin(2 * pi() / 72 * ((f * i) % 72))) AS s FROM m, f GROUP BY 1, 2), p0 AS (SELECT cell, f, (c * c + s * s) / 72 * CASE WHEN f > 0 AND f < 36 THEN 2 ELSE 1 END AS p FROM cs), sp AS (SELECT cell, f, p / CASE WHEN max(p) OVER (PARTITION BY cell) = 0 THEN 1 ELSE max(p) OVER (PARTITION BY cell) END AS p FROM p0)"
-BANDS = " q0 AS (SELECT cell, f, round(p, 9) AS p FROM sp), pk AS (SELECT cell, max(p) AS top, min(f) FILTER (WHERE p = 1.0) AS peak FROM q0 GROUP BY 1), bd AS (SELECT q0.*, top, peak, p < top / 2 OR f IN (0, 36) AS low FROM q0 JOIN pk USING (cell)), lr AS (SELECT cell, any_value(peak) AS peak, coalesce(max(f) FILTER (WHERE low AND f < peak) + 1, any_value(peak)) AS l, coalesce(min(f) FILTER (WHERE low AND f > peak) - 1, any_value(peak)) AS r FROM bd GROUP BY 1), sc AS (SELECT cell, lr.peak, l, r, sum(p) FILTER (WHERE f BETWEEN l AND r) / sum(p) AS sc FROM q0 JOIN lr USING (cell) GROUP BY ALL)"
+MONTHLY = " m0 AS (SELECT cell, date_trunc('month', time) AS m, sum(value) AS v FROM cube GROUP BY 1, 2), m AS (SELECT cell, row_number() OVER (PARTITION BY cell ORDER BY m) - 1 AS i, count(*) OVER (PARTITION BY cell) AS n, v - avg(v) OVER (PARTITION BY cell) AS v FROM m0), f AS (SELECT unnest(generate_series(0, (SELECT max(n) // 2 FROM m))) AS f), cs AS (SELECT cell, f, n, sum(v * cos(2 * pi() / n * ((f * i) % n))) AS c, sum(v * sin(2 * pi() / n * ((f * i) % n))) AS s FROM m, f WHERE f <= n // 2 GROUP BY ALL), p0 AS (SELECT cell, f, n, (c * c + s * s) / n * CASE WHEN f > 0 AND f < n // 2 THEN 2 ELSE 1 END AS p FROM cs), sp AS (SELECT cell, f, n, p / CASE WHEN max(p) OVER (PARTITION BY cell) = 0 THEN 1 ELSE max(p) OVER (PARTITION BY cell) END AS p FROM p0)"
+BANDS = " q0 AS (SELECT cell, f, n, round(p, 9) AS p FROM sp), pk AS (SELECT cell, max(p) AS top, min(f) FILTER (WHERE p = 1.0) AS peak FROM q0 GROUP BY 1), bd AS (SELECT q0.*, top, peak, p < top / 2 OR f IN (0, n // 2) AS low FROM q0 JOIN pk USING (cell)), lr AS (SELECT cell, any_value(peak) AS peak, coalesce(max(f) FILTER (WHERE low AND f < peak) + 1, any_value(peak)) AS l, coalesce(min(f) FILTER (WHERE low AND f > peak) - 1, any_value(peak)) AS r FROM bd GROUP BY 1), sc AS (SELECT cell, lr.peak, l, r, sum(p) FILTER (WHERE f BETWEEN l AND r) / sum(p) AS sc FROM q0 JOIN lr USING (cell) GROUP BY ALL)"
 
 
 def spectra(spark, d: str) -> DataFrame:
     m = cube(spark, d).groupBy("cell", F.trunc("time", "month").alias("m")).agg(F.sum("value").alias("v"))
     i = F.row_number().over(Window.partitionBy("cell").orderBy("m")) - 1
-    # The spectrum's length is fixed, as in a window: six whole years of months.
-    m = m.withColumns({"i": i, "v": F.col("v") - F.avg("v").over(Window.partitionBy("cell"))}).where("i < 72")
-    return S.power(m, 72, ["cell"])
+    return S.power(m.withColumns({"i": i, "v": F.col("v") - F.avg("v").over(Window.partitionBy("cell"))}), ["cell"])
 
 
 @query("power_spectrum", on_cube("SELECT cell, f, round(p, 6) AS p FROM sp", MONTHLY))
@@ -348,10 +452,22 @@ def sc_curve(spark, d):
     return S.threshold_curve(sc).select("t", *long("n"), *r6("fraction"))
 
 
-@query("relevant_cells", on_cube("SELECT DISTINCT cell FROM (SELECT cell, pc, a, stddev_pop(a) OVER (PARTITION BY pc) AS sd FROM (SELECT cell, month(time) AS pc, avg(value) - 9.5 AS a FROM cube GROUP BY 1, 2)) WHERE abs(a) > 3 * sd"))
+LOADINGS = " ld0 AS (SELECT cell, month(time) AS pc, avg(value) AS a FROM cube GROUP BY 1, 2), ld AS (SELECT cell, pc, a - avg(a) OVER (PARTITION BY pc) AS a FROM ld0), rl AS (SELECT DISTINCT cell FROM (SELECT cell, abs(a) AS a, stddev_pop(abs(a)) OVER (PARTITION BY pc) AS sd FROM ld WHERE pc <= 4) WHERE a > 3 * sd)"
+
+
+def month_loadings(spark, d: str) -> DataFrame:
+    load = cube(spark, d).groupBy("cell", F.month("time").alias("pc")).agg(F.avg("value").alias("a"))
+    return load.withColumns({"a": F.col("a") - F.avg("a").over(Window.partitionBy("pc")), "k": F.lit(0)}).where("pc <= 4")
+
+
+@query("relevant_cells", on_cube("SELECT cell FROM rl", LOADINGS))
 def relevant_cells(spark, d):
-    load = cube(spark, d).groupBy("cell", F.month("time").alias("pc")).agg((F.avg("value") - 9.5).alias("a")).withColumn("k", F.lit(0))
-    return S.relevant(load, ["k"]).select("cell")
+    return S.relevant(month_loadings(spark, d), ["k"]).select("cell")
+
+
+@query("loading_communities", on_cube("SELECT cell, comp FROM (SELECT cell, min(other) AS comp, count(*) AS size FROM lr GROUP BY 1) WHERE size >= 2", LOADINGS + ", rc AS (SELECT cell, \"row\", col FROM rl JOIN cells USING (cell)), lr AS (SELECT cell, cell AS other FROM rc UNION SELECT lr.cell, b.cell FROM lr JOIN rc a ON a.cell = lr.other JOIN rc b ON abs(a.\"row\" - b.\"row\") <= 1 AND abs(a.col - b.col) <= 1)"))
+def loading_communities(spark, d):
+    return G.components(placed(S.relevant(month_loadings(spark, d), ["k"])), ["k"]).select("cell", "comp")
 
 
 # Graphs: in each year, the cells whose total is above 1.03 times the year's mean.
@@ -401,13 +517,12 @@ def size_ccdf(spark, d):
 
 @query("heatmap_fraction", on_cube("SELECT cells.cell, n, round(n / (SELECT CAST(count(DISTINCT win) AS DOUBLE) FROM act), 6) AS fraction FROM cells LEFT JOIN (SELECT cell, count(DISTINCT win) AS n FROM comp JOIN sz USING (win, comp) WHERE sz.size >= 3 GROUP BY 1) USING (cell)", COMP))
 def heatmap_fraction(spark, d):
-    wins = active(spark, d).select("win").distinct().count()
-    return G.heatmap(parts(spark, d), cells(spark, d), wins, 3).select("cell", "n", *r6("fraction"))
+    return G.heatmap(parts(spark, d), cells(spark, d), active(spark, d), 3).select("cell", "n", *r6("fraction"))
 
 
-@query("heatmap_export", on_cube("SELECT lat, lon, round(n / 7.0, 6) AS rec_frac FROM cells JOIN (SELECT cell, count(DISTINCT win) AS n FROM comp GROUP BY 1) USING (cell)", COMP))
+@query("heatmap_export", on_cube("SELECT lat, lon, round(n / (SELECT CAST(count(DISTINCT win) AS DOUBLE) FROM act), 6) AS rec_frac FROM cells JOIN (SELECT cell, count(DISTINCT win) AS n FROM comp GROUP BY 1) USING (cell)", COMP))
 def heatmap_export(spark, d):
-    h = G.heatmap(parts(spark, d), cells(spark, d), 7).join(cells(spark, d), "cell").withColumn("rec_frac", F.col("fraction"))
+    h = G.heatmap(parts(spark, d), cells(spark, d), active(spark, d)).join(cells(spark, d), "cell").withColumn("rec_frac", F.col("fraction"))
     return tables.heatmap_rows(h).select("lat", "lon", *r6("rec_frac"))
 
 
@@ -421,10 +536,10 @@ def quadrants(spark, d: str) -> DataFrame:
     return c.withColumns({"label": (F.col("row") >= 5).cast("long") * 2 + (F.col("col") >= 5).cast("long"), "rough": ((F.col("row") * 7 + F.col("col") * 3) % 5).cast("long")})
 
 
-@query("q_statistic", on_cube("SELECT n, round(sst, 4) AS sst, round(ssw, 4) AS ssw, round(1 - ssw / sst, 6) AS q, round((n - 4) / 3.0 * (1 - ssw / sst) / (ssw / sst), 5) AS f, round((sst - ssw) / (2 * ssw / (n - 4)), 5) AS lam FROM (SELECT count(*) AS n, var_pop(z) * count(*) AS sst FROM tot), (SELECT sum(w) AS ssw FROM (SELECT label, var_pop(z) * count(*) AS w FROM lab JOIN tot USING (cell) GROUP BY 1))", QUAD))
+@query("q_statistic", on_cube("SELECT n, round(sst, 4) AS sst, round(ssw, 4) AS ssw, round(q, 6) AS q, round(f, 5) AS f, round((sst - ssw) / (2 * ssw / (n - 4)), 5) AS lam, round(exp(lgamma(a + b) - lgamma(a) - lgamma(b)) * x / 12000 * list_sum(list_transform(range(0, 4001), lambda k: (CASE WHEN k = 0 OR k = 4000 THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END) * (x * k / 4000) ** (a - 1) * (1 - x * k / 4000) ** (b - 1))), 5) AS p FROM (SELECT *, (n - 4) / 2.0 AS a, 1.5 AS b, (n - 4) / (n - 4 + 3 * f) AS x FROM (SELECT *, 1 - ssw / sst AS q, (n - 4) / 3.0 * (1 - ssw / sst) / (ssw / sst) AS f FROM (SELECT count(*) AS n, var_pop(z) * count(*) AS sst FROM tot), (SELECT sum(w) AS ssw FROM (SELECT label, var_pop(z) * count(*) AS w FROM lab JOIN tot USING (cell) GROUP BY 1))))", QUAD))
 def q_statistic(spark, d):
     z = cube(spark, d).groupBy("cell").agg(F.sum("value").alias("z")).join(quadrants(spark, d), "cell")
-    return G.q_statistic(z, []).select("n", F.round("sst", 4).alias("sst"), F.round("ssw", 4).alias("ssw"), *r6("q"), F.round("f", 5).alias("f"), F.round("lam", 5).alias("lam"))
+    return G.q_statistic(z, []).select("n", F.round("sst", 4).alias("sst"), F.round("ssw", 4).alias("ssw"), *r6("q"), *[F.round(c, 5).alias(c) for c in ("f", "lam", "p")])
 
 
 @query("nearest_fill", on_cube("SELECT cell, label FROM lab WHERE \"row\" <> col UNION ALL SELECT a.cell, arg_min(b.label, [(a.\"row\" - b.\"row\") ** 2 + (a.col - b.col) ** 2, b.\"row\", b.col]) FROM lab a, lab b WHERE a.\"row\" = a.col AND b.\"row\" <> b.col GROUP BY 1", QUAD))
@@ -472,6 +587,12 @@ def cell_polygons(spark, d):
     return quadrants(spark, d).select("cell", F.col("label").alias("community"), tables.cell_wkt(F.col("lat"), F.col("lon"), F.lit(0.25), F.lit(0.25)).alias("geometry"))
 
 
+@query("community_outlines", on_cube("SELECT label AS community, count(*) AS cells, CAST(1 AS INTEGER) AS rings, round(count(*) * 0.0625, 6) AS area, 'MULTIPOLYGON (((' || printf('%.4f %.4f, %.4f %.4f, %.4f %.4f, %.4f %.4f, %.4f %.4f', min(lon) - 0.125, min(lat) - 0.125, max(lon) + 0.125, min(lat) - 0.125, max(lon) + 0.125, max(lat) + 0.125, min(lon) - 0.125, max(lat) + 0.125, min(lon) - 0.125, min(lat) - 0.125) || ')))' AS geometry FROM lab GROUP BY 1", QUAD))
+def community_outlines(spark, d):
+    got = G.outlines(quadrants(spark, d).withColumn("community", F.col("label")), 0.25, 0.25, 10.0, 75.0)
+    return got.select("community", "cells", "rings", *r6("area"), "geometry")
+
+
 @query("mask_selection", on_cube("SELECT label AS community, CAST(time AS VARCHAR) AS time, round(avg(value), 6) AS mean FROM cube JOIN lab USING (cell) GROUP BY 1, 2", QUAD))
 def mask_selection(spark, d):
     mask = G.masks_from_points(quadrants(spark, d).select(F.col("label").alias("id"), "lat", "lon"), cells(spark, d))
@@ -490,10 +611,12 @@ def distance_mask(spark, d):
     return G.far_points(points, cells(spark, d), 2.5).select("y", "x")
 
 
-@query("series_with_trend", on_cube("SELECT CAST(y AS VARCHAR) AS time, sum(v) AS value, NULL AS trend FROM yearly GROUP BY y UNION ALL SELECT 'MK_full', NULL, 'no trend'", YEARLY))
+@query("series_with_trend", on_cube("SELECT community, CAST(make_date(CAST(y AS BIGINT), 7, 1) AS VARCHAR) AS time, 'rain' AS metric, round(v, 6) AS value, NULL AS mk_slope, NULL AS mk_intercept, NULL AS mk_p, NULL AS mk_trend_direction FROM cy UNION ALL SELECT community, 'MK_full', 'rain', NULL, round(slope, 6), round(intercept, 6), round(p, 5), trend FROM (SELECT *, " + TREND + " FROM mk) WHERE period = 'full' AND slope IS NOT NULL", YEARLY + "," + QUAD + ", cy AS (SELECT label AS community, y, sum(v) AS v FROM yearly JOIN lab USING (cell) GROUP BY 1, 2)," + trend_sql("cy", "community", [])))
 def series_with_trend(spark, d):
-    s = yearly(spark, d).groupBy(F.col("y").alias("time")).agg(F.sum("v").alias("value"))
-    return tables.series_with_trend(s, spark.sql("SELECT 'MK_full' AS time, 'no trend' AS trend"))
+    y = yearly(spark, d).join(quadrants(spark, d).select("cell", F.col("label").alias("community")), "cell").groupBy("community", F.make_date("y", F.lit(7), F.lit(1)).alias("time")).agg(F.sum("v").alias("rain"))
+    trends = T.trend_table(y.select("community", "time", F.lit("rain").alias("metric"), F.col("rain").alias("v")), ["community", "metric"], [])
+    rows = tables.series_rows(y, trends, ["rain"])
+    return rows.select("community", "time", "metric", *r6("value", "mk_slope", "mk_intercept"), F.round("mk_p", 5).alias("mk_p"), "mk_trend_direction")
 
 
 @query("rqa_with_rain", f"WITH RECURSIVE {BASE.strip()},{WINDOWS},{DAILY}, rain AS (SELECT win, round(quantile_cont(mean, 0.5), 6) AS rain FROM wins JOIN daily USING (time) GROUP BY 1) SELECT m.win, det, rain FROM ({lines() + METRICS}) m LEFT JOIN rain ON m.win = rain.win")
@@ -509,11 +632,20 @@ def rank_test(spark, d):
     return got.select("cell", F.col("v").alias("obs"), *r6("low", "high", "p"), "significant")
 
 
-@query("dedupe_partitions", "SELECT label, q, k_req FROM (SELECT k_req % 3 AS label, q, k_req, row_number() OVER (PARTITION BY k_req % 3 ORDER BY q DESC, k_req) AS r FROM (SELECT l_linenumber AS k_req, round(avg(l_discount), 6) AS q FROM lineitem GROUP BY 1)) WHERE r = 1")
+@query("dedupe_partitions", "SELECT label, q, k_req FROM (SELECT label, q, k_req, row_number() OVER (PARTITION BY label ORDER BY q DESC, k_req) AS r FROM (SELECT l_linenumber AS k_req, round(avg(l_discount), 6) AS q, array_to_string(list_transform(range(0, 10), lambda x: (x * l_linenumber) % 3), ',') AS label FROM lineitem GROUP BY 1)) WHERE r = 1")
 def dedupe_partitions(spark, d):
     found = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("k_req")).agg(F.round(F.avg("l_discount"), 6).alias("q"))
-    found = found.withColumns({"labels": F.array(F.col("k_req") % 3), "linkage": F.lit("ward"), "metric": F.lit("euclidean")})
-    return G.distinct_partitions(found).select(F.col("labels")[0].alias("label"), "q", "k_req")
+    labels = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: (x * F.col("k_req")) % 3)
+    found = found.withColumns({"labels": labels, "linkage": F.lit("ward"), "metric": F.lit("euclidean")})
+    return G.distinct_partitions(found).select(F.array_join("labels", ",").alias("label"), "q", "k_req")
+
+
+@query("ranked_partitions", "SELECT k_req, q FROM (SELECT k_req, q, row_number() OVER (PARTITION BY label ORDER BY q DESC, k_req) AS r FROM (SELECT l_linenumber AS k_req, round(avg(l_discount), 6) AS q, array_to_string(list_transform(range(0, 10), lambda x: (x * l_linenumber) % 4), ',') AS label FROM lineitem WHERE l_linenumber % 4 > 0 GROUP BY 1)) WHERE r = 1 ORDER BY q DESC, k_req LIMIT 2")
+def ranked_partitions(spark, d):
+    found = spark.read.parquet(f"{d}/lineitem.parquet").groupBy(F.col("l_linenumber").alias("k_req")).agg(F.round(F.avg("l_discount"), 6).alias("q"))
+    labels = F.transform(F.sequence(F.lit(0), F.lit(9)), lambda x: (x * F.col("k_req")) % 4)
+    found = found.withColumns({"labels": labels, "linkage": F.lit("ward"), "metric": F.lit("euclidean"), "k_found": F.when(F.col("k_req") % 4 == 0, 1).otherwise(4)})
+    return G.ranked_partitions(found, 2).select("k_req", "q")
 
 
 @query("zero_counts", lines() + "SELECT count(*) FILTER (WHERE det = 0) AS det, count(*) FILTER (WHERE lam = 0) AS lam FROM (" + METRICS + ")")
@@ -521,7 +653,7 @@ def zero_counts(spark, d):
     return R.zero_counts(R.line_metrics(rec(spark, d), STATE), ["det", "lam"])
 
 
-# Without an SQL twin: factorisations, knees, clusterings.
+# Without an SQL twin: factorisations, knees, clusterings. tests/test_values.py holds their values.
 
 
 def matrix(spark, d: str, size: int = 122) -> DataFrame:
@@ -541,8 +673,16 @@ def window_communities(spark, d):
 
 @query("community_heatmap")
 def community_heatmap(spark, d):
-    got = hold(S.communities(matrix(spark, d), 0.05))
-    return G.heatmap(got, cells(spark, d), 7, G.least_size(G.sizes(got, ["win"])))
+    m = matrix(spark, d)
+    got = hold(S.communities(m, 0.05))
+    return G.heatmap(got, cells(spark, d), m.select("win").distinct(), G.least_sizes(G.sizes(got, ["win"])))
+
+
+@query("period_heatmaps")
+def period_heatmaps(spark, d):
+    z = hold(C.zscore(C.season(cube(spark, d), JJAS)))
+    cfg = analysis.Config(sc_threshold=0.05, min_community_size=2, heatmap_periods=[(1992, 1995), (1994, 1998)])
+    return analysis.period_cells(analysis.heatmaps_by_period(z, cells(spark, d), cfg), cells(spark, d))
 
 
 def swept(spark, d: str, ks) -> DataFrame:

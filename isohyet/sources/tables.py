@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import csv
+import json
+import struct
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.functions.kernels import ring_area
+
+#: Date forms of the input, least p of dot plots, column names of results.
+DROPPED = ("Unnamed: 0", "geometry", "_c0")
 DATES = ("yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy/MM/dd", "dd.MM.yyyy", "yyyyMMdd")
 
 
@@ -15,26 +23,81 @@ def read_cube(spark: SparkSession, path: str, rename: dict[str, str] | None = No
 
 
 def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
-    return melt(spark.read.csv(path, header=True, inferSchema=True))
+    """A CSV with one row for each cell and one column for each date -> (lat, lon, time, rainfall).
+
+    A line is kept as one array of text and exploded with the dates, so the plan has a few columns however many days
+    there are. Fields hold no commas but for the column geometry, which is dropped with its quotes.
+    """
+    lines = spark.read.text(path)
+    head = lines.first().value
+    names = [n.strip().strip('"') for n in split_csv(head)]
+    n, geometry = len(names), r'"[^"]*"'
+    fields = F.split(F.regexp_replace("value", geometry, ""), ",", -1)
+    others = [k for k, c in enumerate(names) if not c or c in ("lat", "lon", *DROPPED)]
+    dates = F.split(F.lit("\n".join(names)), "\n")
+    rows = lines.where(F.col("value") != F.lit(head)).select(fields.alias("f")).where(F.size("f") == n)
+    at = lambda c: F.try_element_at("f", F.lit(names.index(c) + 1)).cast("double").alias(c)
+    each = rows.select(at("lat"), at("lon"), F.posexplode("f").alias("k", "v")).where(~F.col("k").isin(others))
+    long = each.select("lat", "lon", F.element_at(dates, F.col("k") + 1).alias("time"), F.expr("try_cast(v AS double)").alias("rainfall"))
+    return long.withColumns({"time": parsed_date(F.col("time")), "rainfall": F.nanvl("rainfall", F.lit(None).cast("double"))})
+
+
+def split_csv(line: str) -> list[str]:
+    return next(csv.reader([line]))
+
+
+def parsed_date(text: Column) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(text, F.lit(f)) for f in DATES]).cast("date")
 
 
 def melt(wide: DataFrame) -> DataFrame:
     """One column for each date -> (lat, lon, time, rainfall); dates in any of DATES."""
-    wide = wide.drop("Unnamed: 0", "geometry", "_c0")
+    wide = wide.drop(*DROPPED)
     dates = [c for c in wide.columns if c not in ("lat", "lon")]
     named = [F.col(f"`{d}`").cast("double").alias(d) for d in dates]
     long = wide.select("lat", "lon", *named).unpivot(["lat", "lon"], [F.col(f"`{d}`") for d in dates], "time", "rainfall")
-    parsed = F.coalesce(*[F.try_to_timestamp("time", F.lit(f)) for f in DATES])
-    return long.withColumn("time", parsed.cast("date"))
-
-
-def read_polygons(spark: SparkSession, path: str) -> list[list[tuple[float, float]]]:
-    """Outer rings of a GeoJSON file (EPSG:4326); polygons are few, so the driver holds them."""
-    import json
-
-    text = "".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-    shapes = [f["geometry"] for f in json.loads(text)["features"]]
-    return [[tuple(p[:2]) for p in part[0]] for g in shapes for part in ([g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"])]
+    return long.withColumn("time", parsed_date(F.col("time")))
+
+
+def read_polygons(spark: SparkSession, path: str) -> list[list[list[tuple[float, float]]]]:
+    """Polygons, each an outer ring and its holes, of a GeoJSON file or a shapefile; polygons are few, so the driver holds them.
+
+    Coordinates are degrees of EPSG:4326; a file that names another reference system, or a shapefile whose .prj is
+    missing, is an error, as there is no reprojection.
+    """
+    if path.lower().endswith(".shp"):
+        prj = [r.value for r in spark.read.text(path[:-4] + ".prj", wholetext=True).collect()]
+        if not prj or prj[0].lstrip().startswith("PROJCS") or "WGS" not in prj[0].upper():
+            raise ValueError(f"{path}: no reference system, or not WGS 84")
+        return shapes(bytes(spark.read.format("binaryFile").load(path).first().content))
+    found = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
+    name = str(found.get("crs", {}).get("properties", {}).get("name", "CRS84"))
+    if not name.endswith(("CRS84", "4326")):
+        raise ValueError(f"{path}: reference system {name} is not EPSG:4326")
+    geometries = [f["geometry"] for f in found["features"]] if "features" in found else [found.get("geometry", found)]
+    parts = [p for g in geometries for p in ([g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"])]
+    return [[[tuple(p[:2]) for p in ring] for ring in part] for part in parts]
+
+
+def shapes(data: bytes) -> list[list[list[tuple[float, float]]]]:
+    """Polygons of a shapefile's main file (types 5, 15 and 25): clockwise rings are outer, others holes of the one before."""
+    out, at = [], 100
+    while at + 12 <= len(data):
+        size = 2 * struct.unpack_from(">i", data, at + 4)[0]
+        at += 8
+        if struct.unpack_from("<i", data, at)[0] in (5, 15, 25):
+            n_parts, n = struct.unpack_from("<2i", data, at + 36)
+            first = [*struct.unpack_from(f"<{n_parts}i", data, at + 44), n]
+            xy = struct.unpack_from(f"<{2 * n}d", data, at + 44 + 4 * n_parts)
+            points = list(zip(xy[::2], xy[1::2]))
+            for a, b in zip(first, first[1:]):
+                ring = points[a:b]
+                if ring_area(ring) <= 0 or not out:
+                    out.append([ring])
+                else:
+                    out[-1].append(ring)
+        at += size
+    return out
 
 
 def cell_wkt(lat: Column, lon: Column, dlat: Column, dlon: Column) -> Column:
@@ -57,6 +120,26 @@ def series_with_trend(series: DataFrame, trend: DataFrame) -> DataFrame:
     return series.withColumn("time", F.col("time").cast("string")).unionByName(trend, allowMissingColumns=True)
 
 
+def series_rows(series: DataFrame, trends: DataFrame, metrics: list[str]) -> DataFrame:
+    """(community, metric, time as text, value, med, low, high, surr_low, surr_high, rank_sig, mk_slope, mk_intercept, mk_p, mk_trend_direction).
+
+    All communities' series of all metrics in long form, and for each the row MK_full with its trend over the whole time.
+    """
+    pick = lambda c, kind="double": F.col(c).cast(kind) if c in series.columns else F.lit(None).cast(kind)
+    each = F.explode(F.array(*[F.struct(
+        F.lit(m).alias("metric"), pick(m).alias("value"), *[pick(f"{m}_{b}").alias(b) for b in ("med", "low", "high", "surr_low", "surr_high")], pick(f"{m}_rank_sig", "boolean").alias("rank_sig"),
+    ) for m in metrics])).alias("r")
+    rows = series.select("community", F.col("time").cast("string").alias("time"), each).select("community", "time", "r.*").where("value IS NOT NULL")
+    full = trends.where("period = 'full' AND slope IS NOT NULL").where(F.col("metric").isin(metrics))
+    full = full.select("community", F.lit("MK_full").alias("time"), "metric", F.col("slope").alias("mk_slope"), F.col("intercept").alias("mk_intercept"), F.col("p").alias("mk_p"), F.col("trend").alias("mk_trend_direction"))
+    return rows.unionByName(full, allowMissingColumns=True)
+
+
+def write_series(series: DataFrame, trends: DataFrame, metrics: list[str], path: str) -> None:
+    """CSV files in folders community=.../metric=..."""
+    series_rows(series, trends, metrics).write.mode("overwrite").partitionBy("community", "metric").csv(path, header=True)
+
+
 def write_table(df: DataFrame, path: str, kind: str = "parquet") -> None:
     w = df.write.mode("overwrite")
     w.csv(path, header=True) if kind == "csv" else w.parquet(path)

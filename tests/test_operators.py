@@ -45,7 +45,7 @@ def test_melt(spark):
 def test_recurrence_matches_dense(spark, cosine):
     x = np.random.default_rng(1).normal(size=(40, 5))
     state = spark.createDataFrame([(0, i, v.tolist()) for i, v in enumerate(x)], "win long, i int, x array<double>")
-    got = R.line_metrics(R.recurrences(R.pairs(state, 2, cosine), 0.2), 40).first().asDict()
+    got = R.line_metrics(R.recurrences(state, 0.2, 2, cosine), 40).first().asDict()
     want = kernels.line_metrics(kernels.recurrence(x, 0.2, 2, cosine))
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
@@ -56,18 +56,26 @@ def test_clip_counts_touched_cells(spark):
     assert got == 6
 
 
-def test_whole_analysis(spark):
+def test_whole_analysis(spark, tmp_path):
     rng = np.random.default_rng(0)
     days = [datetime.date(2000, 1, 1) + datetime.timedelta(k) for k in range(360)]
     wave = np.sin(np.arange(360) * 2 * np.pi / 30)
     rows = [(d, 10 + r * 0.5, 70 + c * 0.5, float(max(0, 3 + (2 * wave[k] if r < 3 else 0) + rng.normal()))) for k, d in enumerate(days) for r in range(6) for c in range(6)]
     cube = spark.createDataFrame(rows, "time date, lat double, lon double, rainfall double")
     cfg = analysis.Config(window=30, months=None, ks=range(2, 6), surrogates=9, trend_periods=[(2000, 2001)], heatmap_periods=[(2000, 2000)])
-    got = analysis.run_pipeline(spark, cube, cfg)
+    got = analysis.run_pipeline(spark, cube, cfg, str(tmp_path))
     assert got["heatmap"].count() == 36
     assert got["communities"].count() == 36
     assert got["rqa"].select("win").distinct().count() == (360 - 180) // 30 + 1
     assert {"det_rank_sig", "lam_surr_low", "entr_med"} <= set(got["rqa"].columns)
+    assert {r.step: r.valid_cells for r in got["figures"].collect()} == {"read": 36}
+    cells = got["period_cells"].toPandas()
+    assert len(cells) == 11 * 11 and set(cells.period) == {"2000-2000"} and cells.rf.between(0, 1).all()
+    shapes = got["outlines"].toPandas()
+    assert shapes.cells.sum() == 36 and shapes.area.sum() == pytest.approx(36 * 0.25)
+    files = spark.read.csv(f"{tmp_path}/series_csv", header=True)
+    assert files.where("time = 'MK_full' AND metric = 'det'").count() == shapes.shape[0] and {"community", "metric", "mk_p"} <= set(files.columns)
+    assert got["limits"].where("low <= high").count() == 7
     assert {r.metric for r in got["trends"].select("metric").distinct().collect()} == {*analysis.METRICS, *analysis.RAIN}
 
 
