@@ -84,10 +84,10 @@ def q_statistic(values: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, z, label) -> (keys, n, sst, ssw, q, df1, df2, f, lam, p): share of variance between labels and its test."""
     g = values.groupBy(*keys, "label").agg(F.count("z").alias("m"), (F.var_pop("z") * F.count("z")).alias("w"))
     whole = values.groupBy(*keys).agg(F.count("z").alias("n"), (F.var_pop("z") * F.count("z")).alias("sst")) if keys else values.agg(F.count("z").alias("n"), (F.var_pop("z") * F.count("z")).alias("sst"))
-    inner = g.groupBy(*keys).agg(F.sum("w").alias("ssw"), F.count("*").alias("k")) if keys else g.agg(F.sum("w").alias("ssw"), F.count("*").alias("k"))
+    inner = g.groupBy(*keys).agg(F.sum("w").alias("ssw"), F.count("*").alias("__l")) if keys else g.agg(F.sum("w").alias("ssw"), F.count("*").alias("__l"))
     j = whole.join(inner, keys) if keys else whole.withColumn("__k", F.lit(1)).join(inner.withColumn("__k", F.lit(1)), "__k").drop("__k")
     q = F.when(F.col("sst") == 0, 0.0).otherwise(F.least(F.greatest(1 - F.col("ssw") / F.col("sst"), F.lit(0.0)), F.lit(1.0)))
-    j = j.withColumns({"q": q, "df1": F.col("k") - 1, "df2": F.col("n") - F.col("k")})
+    j = j.withColumns({"q": q, "df1": F.col("__l") - 1, "df2": F.col("n") - F.col("__l")})
     flat, few = F.col("sst") == 0, (F.col("df1") <= 0) | (F.col("df2") <= 0)
     nan, infinite = F.lit(float("nan")), F.lit(float("inf"))
     f = F.when(flat, 0.0).when(few, nan).when(F.col("q") >= 1, infinite).otherwise(F.col("df2") / F.col("df1") * F.col("q") / F.nullif(1 - F.col("q"), F.lit(0.0)))
@@ -98,7 +98,7 @@ def q_statistic(values: DataFrame, keys: list[str]) -> DataFrame:
         return pd.Series([kernels.f_tail(x, m, n) for x, m, n in zip(f, a, b)], dtype=float)
 
     p = F.when(flat, 1.0).when(few, nan).when(F.col("q") >= 1, 0.0).otherwise(tail(F.coalesce("f", F.lit(1.0)), F.greatest("df1", F.lit(1)), F.greatest("df2", F.lit(1))))
-    return j.withColumns({"f": f, "lam": lam}).withColumn("p", p).drop("k")
+    return j.withColumns({"f": f, "lam": lam}).withColumn("p", p).drop("__l")
 
 
 #: Cells of a cluster at least (fixed value).
