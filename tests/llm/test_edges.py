@@ -204,9 +204,58 @@ def test_repeats(docs, none):
         want.append((len(r), int(gone.sum()), int((np.diff(np.r_[0, gone.astype(int)]) == 1).sum()), bytes(np.frombuffer(r, np.uint8)[~gone])))
     assert sorted((int(a), int(b), int(c), bytes(k)) for a, b, c, k in zip(got.n_bytes, got.n_removed, got.n_spans, got.kept)) == sorted(want)
     assert sum(w[1] for w in want) > 0
+    assert sorted(got.n_repeated_words) == sorted(repeated_words(r[1] for r in ROWS)) and got.n_repeated_words.max() >= 50
     assert repeats.remove(none).count() == 0
 
 
+def repeated_words(texts, span=50):
+    words = [(t or "").encode().split() for t in texts]
+    seen = Counter(tuple(w[p : p + span]) for w in words for p in range(len(w) - span + 1))
+    out = []
+    for w in words:
+        gone = np.zeros(len(w), bool)
+        for p in range(len(w) - span + 1):
+            if seen[tuple(w[p : p + span])] > 1:
+                gone[p : p + span] = True
+        out.append(int(gone.sum()))
+    return out
+
+
+def test_short_passages(spark):
+    """60 short words are under 400 bytes: reported by words, not removed; other white space between them matters not."""
+    rng, passage = np.random.default_rng(12), [f"{x:x}" for x in np.random.default_rng(13).integers(16, 4096, 60)]
+    texts = [" ".join([sentence(80), (" ", "\n", "  ")[i % 3].join(passage), sentence(int(rng.integers(0, 50)))]) for i in range(7)] + [sentence(200), " ".join(passage[:50]), " ".join(passage[:49])]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in repeats.remove(df).collect()}
+    assert [got[i].n_repeated_words for i in range(10)] == repeated_words(texts) == [60] * 7 + [0, 50, 0]
+    assert all(r.n_removed == 0 and r.kept.decode() == texts[i] for i, r in got.items())
+
+
+@pytest.mark.parametrize("unit", [repeats.Unit(12, 4, 1), repeats.Unit(6, 2, 8)])
+def test_family_against_all_pairs(monkeypatch, unit):
+    """Batches that share anchors over several levels, contexts that end early, and bytes of value 0."""
+    rng, w = np.random.default_rng(9), unit.width
+    rows = []
+    for gram in range(30):
+        core = rng.integers(0, 2, unit.gram * w, np.uint8)
+        for _ in range(int(rng.integers(1, 12))):
+            a, after = int(rng.integers(0, unit.back + 1)), int(rng.integers(unit.gram, unit.span + 1))
+            if a + after < unit.span:
+                continue
+            draw = lambda n: (rng.random(n * w) < 0.08).astype(np.uint8)
+            rows.append((np.concatenate([draw(a), core, draw(after - unit.gram)]).tobytes(), a))
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    family = repeats.Family(unit)
+    for i in range(0, len(rows), 16):
+        family.add(rows[i : i + 16])
+    want = np.zeros_like(family.hit)
+    for b in range(unit.back + 1):
+        cuts = [c[(a - b) * w : (a - b + unit.span) * w] if a >= b else b"" for c, a in rows]
+        seen = Counter(cuts)
+        want[:, b] = [len(c) == unit.span * w and seen[c] > 1 for c in cuts]
+    assert want.any() and (family.hit == want).all() and len(family.levels) < 6
+
+
 def test_repeats_of_hot_anchors(spark, monkeypatch):
     monkeypatch.setattr(repeats, "HOT", 3)
     shared = sentence(80)
