@@ -48,7 +48,7 @@ BATCH, FAMILY = 4096, 16_384
 CHUNK = 1 << 18
 #: An anchor with more different contexts than that is compared by window hashes, spread over all tasks: in one task it
 #: would be a group without a bound.
-HOT = 2048
+HOT = 1 << 15
 _PLACE = np.uint64((1 << 28) - 1)
 
 
