@@ -37,14 +37,15 @@ def windows(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
     """(conv_id, turn, role, text) -> (conv_id, window, text, n_repeated, loss array<struct<start, length>>, n_tokens).
 
     Rows of a conversation are ordered by turn, role and text, nulls first; a null role or text is empty, rows with
-    null conv_id form one conversation, equal rows are turns of their own. A turn counts its words and one. The
-    first turn, if its role is system, is the system turn. A window holds at most the budget, but for a turn longer
-    than 3/8 of what the system turn leaves: it gets a window of its own, whole. History takes at most a quarter
-    of that. loss gives code point offsets of assistant texts, as escaped, that are not repeats. An empty table gives
-    an empty table; further columns are ignored.
-
-    With stride = 3/8 of the room, turns whose tokens begin in one stride share a window. A turn longer than
-    the stride ends beyond it, so it is the last of its stride and can stand alone.
+    null conv_id form one conversation, equal rows are turns of their own, very long texts are kept whole. A turn counts
+    its words and one. The first turn, if its role is system, is the system turn; what it leaves of the budget is the
+    room. A turn longer than 3/8 of the room gets a window of its own, whole. A window holds at most the budget, unless
+    the system turn and the one turn it is for are longer together. History takes at most a quarter of the room, and
+    no more than is left. loss gives code point offsets of assistant texts, as escaped, that are not repeats. An empty
+    table gives an empty table; further columns, also of the result's names, are ignored.
+
+    With stride = 3/8 of the room, turns whose tokens begin in one stride share a window: at most two strides. A turn
+    longer than the stride ends beyond it, so it is the last of its stride and can stand alone.
     """
     one = rows.select("conv_id", "turn", "role", "text").withColumns({"tok": n_words(F.col("text")) + 1, "chunk": F.floor(F.coalesce(F.col("turn"), F.lit(-1)) / CHUNK)})
     in_chunk = Window.partitionBy("conv_id", "chunk").orderBy(*[F.col(c).asc_nulls_first() for c in ("turn", "role", "text")])
@@ -56,19 +57,20 @@ def windows(rows: DataFrame, budget: int = BUDGET) -> DataFrame:
     x = one.withColumns({"r": F.row_number().over(in_chunk), "c": F.sum("tok").over(in_chunk.rowsBetween(Window.unboundedPreceding, -1))})
     x = x.join(meta, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("chunk") == F.col("__chunk"))).drop("__conv", "__chunk")
     sys_tok = F.coalesce(F.col("sys.tok"), F.lit(0))
-    room = F.greatest(F.lit(budget) - sys_tok, F.lit(budget // 4))
-    x = x.withColumns({"rank": F.col("rank0") + F.col("r"), "is_sys": F.col("sys").isNotNull() & (F.col("rank0") + F.col("r") == 1), "stride": F.floor(room * 3 / 8), "history": F.floor(room / 4), "at": F.greatest(F.col("tok0") + F.coalesce("c", F.lit(0)) - sys_tok, F.lit(0))})
+    room = F.greatest(F.lit(budget) - sys_tok, F.lit(0))
+    x = x.withColumns({"rank": F.col("rank0") + F.col("r"), "is_sys": F.col("sys").isNotNull() & (F.col("rank0") + F.col("r") == 1), "stride": F.greatest(F.floor(room * 3 / 8), F.lit(1)), "room": room, "history": F.floor(room / 4), "at": F.greatest(F.col("tok0") + F.coalesce("c", F.lit(0)) - sys_tok, F.lit(0))})
     x = x.withColumns({"block": F.when(F.col("is_sys"), F.lit(0)).otherwise(F.floor(F.col("at") / F.col("stride"))), "alone": F.when(~F.col("is_sys") & (F.col("tok") > F.col("stride")), 1).otherwise(0)})
-    x = cut(x.select("conv_id", "rank", "is_sys", "stride", "history", "at", "block", "alone", "tok", "role", "text"), "chat-turns")
+    x = cut(x.select("conv_id", "rank", "is_sys", "stride", "room", "history", "at", "block", "alone", "tok", "role", "text"), "chat-turns")
     own = F.col("block") * 2 + F.col("alone")
-    wins = x.groupBy("conv_id", own.alias("window")).agg(F.min("at").alias("start"))
+    left = F.when(F.col("alone") == 1, F.greatest(F.least("history", F.col("room") - F.col("tok")), F.lit(0))).otherwise(F.col("history"))
+    wins = x.groupBy("conv_id", own.alias("window")).agg(F.min("at").alias("start"), F.min(left).alias("left"))
     # A turn can be history only of the window alone at its stride's end and of the two of the next stride.
     near = (F.col("block") + 1) * F.col("stride") - F.col("at") <= F.col("history")
     short = (F.col("alone") == 0) & ~F.col("is_sys")
     to = F.concat(F.array(own), F.when(short, F.array(own + 1)).otherwise(F.array().cast("array<bigint>")), F.when(short & near, F.array(own + 2, own + 3)).otherwise(F.array().cast("array<bigint>")))
-    seen = x.withColumn("own", own).withColumn("window", F.explode(to)).drop("stride", "block", "alone")
-    w = wins.select(F.col("conv_id").alias("__conv"), F.col("window").alias("__window"), "start")
-    seen = seen.join(w, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("window") == F.col("__window"))).where((F.col("own") == F.col("window")) | (F.col("at") >= F.col("start") - F.col("history")))
+    seen = x.withColumn("own", own).withColumn("window", F.explode(to)).drop("stride", "room", "history", "block", "alone")
+    w = wins.select(F.col("conv_id").alias("__conv"), F.col("window").alias("__window"), "start", "left")
+    seen = seen.join(w, F.col("conv_id").eqNullSafe(F.col("__conv")) & (F.col("window") == F.col("__window"))).where((F.col("own") == F.col("window")) | (F.col("at") >= F.col("start") - F.col("left")))
     again = F.col("own") != F.col("window")
     # The system turn goes to every other window of its conversation, one row each.
     heads = x.where("is_sys").select(F.col("conv_id").alias("__conv"), "role", "text", "tok")
@@ -95,6 +97,7 @@ def read_turns(text: Column) -> Column:
 
 
 def op8_budgeted_windows(spark, sf_dir: str) -> DataFrame:
+    """One row for each conversation, its figures read back from the formatted windows. See windows()."""
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     more = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{said}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
@@ -125,18 +128,18 @@ s AS (
   SELECT *, coalesce(max(CASE WHEN rank = 1 AND role = 'system' THEN tok END) OVER (PARTITION BY conv_id), 0) AS sys_tok,
          sum(tok) OVER (PARTITION BY conv_id ORDER BY rank) - tok AS before FROM r),
 x AS (
-  SELECT *, rank = 1 AND sys_tok > 0 AS is_sys, greatest(512 - sys_tok, 128) AS room, greatest(before - sys_tok, 0) AS at_tok,
+  SELECT *, rank = 1 AND sys_tok > 0 AS is_sys, greatest(512 - sys_tok, 0) AS room, greatest(before - sys_tok, 0) AS at_tok,
          length('<|role|><|text|><|end|>') + length(regexp_replace(coalesce(role, ''), '<(\\*)\|', '<\1\\|', 'g'))
          + length(regexp_replace(coalesce(text, ''), '<(\\*)\|', '<\1\\|', 'g')) AS chars FROM s),
-y AS (SELECT *, room * 3 // 8 AS stride, room // 4 AS history FROM x),
+y AS (SELECT *, greatest(room * 3 // 8, 1) AS stride, room // 4 AS history FROM x),
 z AS (
   SELECT *, CASE WHEN is_sys THEN 0 ELSE at_tok // stride END AS block, CASE WHEN NOT is_sys AND tok > stride THEN 1 ELSE 0 END AS alone FROM y),
-w AS (SELECT conv_id, block * 2 + alone AS win, min(at_tok) AS start_tok FROM z GROUP BY 1, 2),
+w AS (SELECT conv_id, block * 2 + alone AS win, min(at_tok) AS start_tok, min(CASE WHEN alone = 1 THEN greatest(least(history, room - tok), 0) ELSE history END) AS spare FROM z GROUP BY 1, 2),
 o AS (
   SELECT conv_id, chars FROM z
   UNION ALL
   SELECT z.conv_id, chars FROM z JOIN w ON z.conv_id IS NOT DISTINCT FROM w.conv_id AND w.win BETWEEN block * 2 + 1 AND block * 2 + 3
-  WHERE alone = 0 AND NOT is_sys AND at_tok >= start_tok - history AND (w.win = block * 2 + 1 OR (block + 1) * stride - at_tok <= history)
+  WHERE alone = 0 AND NOT is_sys AND at_tok >= start_tok - spare AND (w.win = block * 2 + 1 OR (block + 1) * stride - at_tok <= history)
   UNION ALL
   SELECT z.conv_id, chars FROM z JOIN w ON z.conv_id IS NOT DISTINCT FROM w.conv_id WHERE is_sys AND w.win > 0),
 f AS (SELECT conv_id, CAST(sum(chars) AS BIGINT) AS formatted_chars FROM o GROUP BY 1),
