@@ -18,8 +18,8 @@ from pyspark.sql import types as t
 from isohyet.llm import tokens as T
 from isohyet.llm.common import arrow, cut, table
 
-#: Labelled documents in training at most, by order of a hash of the id.
-LABELLED = 12_000
+#: Labelled ids in training at most, by order of a hash of the id, and rows: an id may stand in several.
+LABELLED, ROWS = 12_000, 24_000
 #: Words that the models use: those whose presence tells most about any category.
 WORDS = 1024
 FOLDS = 5
@@ -79,30 +79,42 @@ def logistic(row: np.ndarray, col: np.ndarray, extra: np.ndarray, y: np.ndarray,
 
 
 def train(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
-    """Word hashes (sorted), each category's weights, each category's threshold (best F1 out of fold)."""
+    """Word hashes (sorted), each category's weights, each category's threshold (best F1 out of fold).
+
+    A fold's models see nothing of the fold: their words, too, are chosen on the other folds' labels.
+    """
     k = labels.shape[1]
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    every = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     h = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     words, inverse = np.unique(h, return_inverse=True)
-    total, tell = np.bincount(inverse, minlength=len(words)), np.zeros(len(words))
-    for j in range(k):
-        y = labels[:, j]
-        p = y.mean() if len(y) else 0
-        seen = np.bincount(inverse, y[row], len(words))
-        tell = np.maximum(tell, (seen - total * p) ** 2 / np.maximum(total * p * (1 - p), 1e-9) * (total >= 3))
-    chosen = np.sort(np.argsort(-tell, kind="stable")[:WORDS])
-    place = np.full(len(words) + 1, -1)
-    place[chosen] = np.arange(len(chosen))
-    col = place[inverse] if len(h) else np.zeros(0, int)
-    row, col = row[col >= 0], col[col >= 0]
-    n, extra, weights, cuts = len(chosen), np.zeros((len(sets), 0)), [], []
+
+    def choose(use: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places of the words that tell most about some category in the rows in use; row and chosen word of each occurrence."""
+        seen_in = use[every]
+        total, tell = np.bincount(inverse[seen_in], minlength=len(words)), np.zeros(len(words))
+        for j in range(k):
+            y = labels[:, j]
+            p = y[use].mean() if use.any() else 0
+            seen = np.bincount(inverse[seen_in], y[every[seen_in]], len(words))
+            tell = np.maximum(tell, (seen - total * p) ** 2 / np.maximum(total * p * (1 - p), 1e-9) * (total >= 3))
+        chosen = np.sort(np.argsort(-tell, kind="stable")[:WORDS])
+        place = np.full(len(words) + 1, -1)
+        place[chosen] = np.arange(len(chosen))
+        col = place[inverse] if len(h) else np.zeros(0, int)
+        return chosen, every[col >= 0], col[col >= 0]
+
+    def predict(row: np.ndarray, col: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        return sigmoid(np.bincount(row, w[col], len(sets)) + np.c_[extra, np.ones(len(sets))] @ w[n:])
+
+    folds = [choose(fold != f) for f in range(FOLDS)]
+    chosen, row, col = choose(np.ones(len(sets), bool))
+    extra, weights, cuts = np.zeros((len(sets), 0)), [], []
     for j in range(k):
-        y, everyone, out = labels[:, j].astype(float), np.ones(len(sets), bool), np.zeros(len(sets))
-        for f in range(FOLDS):
-            w = logistic(row, col, extra, y, fold != f, n)
-            z = sigmoid(np.bincount(row, w[col], len(sets)) + np.c_[extra, np.ones(len(sets))] @ w[n:])
-            out[fold == f] = z[fold == f]
-        weights.append(logistic(row, col, extra, y, everyone, n))
+        y, out = labels[:, j].astype(float), np.zeros(len(sets))
+        for f, (some, r, c) in enumerate(folds):
+            held = fold == f
+            out[held] = predict(r, c, logistic(r, c, extra, y, ~held, len(some)), len(some))[held]
+        weights.append(logistic(row, col, extra, y, np.ones(len(sets), bool), len(chosen)))
         order = np.argsort(-out, kind="stable")
         hit = np.cumsum(y[order])
         f1 = 2 * hit / (np.arange(1, len(y) + 1) + max(y.sum(), 1))
@@ -113,7 +125,10 @@ def train(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> tuple
 
 
 def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
-    """Trains in one task on a bounded sample of labelled rows; documents whose labels disagree are left out."""
+    """Trains in one task on a bounded sample of labelled rows; documents whose labels disagree are left out.
+
+    The sample holds at most LABELLED ids, and of their rows at most ROWS in order of fold and words; both bound the task.
+    """
     arrow(docs.sparkSession)
     sure = labels.where(F.col("doc_id").isNotNull())
     for _, column, _ in chain:
@@ -134,7 +149,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> tuple[np.ndarray, li
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), b.column(1), b.column(2)], ["words", "y", "fold"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((f, tuple(y), s) for b in batches for s, y, f in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[2]))[: 2 * LABELLED]
+        rows = sorted(((f, tuple(y), s) for b in batches for s, y, f in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[2]))[:ROWS]
         words, weights, cuts = train([np.frombuffer(s, np.uint64) for _, _, s in rows], np.array([y for _, y, _ in rows], int).reshape(len(rows), len(chain)), np.array([f for f, _, _ in rows], int))
         yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([[w.tobytes() for w in weights]], pa.list_(pa.binary())), pa.array([cuts], pa.list_(pa.float64()))], ["words", "weights", "cuts"])
 
@@ -148,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> tuple[np.ndarray, li
 def classify(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
     """Returns docs with p_<category> and a boolean <category> for each category of the chain; such columns are replaced.
 
-    Texts are judged whole. A null text is empty, and a text without words gets the base rate of the training rows.
+    Texts are judged whole, however long. A null text is empty, and a text without words gets the base rate of the training rows.
     Without labelled documents all probabilities are near 0. Equal texts get equal results; an empty table gives an
     empty table. labels needs doc_id and the label columns; other columns are ignored.
     """
@@ -173,5 +188,6 @@ def classify(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> DataFrame:
 
 
 def op9_classifier_chain(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: probability and verdict of each category of the chain. See classify()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "p_low_quality", "low_quality", "p_toxic", "toxic")
