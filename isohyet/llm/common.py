@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 #: A word: a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Rows of an Arrow batch. Long texts would make the default of 10,000 rows too large for a worker.
-ARROW_ROWS = 1000
+#: Rows and bytes of an Arrow batch. Long texts would make the default of 10,000 rows too large for a worker.
+ARROW_ROWS, ARROW_BYTES = 1000, 16 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    A local session that names none (as in tests) gets a temporary one; on a cluster that is an error, as each executor
+    would write to its own disk.
+    """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="isohyet-")
         sc.setCheckpointDir(base)
     return base.rstrip("/")
@@ -32,8 +38,15 @@ def cut(df: DataFrame, name: str) -> DataFrame:
 
 
 def arrow(spark: SparkSession) -> None:
-    """Bounds Arrow batches by rows, for operators that send texts to Python."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bounds Arrow batches by bytes and rows, for operators that send texts to Python.
+
+    Results are lazy, so the bounds stay in the session; smaller ones that it has are left alone.
+    """
+    for key, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key)
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
 
 
 def lower_az(text: Column) -> Column:

@@ -22,7 +22,7 @@ from isohyet.llm.common import arrow, cut, table
 BUCKETS = 10_000
 #: Labelled documents that are used at most, by order of a hash of the id: half for the target, half for k.
 LABELLED = 20_000
-TEMPERATURE = 0.5
+TEMPERATURE = 1.0
 SEED = 11
 
 
@@ -115,20 +115,24 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE) -> DataFrame:
+def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATURE, carry: list[str] | None = None) -> DataFrame:
     """Returns docs with log_weight, sampling_key and kept; columns of docs so named are replaced.
 
     k is the number of documents whose log weight is at or above the threshold that best parts the held-out labelled
     documents, so the share of good documents sets it. The noise is Gumbel noise times temperature (weights to the
     power 1 / temperature), from a hash of the id: reruns agree, and rows with equal id and text fare alike; where
-    they tie at the cut, all are kept. A null or empty text has weight 0. Without labels of both classes the
-    threshold is 0; without good labels all weights are 0 and all is kept. An empty table gives an empty table.
+    they tie at the cut, all are kept. A null or empty text has weight 0; long texts are scored whole. Without labels of
+    both classes the threshold is 0; without good labels all weights are 0 and all is kept. An empty table gives an
+    empty table. Only the columns of docs named in `carry` are returned (all by default); texts are scored once, so
+    what is carried is written along with the weights.
     """
     docs = docs.drop("log_weight", "sampling_key", "kept")
     sample = cut(labelled(labels, "quality"), "quality-labels")
     ratio = models(docs.select("doc_id", "text"), sample)
-    weighed = docs.withColumn("log_weight", log_weight(ratio)(F.col("text")))
-    scores = cut(weighed.select("doc_id", "log_weight"), "quality-scores")
+    carry = docs.columns if carry is None else carry
+    weighed = docs.withColumn("log_weight", log_weight(ratio)(F.col("text"))).select(*[F.col(f"`{c}`") for c in carry], "log_weight")
+    weighed = cut(weighed, "quality-scores")
+    scores = weighed.select("doc_id", "log_weight")
     held = scores.join(F.broadcast(sample.where("__held")), F.col("doc_id") == F.col("__id")).select("log_weight", "__label").limit(LABELLED).collect()
     threshold = best_cut(np.array([r[0] for r in held], float), np.array([r[1] == 1 for r in held], bool))
     k = scores.where(F.col("log_weight") >= threshold).count()
@@ -138,5 +142,6 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
 
 
 def op1_importance_resampling(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: importance weight, sampling key, whether it is drawn. See resample()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return resample(docs, table(spark, sf_dir, "labels")).select("doc_id", "log_weight", "sampling_key", "kept")
+    return resample(docs, table(spark, sf_dir, "labels"), carry=["doc_id"]).select("doc_id", "log_weight", "sampling_key", "kept")
