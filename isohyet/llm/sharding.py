@@ -2,12 +2,14 @@
 
 Records are ordered by a key made of a hash of their text and a hash of their id, so equal texts stand
 together. A size-weighted sample of the keys gives quantile boundaries; the exact weight of each range is then
-counted, overfull ranges are sampled again and subdivided, and runs of ranges of equal weight become shards.
+counted, overfull ranges are sampled again and subdivided, and runs of ranges of equal weight become shards; the ranges
+of one heavy text go to a shard together.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_right
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -58,15 +60,54 @@ def quantiles(sample: list[int], parts: int) -> list[int]:
     at = [sample[len(sample) * i // parts] for i in range(1, parts)] if sample else []
     high = [x >> LOW for x in at]
     alone = {h for h, n in zip(high, high[1:]) if h == n}
-    return sorted({x if h in alone else h << LOW for x, h in zip(at, high)})
+    ends = {e << LOW for h in alone for e in (h, h + 1) if e << LOW <= TOP}
+    return sorted({x if h in alone else h << LOW for x, h in zip(at, high)} | ends)
+
+
+def deal(bounds: list[int], totals: dict[int, tuple[int, int]], shards: int) -> tuple[list[int], list[int]]:
+    """(shard, slots before it) of each range from its (weight, rows).
+
+    Ranges that one text fills stay together if they are no more than a shard: such texts come first, the heaviest to
+    the emptiest shard. All other ranges then fill the shards in order of their keys.
+    """
+    weight = sum(size for size, _ in totals.values())
+    room, n = weight / shards, len(bounds) + 1
+    texts: dict[int, list[int]] = {}
+    for k in range(1, n - 1):
+        low, high = bounds[k - 1] >> LOW, (bounds[k] - 1) >> LOW
+        if low == high:
+            texts.setdefault(low, []).append(k)
+    size_of_text = {h: sum(totals.get(k, (0, 0))[0] for k in ks) for h, ks in texts.items()}
+    shard, load, placed = [0] * n, [0.0] * shards, set()
+    for h in sorted(texts, key=lambda h: (-size_of_text[h], h)):
+        if size_of_text[h] <= room:
+            s = min(range(shards), key=lambda s: (load[s], s))
+            load[s] += size_of_text[h]
+            for k in texts[h]:
+                shard[k] = s
+            placed.update(texts[h])
+    left = [max(0.0, room - x) for x in load]
+    rest = sorted(set(totals) - placed)
+    scale = sum(totals[k][0] for k in rest) / (sum(left) or 1)
+    ends = list(accumulate(x * scale for x in left))
+    done, last = 0, max((s for s in range(shards) if left[s] > 0), default=shards - 1)
+    for k in rest:
+        shard[k] = min(bisect_right(ends, done + totals[k][0] / 2), last)
+        done += totals[k][0]
+    first, filled = [0] * n, [0] * shards
+    for k in range(n):
+        first[k] = filled[shard[k]]
+        filled[shard[k]] += totals.get(k, (0, 0))[1]
+    return shard, first
 
 
 def split(docs: DataFrame, shards: int = 24, ranges: int = RANGES, seed: int = 7, key: Column | None = None, size: Column | None = None) -> DataFrame:
     """Returns docs with shard (0 to shards - 1) and slot (gapless from 0 in its shard), near equal in bytes.
 
-    A record weighs its text's UTF-8 bytes plus 8 (null text: 8). Equal texts share a shard unless they
-    outgrow a range or meet a shard's end. Rows that agree in id and text are kept apart as rows. An empty table
-    gives an empty table; columns of docs named shard or slot are replaced. key and size are sort_key() and size_of()
+    A record weighs its text's UTF-8 bytes plus 8 (null text: 8; a null and an empty text are equal). Equal texts share a
+    shard unless they outgrow one; then they fill whole ranges of several. Rows that agree in id and text are kept apart
+    as rows, with a slot each, but share a key and thus a shard. Very long texts are no special case: only sizes and
+    digests are moved. An empty table gives an empty table; columns of docs named shard or slot are replaced. key and size are sort_key() and size_of()
     of the text, unless docs has them already and no longer its text.
     """
     docs = docs.drop("shard", "slot")
@@ -91,11 +132,8 @@ def split(docs: DataFrame, shards: int = 24, ranges: int = RANGES, seed: int = 7
         if not more - set(bounds):
             break
         bounds = sorted(more | set(bounds))
-    totals = sorted((r.range, r.size, r.n) for r in keys.groupBy(range_of(F.col("key"), bounds).alias("range")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect())
-    shard, first, filled, done = [0] * (len(bounds) + 1), [0] * (len(bounds) + 1), [0] * shards, 0
-    for k, size, n in totals:
-        shard[k] = s = min(shards - 1, int((done + size / 2) * shards / max(weight, 1)))
-        first[k], filled[s], done = filled[s], filled[s] + n, done + size
+    totals = {r.range: (r.size, r.n) for r in keys.groupBy(range_of(F.col("key"), bounds).alias("range")).agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()}
+    shard, first = deal(bounds, totals, shards)
     constant = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<bigint>")
     rank = F.row_number().over(Window.partitionBy("__range").orderBy("__key", "doc_id"))
     placed = with_key.withColumn("__range", range_of(F.col("__key"), bounds)).withColumn("__rank", rank)
@@ -108,6 +146,7 @@ def size_of(text: str) -> Column:
 
 
 def op10_sampled_splitters(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: size, digest, shard and slot under the law of near equal bytes. See split()."""
     docs = table(spark, sf_dir, "documents")
     crc = F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
     docs = docs.select("doc_id", size_of("text").alias("size"), crc.alias("text_crc32"), sort_key(F.col("doc_id"), F.col("text")).alias("key"))

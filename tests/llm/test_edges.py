@@ -63,6 +63,24 @@ def test_sharding_balances_a_hot_text(spark):
     assert len(got) == 6 and got.n.max() / got.n.mean() < 1.1 and got.n.min() / got.n.mean() > 0.9
 
 
+def test_sharding_keeps_equal_texts_together(spark):
+    """Groups of about 0.3 of a shard, one of 0.9, one of 2.5, and small texts: only what outgrows a shard is parted."""
+    shard = 30 * 1000
+    groups = [0.3] * 12 + [0.9, 2.5] + [0.02] * 40
+    texts = [sentence(30)[:92].ljust(92, "x") for _ in groups]
+    rows = [t for t, g in zip(texts, groups) for _ in range(round(g * shard / 100))]
+    rows += [sentence(30)[:92].ljust(92, "y") for _ in range(12 * shard // 100 - len(rows))]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = sharding.split(df, 12).toPandas()
+    size = got.groupby("shard").size()
+    assert len(size) == 12 and size.max() / size.mean() < 1.06 and size.min() / size.mean() > 0.94
+    homes = got.groupby("text")["shard"].nunique()
+    assert homes[texts[13]] == 3 or homes[texts[13]] == 4
+    assert all(homes[t] == 1 for i, t in enumerate(texts) if i != 13) and homes.drop(texts[13]).max() == 1
+    for _, g in got.groupby("shard"):
+        assert sorted(g.slot) == list(range(len(g)))
+
+
 def test_mixing(docs, none):
     got = mixing.copies(docs).toPandas()
     assert len(got) == len(ROWS) and got["copies"].between(0, 3).all()
@@ -97,7 +115,9 @@ def test_chat_round_trip(spark):
         said[r.conv_id] += [(t.role, t.text) for t in r.turns[r.n_repeated :]]
         learnt[r.conv_id] += [plain(r.text[s.start : s.start + s.length]) for s in r.loss]
         if len(r.turns) - r.n_repeated > 1:
-            assert r.n_tokens <= 256 or r.turns[0].role == "system"
+            system = r.turns[0].role == "system"
+            one = [len((t.text or "").split()) + 1 for t in r.turns[r.n_repeated :]]
+            assert r.n_tokens <= 256 or (system and len(one) == 1 and len(r.turns) == 2)
     groups = defaultdict(list)
     for c, i, role, text, _ in rows:
         groups[c].append((i is not None, i or 0, role is not None, role or "", text is not None, text or ""))
@@ -108,6 +128,23 @@ def test_chat_round_trip(spark):
     assert chat.windows(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("system,turn", [(450, 20), (450, 40), (505, 6), (600, 3), (100, 150), (0, 60)])
+def test_chat_budget(spark, system, turn):
+    """A window is over the budget only if the system turn and the turn it is for are so by themselves."""
+    rng = np.random.default_rng(2)
+    rows = [(1, 0, "system", sentence(system))] if system else []
+    rows += [(1, i + 1, ("user", "assistant")[i % 2], sentence(int(rng.integers(1, turn + 1)))) for i in range(60)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    out = chat.windows(df, 512).withColumn("turns", chat.read_turns(F.col("text"))).collect()
+    assert sum(len(r.turns) - r.n_repeated for r in out) == len(rows)
+    for r in out:
+        size = [len(t.text.split()) + 1 for t in r.turns]
+        assert r.n_tokens == sum(size)
+        if system and r.window:
+            assert r.turns[0].role == "system"
+        assert r.n_tokens <= 512 or (len(size) == 2 and r.n_repeated == 1) or (len(size) == 1 and r.window == 0), (size, r.n_repeated)
+
+
 def test_simhash_groups(docs, none):
     got = simhash.near_groups(simhash.with_fingerprints(docs)).toPandas()
     assert len(got) == len(ROWS)
@@ -338,6 +375,7 @@ def test_lm(docs, none, spark):
 
 def test_quality(docs, none, labels):
     got = quality.resample(docs, labels)
+    assert quality.resample(docs, labels, carry=["doc_id"]).columns == ["doc_id", "log_weight", "sampling_key", "kept"]
     assert sorted(got.columns) == sorted([*docs.columns, "log_weight", "sampling_key"]) and got.count() == len(ROWS)
     assert quality.resample(docs, labels.limit(0)).where("kept").count() == len(ROWS)
     assert quality.resample(none, labels).count() == 0
@@ -351,6 +389,32 @@ def test_quality_parts_junk(spark):
     assert ((got.doc_id % 3 > 0) == got.kept).mean() > 0.98
 
 
+def test_quality_against_brute_force(spark, docs, labels):
+    """Counts, weights, the cut and the draw, text by text."""
+    one = [[f for f, _ in quality.features(__import__("pyarrow").array([r[1] or ""]))] for r in ROWS]
+    grams = [Counter(np.concatenate(f).tolist()) if f else Counter() for f in one]
+    lab = {i: int(i % 4 != 0) for i in range(30) if i not in (3, 7)} | {3: 1}
+    seed = {r.i: r.h for r in spark.range(60).selectExpr("id AS i", f"pmod(xxhash64(id, {quality.SEED}), 2) = 1 AS h").collect()}
+    ids = [r[0] for r in ROWS]
+    raw, good = Counter(), Counter()
+    for i, g in zip(ids, grams):
+        raw.update(g)
+        if lab.get(i) == 1 and not seed[i]:
+            good.update(g)
+    smooth = lambda c, f: math.log((c[f] + 1) / (sum(c.values()) + quality.BUCKETS))
+    weight = [sum(n * (smooth(good, f) - smooth(raw, f)) for f, n in g.items()) for g in grams]
+    held = [(w, lab[i] == 1) for i, w in zip(ids, weight) if i in lab and seed[i]]
+    cut = quality.best_cut(np.array([w for w, _ in held]), np.array([x for _, x in held]))
+    noise = {r.i: r.g for r in docs.select(F.col("doc_id").alias("i"), quality.gumbel(F.col("doc_id")).alias("g")).collect()}
+    key = [w + noise[i] for i, w in zip(ids, weight)]
+    k = sum(w >= cut for w in weight)
+    least = sorted(key)[-k]
+    got = quality.resample(docs, labels).select("doc_id", "log_weight", "sampling_key", "kept").toPandas()
+    want = sorted(zip(weight, key, (x >= least for x in key)))
+    have = sorted(zip(got.log_weight, got.sampling_key, got.kept))
+    assert np.allclose(np.array(have, float), np.array(want, float)) and 0 < k < len(ROWS)
+
+
 def test_kth_largest(spark):
     x = np.random.default_rng(3).normal(size=3000)
     df = spark.createDataFrame([(float(v),) for v in x], "x double")
@@ -371,6 +435,39 @@ def test_toxicity(spark, docs, none, labels):
     assert ((out.doc_id % 5 == 0) == out.toxic).mean() > 0.97
 
 
+def test_folds_see_nothing_of_themselves(monkeypatch):
+    """Labels that are pure chance stay unpredictable out of fold, though words of few rows tell them apart in all rows."""
+    rng = np.random.default_rng(11)
+    monkeypatch.setattr(toxicity, "WORDS", 60)
+    sets = [np.unique(rng.integers(0, 4000, 40).astype(np.uint64)) for _ in range(300)]
+    labels = rng.integers(0, 2, (300, 1))
+    seen = []
+    logistic = toxicity.logistic
+    monkeypatch.setattr(toxicity, "logistic", lambda row, col, extra, y, use, n: seen.append((row, col, use, n)) or logistic(row, col, extra, y, use, n))
+    fold = np.arange(300) % toxicity.FOLDS
+    toxicity.train(sets, labels, fold)
+    assert len(seen) == toxicity.FOLDS + 1
+    for f, (row, col, use, n) in enumerate(seen[:-1]):
+        w = logistic(row, col, np.zeros((300, 0)), labels[:, 0].astype(float), use, n)
+        z = np.bincount(row, w[col], 300) + w[-1]
+        right = ((z > 0) == (labels[:, 0] == 1))[fold == f].mean()
+        assert (use == (fold != f)).all() and right < 0.7
+
+
+def test_chain_against_brute_force():
+    """Scores of a trained chain by plain sums over words, and weights at a minimum of the penalised loss."""
+    rng = np.random.default_rng(10)
+    sets = [np.unique(rng.integers(0, 50, 8).astype(np.uint64)) for _ in range(400)]
+    y = np.array([[3 in s, (3 in s) and (5 in s)] for s in sets]).astype(int)
+    words, weights, cuts = toxicity.train(sets, y, np.arange(400) % toxicity.FOLDS)
+    place, first = {w: i for i, w in enumerate(words.tolist())}, []
+    for s, (a, b) in zip(sets, y):
+        p = 1 / (1 + math.exp(-sum(weights[0][place[w]] for w in s.tolist()) - weights[0][-1]))
+        q = 1 / (1 + math.exp(-sum(weights[1][place[w]] for w in s.tolist()) - weights[1][-2] * p - weights[1][-1]))
+        first.append(((p >= cuts[0]) == a, (q >= cuts[1]) == b))
+    assert np.mean(first, axis=0).min() > 0.95 and weights[1][-2] > 0
+
+
 def test_held_out_remainder():
     assert zlib.crc32(b"12") % 7 == zlib.crc32(str(12).encode()) % 7
 
