@@ -18,12 +18,13 @@ from pyspark.sql.window import Window
 
 from isohyet.llm.common import cut, table
 
-#: Distinct vectors in a shard, about.
-SHARD = 4096
+#: Distinct vectors in a shard, about: the larger of SHARD and GROWTH times the root of their number, so that both shards
+#: and the number of them grow, up to what one task can hold.
+SHARD, GROWTH, LARGEST = 4096, 16, 1 << 18
 #: Neighbours of a node on level 0 (half as many above), width of searches when building and when answering.
 LINKS, BUILD, SEARCH = 24, 64, 112
-#: Queries in a block.
-BLOCK = 1024
+#: Queries in a block, and blocks that one copy of a graph answers, so that its shard is no single task.
+BLOCK, BLOCKS = 512, 8
 K = 20
 
 
@@ -172,6 +173,11 @@ def search(v: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries:
     return beam(points, levels[-1][1], q, entry, width)[1]
 
 
+def width(n: int) -> int:
+    """Width of a search among n vectors: larger graphs need wider ones for the same recall."""
+    return int(SEARCH * (1 + max(0.0, np.log2(max(n, 1) / SHARD)) / 2))
+
+
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<double>): vectors that are neither null nor zero and whose components are finite."""
     v = F.col("v")
@@ -184,7 +190,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
 
     All usable rows are candidates but those with the query's own id. Ties go to the smaller vec_id; rows that repeat id
     and vector count once. Vectors of a length other than the most common one take no part. Null ids take no part.
-    Fewer candidates than k give fewer rows, an empty table none.
+    Fewer candidates than k give fewer rows, an empty table none. Vectors have no texts to be long; further columns are left
+    out.
     """
     spark = vectors.sparkSession
     all_ = usable(vectors)
@@ -197,8 +204,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     kinds = all_.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     kinds = cut(kinds.withColumn("h", F.xxhash64("v", F.lit(9))), "distinct-vectors")
     count = kinds.count()
-    shards = max(1, round(count / SHARD))
-    dealt = kinds.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int"))
+    shards = max(1, round(count / min(LARGEST, max(SHARD, GROWTH * count**0.5))))
+    dealt = kinds.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartition(shards, "shard")
 
     def index(key: tuple, t: pa.Table) -> pa.Table:
         t = t.sort_by("h").combine_chunks()
@@ -215,26 +222,33 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     blocks = max(1, -(-queries.count() // BLOCK))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
     asked = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("qs")).select("block", F.col("qs.vec_id").alias("q_ids"), F.flatten("qs.v").alias("q"))
-    # Each block of the stated query set goes to each shard.
-    met = graphs.select("*", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).join(cut(asked, "queries"), "block").repartition(max(1, shards * blocks), "shard", "block")
+    # Each block of the stated query set goes to each shard. A graph goes to its blocks once for BLOCKS of them.
+    sets = -(-blocks // BLOCKS)
+    numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    homes = graphs.withColumn("part", numbers(sets)).withColumns({"block": F.lit(-1), "q_ids": F.lit(None).cast("array<bigint>"), "q": F.lit(None).cast("array<double>")})
+    visits = cut(asked, "queries").withColumn("shard", numbers(shards)).withColumn("part", F.floor(F.col("block") / BLOCKS).cast("int"))
+    met = homes.unionByName(visits, allowMissingColumns=True).repartition(shards * sets, "shard", "part").sortWithinPartitions("shard", "part", "block")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        v = ids = ends = levels = None
         for b in batches:
             for r in range(b.num_rows):
                 get = lambda c: b.column(c)[r]  # noqa: B023, E731
-                v = np.frombuffer(get("v").as_py()).reshape(-1, dim)
-                ids, ends = np.frombuffer(get("ids").as_py(), np.int64), np.frombuffer(get("ends").as_py(), np.int64)
-                flat = [np.frombuffer(x, np.int32).astype(np.int64) for x in get("graph").as_py()]
-                levels = [(nodes, links.reshape(len(nodes), -1)) for nodes, links in zip(flat[::2], flat[1::2])]
+                if get("block").as_py() < 0:
+                    v = np.frombuffer(get("v").as_py()).reshape(-1, dim)
+                    ids, ends = np.frombuffer(get("ids").as_py(), np.int64), np.frombuffer(get("ends").as_py(), np.int64)
+                    flat = [np.frombuffer(x, np.int32).astype(np.int64) for x in get("graph").as_py()]
+                    levels = [(nodes, links.reshape(len(nodes), -1)) for nodes, links in zip(flat[::2], flat[1::2])]
+                    continue
                 q_ids, q = get("q_ids").values.to_numpy(), get("q").values.to_numpy().reshape(-1, dim)
-                near = search(v, levels, q, min(SEARCH, len(v)))
+                near = search(v, levels, q, min(width(len(v)), len(v)))
                 exact = np.where(near < 0, -np.inf, np.einsum("qkd,qd->qk", v[near], q))
                 row, col = np.nonzero(near >= 0)
                 places = near[row, col]
                 n = (ends[1:] - ends[:-1])[places]
                 owner, score = np.repeat(row, n), np.repeat(exact[row, col], n)
                 cand = ids[np.repeat(ends[places] - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())]
-                yield best_of(b.column("block")[r].as_py(), q_ids[owner], cand, score, k)
+                yield best_of(get("block").as_py(), q_ids[owner], cand, score, k)
 
     kind = "block int, query_id binary, vec_id binary, score binary"
     found = met.mapInArrow(answer, kind)
@@ -268,4 +282,5 @@ def best_of(block: int, q: np.ndarray, v: np.ndarray, s: np.ndarray, k: int) ->
 
 
 def op5_hnsw_shards(spark, sf_dir: str) -> DataFrame:
+    """One row for each query and rank. See nearest()."""
     return nearest(table(spark, sf_dir, "embeddings"))
