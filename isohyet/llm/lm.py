@@ -128,6 +128,23 @@ class Unigrams:
         return np.where(count > 0, p, self.unknown)
 
 
+def in_order(*columns: np.ndarray) -> list[np.ndarray]:
+    """Columns of whole numbers from 0, sorted by the first, then the next; packed into one key where they fit."""
+    bits = [max(1, int(c.max(initial=0)).bit_length()) for c in columns]
+    if sum(bits) > 64:
+        order = np.lexsort(columns[::-1])
+        return [c[order] for c in columns]
+    key = np.zeros(len(columns[0]), np.uint64)
+    for c, b in zip(columns, bits):
+        key = (key << np.uint64(b)) | c.astype(np.uint64)
+    key.sort()
+    out = []
+    for b in bits[::-1]:
+        out.append((key & np.uint64((1 << b) - 1)).astype(np.int64))
+        key = key >> np.uint64(b)
+    return out[::-1]
+
+
 def spread(x: np.ndarray, parts: int) -> np.ndarray:
     return (T.mix(x.astype(np.uint64) + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
 
@@ -218,17 +235,13 @@ def score(docs: DataFrame) -> DataFrame:
                 yield batch(packs, [(-1, chunk, [squeeze(held.astype(np.uint8)), squeeze(lengths), squeeze(np.bincount(doc, known[tokens]).astype(np.int64)), squeeze(np.bincount(doc, base[tokens]))], ids)])
                 first = np.r_[0, tokens[:-1] + 1]
                 first[np.r_[0, np.cumsum(lengths)[:-1]]] = 0
-                bits = max(1, int(max(len(number) + 1, len(lengths)) - 1).bit_length())
-                assert 3 * bits <= 64, "a chunk has too many words"
-                key = np.sort((first.astype(np.uint64) << np.uint64(2 * bits)) | (tokens.astype(np.uint64) << np.uint64(bits)) | doc.astype(np.uint64))
-                new = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-                n, key = np.diff(np.r_[new, len(key)]), key[new]
-                doc, two = (key & np.uint64((1 << bits) - 1)).astype(np.int64), key >> np.uint64(bits)
-                kind = np.flatnonzero(np.r_[True, two[1:] != two[:-1]])
-                size, two = np.diff(np.r_[kind, len(two)]), two[kind]
+                first, tokens, doc = in_order(first, tokens, doc)
+                new = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (tokens[1:] != tokens[:-1]) | (doc[1:] != doc[:-1])])
+                n, first, tokens, doc = np.diff(np.r_[new, len(doc)]), first[new], tokens[new], doc[new]
+                kind = np.flatnonzero(np.r_[True, (first[1:] != first[:-1]) | (tokens[1:] != tokens[:-1])])
+                size = np.diff(np.r_[kind, len(doc)])
                 trained = np.add.reduceat(n * ~held[doc], kind)
-                h = np.r_[BEGIN, number + 1][(two >> np.uint64(bits)).astype(np.int64)]
-                w = number[(two & np.uint64((1 << bits) - 1)).astype(np.int64)]
+                h, w = np.r_[BEGIN, number + 1][first[kind]], number[tokens[kind]]
                 part = np.where(times(h) > common, spread(h * 1_000_003 + w, parts), spread(h, parts))
                 order = np.argsort(part.astype(np.uint16), kind="stable")
                 ends = np.searchsorted(part[order], np.arange(parts + 1))
@@ -248,10 +261,13 @@ def score(docs: DataFrame) -> DataFrame:
             return pa.Table.from_batches([batch(tables, [(part, None, r, None, [c], None, i) for c, r, i in zip(t["chunk"].to_pylist(), t["data"].to_pylist(), t["ids"].to_pylist())])])
         data = t["data"].to_pylist()
         h, w = (np.concatenate([swell(r[k]) for r in data]) for k in (0, 1))
-        two, inverse = np.unique((h.astype(np.uint64) << np.uint64(32)) | w.astype(np.uint64), return_inverse=True)
-        assert h.max() < 1 << 32 and w.max() < 1 << 32, "too many words for a pair's key"
-        c = np.bincount(inverse, np.concatenate([swell(r[3], np.int32) for r in data]), len(two)).astype(np.int64)
-        h, w = (two >> np.uint64(32)).astype(np.int64), (two & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        order = np.lexsort((w, h))
+        h, w = h[order], w[order]
+        new = np.r_[True, (h[1:] != h[:-1]) | (w[1:] != w[:-1])]
+        inverse = np.empty(len(order), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        h, w = h[new], w[new]
+        c = np.bincount(inverse, np.concatenate([swell(r[3], np.int32) for r in data]), len(h)).astype(np.int64)
         seen = np.bincount(np.minimum(c, CUT + 2), minlength=CUT + 3)[: CUT + 2]
         hot = np.flatnonzero((times(h) > common) & (c > 0))
         u, k = np.unique(h[hot], return_inverse=True)
@@ -336,5 +352,6 @@ def _begun(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def op6_katz_backoff(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: token counts, base score and the model's score. See score()."""
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2, F.lit(False))
     return score(table(spark, sf_dir, "documents").select("doc_id", "text", held.alias("held")))
