@@ -13,7 +13,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,35 +28,62 @@ SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 PART = 1 << 15
 #: Up to this size all links of a bucket are given, beyond it a spanning forest of them.
 SMALL = 48
+#: Buckets above that are divided by the next step of the chain.
+FINER = 512
 SHINGLE = 4
 SEED = 42
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     """SimHash of a text's word shingles, repeats included; 0 without words."""
-    words = (text or "").encode().lower().split()
-    if not words:
-        return 0
-    whole, digest = b" ".join(words), xxhash.xxh64_intdigest
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words]).tolist()
-    n = max(1, len(words) - shingle + 1)
-    stops = (ends - 1).tolist()[-n:]
-    over = np.zeros(64, np.int64)
-    for i in range(0, n, 1 << 16):
-        h = np.array([digest(whole[a:b], SEED) for a, b in zip(starts[i : i + (1 << 16)], stops[i : i + (1 << 16)])], np.uint64)
-        over += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
-    return int(np.packbits(2 * over > n, bitorder="little").view(np.uint64)[0])
+    return int(fingerprints(pa.array([text], pa.string()), shingle)[0])
+
+
+#: The eight bits of a byte as eight bytes of one number, so up to 255 of them add up side by side.
+_SPREAD = np.array([sum((v >> i & 1) << 8 * i for i in range(8)) for v in range(256)], np.uint64)
+
+
+def majority(h: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Fingerprint of each run of hashes: bits that over half of them have; 0 for empty runs."""
+    out, n = np.zeros(len(ends) - 1, np.uint64), np.diff(ends)
+    some = np.flatnonzero(n)
+    if len(some):
+        parts = -(-n[some] // 255)
+        first = np.r_[0, np.cumsum(parts)[:-1]]
+        block = np.repeat(ends[some], parts) + 255 * (np.arange(parts.sum()) - np.repeat(first, parts))
+        each = np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8)
+        sums = np.stack([np.add.reduceat(_SPREAD[each[:, k]], block) for k in range(8)], axis=1)
+        count = np.add.reduceat(sums.view(np.uint8).reshape(-1, 64).astype(np.int64), first, axis=0)
+        out[some] = np.packbits(2 * count > n[some, None], axis=1, bitorder="little").view(np.uint64)[:, 0]
+    return out
+
+
+def fingerprints(texts: pa.Array, shingle: int = SHINGLE) -> np.ndarray:
+    """SimHash of each text: words lower-cased (A-Z), shingles joined by spaces; fewer words make one shingle."""
+    out = np.zeros(len(texts), np.uint64)
+    for first, data, offsets in T.chunks(texts):
+        w = T.words(data, offsets)
+        size, n = w.end - w.start, len(offsets) - 1
+        # All words in a row, each with a space after it.
+        at = np.cumsum(size + 1) - (size + 1)
+        joined = np.full(int((size + 1).sum()) + 8, 32, np.uint8)
+        joined[np.arange(int(size.sum())) + np.repeat(np.arange(len(size)), size)] = w.data[~T.SPACE[w.data]]
+        ends = np.searchsorted(w.doc, np.arange(n + 1))
+        count = np.diff(ends)
+        start = np.flatnonzero(np.arange(len(size)) <= ends[w.doc] + np.maximum(count[w.doc] - shingle, 0)) if len(size) else np.zeros(0, int)
+        last = np.minimum(start + shingle, ends[w.doc[start] + 1]) - 1
+        h = T.xxh64(joined, at[start], at[last] + size[last], SEED)
+        out[first : first + n] = majority(h, np.searchsorted(w.doc[start], np.arange(n + 1)))
+    return out
 
 
 def with_fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, text) -> (doc_id, fp long)."""
+    """(doc_id, text) -> (doc_id, fp long). Texts are taken whole, however long; further columns are left out."""
     arrow(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fps = np.fromiter((fingerprint(t.as_py(), shingle) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fingerprints(b.column(1), shingle).view(np.int64))], ["doc_id", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {ids}, fp long")
@@ -77,6 +103,21 @@ def keys(fp: Column) -> Column:
     return F.array(*found)
 
 
+def finer(fp: Column, key: Column) -> Column:
+    """The three keys that divide a large bucket: by the chain's next step its first three segments differ in at most 2 bits.
+
+    Beyond the key they hold a half of the second segment and two of the third, so one of these halves is equal, too.
+    """
+    found = []
+    for i in range(len(SEGMENTS)):
+        (a, n), (b, m) = SEGMENTS[(i + 1) % len(SEGMENTS)], SEGMENTS[(i + 2) % len(SEGMENTS)]
+        third = [(b, m // 2), (b + m // 2, m - m // 2)]
+        for other in ((a + n // 2, n - n // 2), (a, n // 2)):
+            found.append(F.array(*[F.shiftleft(bits(fp, *p), 22) + F.lit((k + 1) << 20) for k, p in enumerate([other, *third])]))
+    mine = F.element_at(F.array(*found), (F.shiftright(key, 32).bitwiseAND(F.lit(255)) + 1).cast("int"))
+    return F.transform(mine, lambda x: key + x)
+
+
 def chain(x: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Which xors pass: from segment start on, l segments differ in at most l * RADIUS / 5 bits, for l = 1 to 5."""
     left = np.arange(len(x))
@@ -91,10 +132,14 @@ def links(fps: DataFrame) -> DataFrame:
 
     s, from 0, numbers kinds of fingerprint that are not compared with each other.
 
-    A bucket over PART fingerprints is dealt out as pairs of parts, so no task holds more than two parts and no pair
-    is missed. Within a large bucket only links between so far unconnected fingerprints are given.
+    A bucket over FINER fingerprints is divided by further bits of the chain, so the pairs to compare grow little faster
+    than the fingerprints. What is still over PART is dealt out as pairs of parts, so no task holds more than two parts.
+    No pair is missed by either. Within a bucket over SMALL only links between so far unconnected fingerprints are given.
     """
     at = fps.select("s", "fp", F.explode(keys(F.col("fp"))).alias("key")).select("fp", (F.col("key") + F.shiftleft(F.col("s").cast("long"), 40)).alias("key"))
+    dense = at.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FINER)
+    divided = F.when(F.col("n").isNull(), F.array("key")).otherwise(finer(F.col("fp"), F.col("key")))
+    at = at.join(dense, "key", "left").select("fp", F.explode(divided).alias("key"))
     large = at.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > PART)
     g = F.ceil(F.coalesce("n", F.lit(1)) / PART)
     mine = F.pmod(F.xxhash64("fp"), g)
@@ -155,7 +200,8 @@ def near_groups(fps: DataFrame) -> DataFrame:
     """(doc_id, fp) -> (doc_id, fp, component_id): smallest doc_id that links of RADIUS or less reach.
 
     Copies meet as one fingerprint, so a group of copies costs one row per key however large it is. Null ids keep a
-    row; they are no group's smallest unless all its ids are null. An empty table gives an empty table.
+    row; they are no group's smallest unless all its ids are null. Null and empty texts have fingerprint 0, like any
+    other; ties and repeated rows keep a row each. An empty table gives an empty table; further columns are left out.
     """
     fps = cut(fps, "fingerprints")
     each = cut(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct-fingerprints")
@@ -166,6 +212,7 @@ def near_groups(fps: DataFrame) -> DataFrame:
 
 
 def op7_pigeonring_groups(spark, sf_dir: str) -> DataFrame:
+    """One row for each row of documents: fingerprint in hex, smallest doc_id of its group. See near_groups()."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return near_groups(with_fingerprints(docs)).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -178,7 +225,7 @@ FEW = 3
 #: Texts that candidates need are marked by their hash modulo this, so that few others are moved.
 MARKS = 1 << 24
 #: Texts of the commonest root that a turn compares with all of a bucket, and turns before all pairs of different roots.
-STARS, TURNS = 4, 3
+STARS, TURNS = 4, 1
 #: Texts of a bucket of shared shingles that one task compares with each other.
 BLOCK = 1 << 12
 
@@ -220,14 +267,15 @@ def numbered(g: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(nth > 0, T.mix(g + nth * np.uint64(0x9E3779B97F4A7C15)), g), doc
 
 
-def prefixes(texts: pa.Array, common: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, list[bytes]]:
-    """Number of shingles of each text, and as many of them, rare first, that texts of `least` similarity share one.
+def prefixes(texts: pa.Array, common: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """Number of shingles of each text, as many of them, rare first, that texts of `least` similarity share one, and its SimHash.
 
     A text of n shingles shares at least ceil(least * n) with a similar one, so in any order that all texts follow, the
     first n - ceil(least * n) + 1 of both have one in common.
     """
-    size, out = np.zeros(len(texts), np.int32), [b""] * len(texts)
+    size, out, fps = np.zeros(len(texts), np.int32), [b""] * len(texts), np.zeros(len(texts), np.uint64)
     for first, g, ends in shingles(texts):
+        fps[first : first + len(ends) - 1] = majority(g, ends)
         token, doc = numbered(g, ends)
         key = token >> np.uint64(3)
         if len(common):
@@ -239,7 +287,7 @@ def prefixes(texts: pa.Array, common: np.ndarray, rank: np.ndarray, least: float
         m = np.minimum(n, n - np.ceil((least - 1e-9) * n).astype(int) + 1)
         for i in range(len(n)):
             out[first + i] = key[ends[i] : ends[i] + m[i]].tobytes()
-    return size, out
+    return size, out, fps
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
@@ -350,6 +398,15 @@ def prefix_pairs(index: DataFrame, least: float, turn: int | None) -> DataFrame:
     return dealt.repartition("key", "pair").sortWithinPartitions("key", "pair", "root", F.xxhash64("th", F.lit(turn or 0))).mapInArrow(find, "a long, b long").where("a <> b").distinct()
 
 
+def simhash_pairs(texts: DataFrame) -> DataFrame:
+    """(th, n, fp) -> (a, b), a < b: texts of equal SimHash with the first of them, and those first texts within RADIUS."""
+    some = texts.where("n > 0").select("th", "fp")
+    first = cut(some.groupBy("fp").agg(F.min("th").alias("first")), "distinct-fingerprints")
+    near = links(first.select(F.lit(0).alias("s"), "fp")).join(first.select(F.col("fp").alias("a"), F.col("first").alias("x")), "a").join(first.select(F.col("fp").alias("b"), F.col("first").alias("y")), "b").select("x", "y")
+    equal = some.join(first, "fp").where("th <> first").select(F.col("first").alias("x"), F.col("th").alias("y"))
+    return near.unionByName(equal).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Sum of minima over sum of maxima of two sorted multisets; 1 for two empty ones."""
     if not len(a) and not len(b):
@@ -364,10 +421,11 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """Keeps one document of each group of near duplicates, with the columns of docs.
 
     Texts are linked if the weighted similarity of their five-word shingles is at least `least`; groups are what links
-    connect. Every such pair shares a shingle of its prefixes (see prefixes()). Some turns verify a few pairs of each bucket,
-    then come all pairs that are still in different groups, so no link between groups is missed. The
-    smallest doc_id of a group stays (nulls first), once. Null counts as empty, texts without words are one group. An
-    empty table gives an empty table.
+    connect. First the pairs whose SimHashes pass the pigeonring chain are verified. Texts that differ by a block are
+    often farther apart than that, but every pair at 0.8 shares a shingle of its prefixes (see prefixes()): a turn verifies
+    a few pairs of each bucket, then come all pairs that are still in different groups, so no link between groups is missed.
+    The smallest doc_id of a group stays (nulls first), once. Null counts as empty, texts without words are one group;
+    long texts are compared whole. An empty table gives an empty table.
     """
     spark = docs.sparkSession
     arrow(spark)
@@ -387,12 +445,12 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, prefix = prefixes(b.column(2), *known.value, least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(prefix, pa.binary())], ["id", "th", "n", "prefix"])
+            n, prefix, fp = prefixes(b.column(2), *known.value, least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(prefix, pa.binary()), pa.array(fp.view(np.int64))], ["id", "th", "n", "prefix", "fp"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary")
-    texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "texts")
+    rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary, fp long")
+    texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp")), "texts")
     at = cut(index(texts), "shared-shingles")
 
     @F.arrow_udf("double")
@@ -419,9 +477,9 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
 
     wordless = texts.where("n = 0").select("th")
     linked = wordless.crossJoin(wordless.agg(F.min("th").alias("m"))).select(F.col("m").alias("a"), F.col("th").alias("b"))
-    rooted, tried = at.withColumn("root", F.col("th")), None
-    for turn in [*range(TURNS), None]:
-        edges = prefix_pairs(rooted, least, turn)
+    tried = None
+    for turn in ["simhash", *range(TURNS), None]:
+        edges = simhash_pairs(texts) if turn == "simhash" else prefix_pairs(rooted, least, turn)
         edges = cut(edges.join(tried, ["a", "b"], "left_anti") if tried else edges, "candidates")
         tried = tried.unionByName(edges) if tried else edges
         linked = linked.unionByName(verified(edges))

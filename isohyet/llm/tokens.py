@@ -11,6 +11,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 #: Bytes of text that are handled together; a longer text is handled alone.
 CHUNK = 1 << 20
@@ -87,6 +88,61 @@ def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+#: The five primes of XXH64 (fixed values).
+P1, P2, P3, P4, P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+#: Longer ranges are hashed one by one.
+RANGE = 4096
+
+
+def rotated(x: np.ndarray, n: int) -> np.ndarray:
+    return (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+
+
+def xxh64(data: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int) -> np.ndarray:
+    """XXH64 of byte ranges, step by step for all at once; data has 8 spare bytes at its end."""
+    size = end - start
+    out = np.empty(len(start), np.uint64)
+    long = size > RANGE
+    for i in np.flatnonzero(long).tolist():
+        out[i] = xxhash.xxh64_intdigest(data[start[i] : end[i]].tobytes(), seed)
+    if long.any():
+        short = np.flatnonzero(~long)
+        out[short] = xxh64(data, start[short], end[short], seed)
+        return out
+    data = np.ascontiguousarray(data)
+    word8 = np.ndarray(len(data) - 7, "<u8", data, strides=(1,))
+    word4 = np.ndarray(len(data) - 3, "<u4", data, strides=(1,))
+    lane = lambda at: rotated(word8[at] * P2, 31) * P1
+    h, at = np.full(len(start), (seed + int(P5)) % (1 << 64), np.uint64), start.copy()
+    wide = np.flatnonzero(size >= 32)
+    if len(wide):
+        v = [np.full(len(wide), x % (1 << 64), np.uint64) for x in (seed + int(P1) + int(P2), seed + int(P2), seed, seed - int(P1))]
+        for k in range(int(size.max()) // 32):
+            i = np.flatnonzero(size[wide] >= 32 * (k + 1))
+            for j in range(4):
+                v[j][i] = rotated(v[j][i] + word8[at[wide[i]] + 8 * j] * P2, 31) * P1
+            at[wide[i]] += 32
+        whole = rotated(v[0], 1) + rotated(v[1], 7) + rotated(v[2], 12) + rotated(v[3], 18)
+        for x in v:
+            whole = (whole ^ (rotated(x * P2, 31) * P1)) * P1 + P4
+        h[wide] = whole
+    h += size.astype(np.uint64)
+    for _ in range(3):
+        i = np.flatnonzero(end - at >= 8)
+        h[i] = rotated(h[i] ^ lane(at[i]), 27) * P1 + P4
+        at[i] += 8
+    i = np.flatnonzero(end - at >= 4)
+    h[i] = rotated(h[i] ^ (word4[at[i]].astype(np.uint64) * P1), 23) * P2 + P3
+    at[i] += 4
+    for _ in range(3):
+        i = np.flatnonzero(end > at)
+        h[i] = rotated(h[i] ^ (data[at[i]].astype(np.uint64) * P5), 11) * P1
+        at[i] += 1
+    h = (h ^ (h >> np.uint64(33))) * P2
+    h = (h ^ (h >> np.uint64(29))) * P3
+    return h ^ (h >> np.uint64(32))
+
+
 def shapes(w: Words, raw: np.ndarray) -> np.ndarray:
     """Hash of each word's run of byte classes, equal neighbours once."""
     c = SHAPE[raw]

@@ -165,6 +165,47 @@ def test_simhash_groups(docs, none):
     assert simhash.near_groups(simhash.with_fingerprints(none)).count() == 0
 
 
+def test_fingerprints_against_the_library():
+    import pyarrow as pa
+    import xxhash
+
+    texts = [r[1] for r in ROWS] + ["a B c", "A b  C\td", " ".join(["x" * n for n in (1, 40, 5000, 3, 9000, 31, 32, 33)])]
+    want = []
+    for t in texts:
+        w = (t or "").encode().lower().split()
+        h = [xxhash.xxh64_intdigest(b" ".join(w[i : i + 4]), 42) for i in range(max(1, len(w) - 3))] if w else []
+        want.append(sum((2 * sum(x >> b & 1 for x in h) > len(h)) << b for b in range(64)))
+    assert simhash.fingerprints(pa.array(texts, pa.string())).tolist() == want
+
+
+@pytest.mark.parametrize("finer,part", [(4, 1 << 15), (1, 8), (512, 8)])
+def test_divided_buckets_lose_no_link(spark, monkeypatch, finer, part):
+    """All links within the radius stay connected however buckets are divided and dealt out."""
+    monkeypatch.setattr(simhash, "FINER", finer)
+    monkeypatch.setattr(simhash, "PART", part)
+    rng = np.random.default_rng(14)
+    base = [int(x) for x in rng.integers(0, 1 << 62, 60)]
+    # Pairs at every distance up to 6, and fingerprints that share segments but nothing else.
+    fps = set(base) | {f ^ sum(1 << int(b) for b in rng.choice(64, k, replace=False)) for f in base for k in (1, 2, 3, 4, 4, 4, 5, 6)}
+    fps |= {(base[0] & ((1 << 26) - 1)) | int(x) << 26 for x in rng.integers(0, 1 << 38, 200)}
+    fps = {f - (1 << 64) if f >> 63 else f for f in fps}
+    got = {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame([(0, f) for f in fps], "s int, fp long")).collect()}
+    arr = np.array(sorted(fps)).view(np.uint64)
+    want = {frozenset((int(a), int(b))) for i, a in enumerate(arr.view(np.int64)) for b in arr.view(np.int64)[i + 1 :][np.bitwise_count(arr[i + 1 :] ^ arr[i]) <= 4]}
+    assert want and want <= got | want and all(bin((min(p) ^ max(p)) & (2**64 - 1)).count("1") <= 4 for p in got)
+    parent = {f: f for f in fps}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for p in got:
+        a, b = p
+        parent[find(a)] = find(b)
+    assert all(len({find(x) for x in p}) == 1 for p in want)
+
+
 def test_links_of_a_dense_group(spark):
     rng = np.random.default_rng(2)
     centre = int(rng.integers(0, 1 << 63))
