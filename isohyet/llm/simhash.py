@@ -147,8 +147,8 @@ def links(fps: DataFrame) -> DataFrame:
     dealt = at.join(large, "key", "left").select("key", F.explode(pairs).alias("pair"), "fp")
     arrow(fps.sparkSession)
 
-    def flush(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True]) if len(key) else np.array([0])
+    def flush(key: np.ndarray, pair: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+        cuts = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (pair[1:] != pair[:-1]), True]) if len(key) else np.array([0])
         size = np.diff(cuts)
         found = []
         run = np.repeat(np.arange(len(size)), size)
@@ -179,7 +179,7 @@ def links(fps: DataFrame) -> DataFrame:
         n = 0
 
         def take(whole: np.ndarray) -> pa.RecordBatch:
-            return flush(whole[0].astype(np.int64), whole[2].view(np.uint64))
+            return flush(whole[0].astype(np.int64), whole[1], whole[2].view(np.uint64))
 
         for b in batches:
             kept.append(np.stack([c.to_numpy() for c in b.columns]))
