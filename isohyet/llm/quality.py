@@ -123,16 +123,17 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     power 1 / temperature), from a hash of the id: reruns agree, and rows with equal id and text fare alike; where
     they tie at the cut, all are kept. A null or empty text has weight 0; long texts are scored whole. Without labels of
     both classes the threshold is 0; without good labels all weights are 0 and all is kept. An empty table gives an
-    empty table. Only the columns of docs named in `carry` are returned (all by default); texts are scored once, so
-    what is carried is written along with the weights.
+    empty table. If `carry` names columns of docs, only these are returned, written along with the weights, and texts are
+    scored once. By default all columns are returned, and texts scored again when the result is read: that takes less than
+    a written copy of all texts.
     """
     docs = docs.drop("log_weight", "sampling_key", "kept")
     sample = cut(labelled(labels, "quality"), "quality-labels")
     ratio = models(docs.select("doc_id", "text"), sample)
-    carry = docs.columns if carry is None else carry
-    weighed = docs.withColumn("log_weight", log_weight(ratio)(F.col("text"))).select(*[F.col(f"`{c}`") for c in carry], "log_weight")
-    weighed = cut(weighed, "quality-scores")
-    scores = weighed.select("doc_id", "log_weight")
+    every = docs.withColumn("log_weight", log_weight(ratio)(F.col("text")))
+    kept = cut(every.select(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", *(carry or [])])], "log_weight"), "quality-scores")
+    scores = kept.select("doc_id", "log_weight")
+    weighed = every if carry is None else kept.select(*[F.col(f"`{c}`") for c in carry], "log_weight") if "doc_id" in carry else kept
     held = scores.join(F.broadcast(sample.where("__held")), F.col("doc_id") == F.col("__id")).select("log_weight", "__label").limit(LABELLED).collect()
     threshold = best_cut(np.array([r[0] for r in held], float), np.array([r[1] == 1 for r in held], bool))
     k = scores.where(F.col("log_weight") >= threshold).count()

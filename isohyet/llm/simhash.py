@@ -219,13 +219,13 @@ def op7_pigeonring_groups(spark, sf_dir: str) -> DataFrame:
 
 WORDS, SIMILARITY = 5, 0.8
 #: Texts whose shingles are counted for the rare-first order. The order decides how much work there is, not what is found.
-SAMPLE = 10_000
+SAMPLE = 40_000
 #: Up to this size all pairs of a bucket are verified at once; larger ones are linked by stars and chains first.
 FEW = 3
 #: Texts that candidates need are marked by their hash modulo this, so that few others are moved.
 MARKS = 1 << 24
 #: Texts of the commonest root that a turn compares with all of a bucket, and turns before all pairs of different roots.
-STARS, TURNS = 4, 1
+STARS, TURNS = 4, 2
 #: Texts of a bucket of shared shingles that one task compares with each other.
 BLOCK = 1 << 12
 
@@ -267,16 +267,36 @@ def numbered(g: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(nth > 0, T.mix(g + nth * np.uint64(0x9E3779B97F4A7C15)), g), doc
 
 
-def prefixes(texts: pa.Array, common: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, list[bytes], np.ndarray]:
-    """Number of shingles of each text, as many of them, rare first, that texts of `least` similarity share one, and its SimHash.
+#: Longs of a text's parity bits.
+PARITY = 4
+
+
+def parities(token: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64 * PARITY bits of each set of tokens, each whether an odd number of tokens falls on it (PARITY x sets).
+
+    What two sets have in common cancels out, so they differ in at least as many tokens as their parities in bits.
+    """
+    out = np.zeros((PARITY, len(ends) - 1), np.uint64)
+    some = np.flatnonzero(np.diff(ends))
+    place, bit = (token >> np.uint64(40)) % np.uint64(PARITY), np.uint64(1) << (token >> np.uint64(48) & np.uint64(63))
+    if len(some):
+        for k in range(PARITY):
+            out[k, some] = np.bitwise_xor.reduceat(np.where(place == k, bit, np.uint64(0)), ends[some])
+    return out
+
+
+def prefixes(texts: pa.Array, common: np.ndarray, rank: np.ndarray, least: float) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
+    """Number of shingles of each text, as many of them, rare first, that texts of `least` similarity share one, SimHash and parities.
 
     A text of n shingles shares at least ceil(least * n) with a similar one, so in any order that all texts follow, the
     first n - ceil(least * n) + 1 of both have one in common.
     """
     size, out, fps = np.zeros(len(texts), np.int32), [b""] * len(texts), np.zeros(len(texts), np.uint64)
+    odd = np.zeros((PARITY, len(texts)), np.uint64)
     for first, g, ends in shingles(texts):
         fps[first : first + len(ends) - 1] = majority(g, ends)
         token, doc = numbered(g, ends)
+        odd[:, first : first + len(ends) - 1] = parities(token, ends)
         key = token >> np.uint64(3)
         if len(common):
             at = np.minimum(np.searchsorted(common, token), len(common) - 1)
@@ -287,7 +307,7 @@ def prefixes(texts: pa.Array, common: np.ndarray, rank: np.ndarray, least: float
         m = np.minimum(n, n - np.ceil((least - 1e-9) * n).astype(int) + 1)
         for i in range(len(n)):
             out[first + i] = key[ends[i] : ends[i] + m[i]].tobytes()
-    return size, out, fps
+    return size, out, fps, odd
 
 
 def runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[np.ndarray]:
@@ -335,11 +355,12 @@ def index(texts: DataFrame) -> DataFrame:
 
 
 def prefix_pairs(index: DataFrame, least: float, turn: int | None) -> DataFrame:
-    """(key, th, n, pos, root) -> (a, b), a < b, distinct: pairs of texts that share a key, differ in root and may be similar.
+    """(key, th, n, pos, root, odd0 ...) -> (a, b), a < b, distinct: pairs of texts that share a key, differ in root and may be similar.
 
     All such pairs without a turn, else in buckets over FEW only a chain, and stars around some texts of the commonest
     root; each turn takes other texts. At their first common key similar
-    texts have enough shingles left on both sides, so pairs that have not are left out. A bucket over BLOCK texts is dealt
+    texts have enough shingles left on both sides, and their parities differ in no more bits than they may in shingles, so
+    pairs that fail either are left out; no similar one does. A bucket over BLOCK texts is dealt
     out as pairs of parts, so no task holds more than two parts and no pair is missed.
     """
     t = (least - 1e-9) / (1 + least - 1e-9)
@@ -347,15 +368,17 @@ def prefix_pairs(index: DataFrame, least: float, turn: int | None) -> DataFrame:
     g = F.ceil(F.coalesce("c", F.lit(1)) / BLOCK)
     mine = F.pmod(F.xxhash64("th"), g)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda j: F.least(mine, j) * 4294967296 + F.greatest(mine, j))
-    dealt = index.join(large, "key", "left").select("key", F.explode(pairs).alias("pair"), "th", "n", "pos", "root")
+    dealt = index.join(large, "key", "left").select("key", F.explode(pairs).alias("pair"), "th", "n", "pos", "root", *[f"odd{k}" for k in range(PARITY)])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in runs(batches, 2):
-            th, n, pos, root = whole[2:]
-            left = n - pos
+            th, n, pos, root = whole[2:6]
+            left, odd = n - pos, whole[6:].view(np.uint64)
 
             def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-                ok = (root[i] != root[j]) & (np.minimum(left[i], left[j]) >= t * (n[i] + n[j]) - 1e-6)
+                ok = np.flatnonzero((root[i] != root[j]) & (np.minimum(left[i], left[j]) >= t * (n[i] + n[j]) - 1e-6))
+                i, j = i[ok], j[ok]
+                ok = np.bitwise_count(odd[:, i] ^ odd[:, j]).sum(0, dtype=np.int64) <= (1 - 2 * t) * (n[i] + n[j]) + 1e-6
                 return th[i[ok]], th[j[ok]]
 
             cuts = buckets(whole[:2])
@@ -443,14 +466,16 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rank = np.clip(np.log2(often["n"].to_numpy()[order].astype(float)), 1, 7).astype(np.uint64)
     known = spark.sparkContext.broadcast((common[order], rank))
 
+    odds = [f"odd{k}" for k in range(PARITY)]
+
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, prefix, fp = prefixes(b.column(2), *known.value, least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(prefix, pa.binary()), pa.array(fp.view(np.int64))], ["id", "th", "n", "prefix", "fp"])
+            n, prefix, fp, odd = prefixes(b.column(2), *known.value, least)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(prefix, pa.binary()), pa.array(fp.view(np.int64)), *map(pa.array, odd.view(np.int64))], ["id", "th", "n", "prefix", "fp", *odds])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary, fp long")
-    texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("fp").alias("fp")), "texts")
+    rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary, fp long, " + ", ".join(f"{c} long" for c in odds))
+    texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "fp", *odds)]), "texts")
     at = cut(index(texts), "shared-shingles")
 
     @F.arrow_udf("double")
@@ -484,7 +509,8 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         tried = tried.unionByName(edges) if tried else edges
         linked = linked.unionByName(verified(edges))
         roots = components(linked)
-        rooted = at.join(roots, F.col("th") == F.col("node"), "left").select("key", "th", "n", "pos", F.coalesce("root", "th").alias("root"))
+        own = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"), *odds)
+        rooted = at.join(own, "th")
     group = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     stay = group.groupBy("root").agg(F.min(F.struct("first", "th")).alias("s")).select(F.col("s.th").alias("__t"), F.col("s.first.id").alias("__i"))
     kept = keyed.join(stay, (F.col("__th") == F.col("__t")) & F.col("doc_id").eqNullSafe(F.col("__i")))
