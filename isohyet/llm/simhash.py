@@ -354,17 +354,16 @@ def index(texts: DataFrame) -> DataFrame:
     return at.repartition("key").sortWithinPartitions("key").mapInArrow(shared, kind)
 
 
-def prefix_pairs(index: DataFrame, least: float, turn: int | None) -> DataFrame:
-    """(key, th, n, pos, root, odd0 ...) -> (a, b), a < b, distinct: pairs of texts that share a key, differ in root and may be similar.
+def prefix_pairs(index: DataFrame, large: DataFrame, least: float, turn: int | None) -> DataFrame:
+    """(key, th, n, pos, root, odd0 ...), (key, c) -> (a, b), a < b, distinct: pairs of texts that share a key, differ in root and may be similar.
 
     All such pairs without a turn, else in buckets over FEW only a chain, and stars around some texts of the commonest
     root; each turn takes other texts. At their first common key similar
     texts have enough shingles left on both sides, and their parities differ in no more bits than they may in shingles, so
-    pairs that fail either are left out; no similar one does. A bucket over BLOCK texts is dealt
+    pairs that fail either are left out; no similar one does. A bucket over BLOCK texts, in `large` with its size, is dealt
     out as pairs of parts, so no task holds more than two parts and no pair is missed.
     """
     t = (least - 1e-9) / (1 + least - 1e-9)
-    large = index.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
     g = F.ceil(F.coalesce("c", F.lit(1)) / BLOCK)
     mine = F.pmod(F.xxhash64("th"), g)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda j: F.least(mine, j) * 4294967296 + F.greatest(mine, j))
@@ -477,6 +476,7 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary, fp long, " + ", ".join(f"{c} long" for c in odds))
     texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "fp", *odds)]), "texts")
     at = cut(index(texts), "shared-shingles")
+    large = cut(at.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK), "large-buckets")
 
     @F.arrow_udf("double")
     def alike(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -504,11 +504,11 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     linked = wordless.crossJoin(wordless.agg(F.min("th").alias("m"))).select(F.col("m").alias("a"), F.col("th").alias("b"))
     tried = None
     for turn in ["simhash", *range(TURNS), None]:
-        edges = simhash_pairs(texts) if turn == "simhash" else prefix_pairs(rooted, least, turn)
+        edges = simhash_pairs(texts) if turn == "simhash" else prefix_pairs(rooted, large, least, turn)
         edges = cut(edges.join(tried, ["a", "b"], "left_anti") if tried else edges, "candidates")
         tried = tried.unionByName(edges) if tried else edges
-        linked = linked.unionByName(verified(edges))
-        roots = components(linked)
+        roots = components(linked.unionByName(verified(edges)))
+        linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
         own = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"), *odds)
         rooted = at.join(own, "th")
     group = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
