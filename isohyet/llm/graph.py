@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.llm.common import cut
+from isohyet.llm.common import cut, freed
 
 ROUNDS = 60
 
@@ -22,7 +22,9 @@ def components(edges: DataFrame) -> DataFrame:
     e = cut(e, "edges")
     for _ in range(ROUNDS):
         ends = e.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("top")).unionByName(e.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("top")))
-        if ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up + top > 1 and up > 0").isEmpty():
+        with freed(edges.sparkSession):
+            settled = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("top").alias("top")).where("up + top > 1 and up > 0").isEmpty()
+        if settled:
             break
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
