@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from isohyet.llm import ann, chat, decontamination, lm, mixing, quality, repeats, sharding, simhash, toxicity
+from isohyet.llm import ann, chat, decontamination, divergence, grace, lm, mixing, quality, repeats, sharding, simhash, toxicity
 
 QUERIES = {
     "op1_importance_resampling": quality.op1_importance_resampling,
@@ -15,9 +15,13 @@ QUERIES = {
     "op8_budgeted_windows": chat.op8_budgeted_windows,
     "op9_classifier_chain": toxicity.op9_classifier_chain,
     "op10_sampled_splitters": sharding.op10_sampled_splitters,
+    "op11_source_divergence": divergence.op11_source_divergence,
+    "op12_grace_dedup": grace.op12_grace_dedup,
 }
 
 ORACLE_SQL = {
     "op8_budgeted_windows": chat.OP8_SQL,
     "op2_systematic_mix": mixing.OP2_SQL,
+    "op11_source_divergence": divergence.OP11_SQL,
+    "op12_grace_dedup": grace.OP12_SQL,
 }
