@@ -139,8 +139,8 @@ class Counts:
         self.size = 0
 
     def add(self, texts: pa.Array, group: np.ndarray) -> None:
-        for i, data, offsets in chunks(texts):
-            if len(data) > 2 * CHUNK:  # one long text
+        for i, data, offsets in chunks(texts, CHUNK):
+            if len(offsets) == 2 and len(data) > 2 * CHUNK:  # one long text
                 got = [slices(p, np.array([0, len(p)]), self.terms)[1] for p in pieces(data)]
                 term, n = np.unique(np.concatenate(got), return_counts=True)
                 keys = group[i] * self.SPAN + term
