@@ -350,11 +350,22 @@ def recurrence(x: np.ndarray, q: float, theiler: int, cosine: bool = True) -> np
 def line_lengths(r: np.ndarray, diagonal: bool = True) -> np.ndarray:
     """Lengths of all runs along diagonals (but the main one) or columns."""
     n = len(r)
-    out = []
-    for line in ([np.diagonal(r, k) for k in range(-n + 1, n) if k] if diagonal else list(r.T)):
-        edge = np.flatnonzero(np.diff(np.r_[0, line.astype(np.int8), 0]))
-        out.append(edge[1::2] - edge[::2])
-    return np.concatenate(out) if out else np.zeros(0, int)
+    if not n:
+        return np.zeros(0, int)
+    if diagonal:
+        # Rows of a skewed view on the padded matrix are its diagonals.
+        wide = np.zeros((n, 3 * n), np.int8)
+        wide[:, n : 2 * n] = r
+        one, two = wide.strides[1], wide.strides[0] + wide.strides[1]
+        lines = np.lib.stride_tricks.as_strided(wide[0, 1:], (2 * n - 1, n), (one, two))
+    else:
+        lines = np.asarray(r).T
+    padded = np.zeros((len(lines), n + 2), np.int8)
+    padded[:, 1:-1] = lines
+    if diagonal:
+        padded[n - 1] = 0
+    edge = np.flatnonzero(np.diff(padded.reshape(-1)))
+    return edge[1::2] - edge[::2]
 
 
 def lag_distances(x: np.ndarray, at: np.ndarray, most: int, stop: int, cosine: bool = True) -> tuple[np.ndarray, np.ndarray]:
