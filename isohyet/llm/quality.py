@@ -119,7 +119,8 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     """Returns docs with log_weight, sampling_key and kept; columns of docs so named are replaced.
 
     k is the number of documents whose log weight is at or above the threshold that best parts the held-out labelled
-    documents, so the share of good documents sets it. The noise is Gumbel noise times temperature (weights to the
+    documents, so the share of good documents sets it; of rows with these labels the first LABELLED in an order by hash of
+    the id are taken. The noise is Gumbel noise times temperature (weights to the
     power 1 / temperature), from a hash of the id: reruns agree, and rows with equal id and text fare alike; where
     they tie at the cut, all are kept. A null or empty text has weight 0; long texts are scored whole. Without labels of
     both classes the threshold is 0; without good labels all weights are 0 and all is kept. An empty table gives an
@@ -134,8 +135,9 @@ def resample(docs: DataFrame, labels: DataFrame, temperature: float = TEMPERATUR
     kept = cut(every.select(*[F.col(f"`{c}`") for c in dict.fromkeys(["doc_id", *(carry or [])])], "log_weight"), "quality-scores")
     scores = kept.select("doc_id", "log_weight")
     weighed = every if carry is None else kept.select(*[F.col(f"`{c}`") for c in carry], "log_weight") if "doc_id" in carry else kept
-    held = scores.join(F.broadcast(sample.where("__held")), F.col("doc_id") == F.col("__id")).select("log_weight", "__label").limit(LABELLED).collect()
-    threshold = best_cut(np.array([r[0] for r in held], float), np.array([r[1] == 1 for r in held], bool))
+    held = scores.join(F.broadcast(sample.where("__held")), F.col("doc_id") == F.col("__id")).select("doc_id", "log_weight", "__label")
+    held = held.orderBy(F.xxhash64("doc_id"), "doc_id", "log_weight").limit(LABELLED).collect()
+    threshold = best_cut(np.array([r[1] for r in held], float), np.array([r[2] == 1 for r in held], bool))
     k = scores.where(F.col("log_weight") >= threshold).count()
     key = F.col("log_weight") + F.lit(float(temperature)) * gumbel(F.col("doc_id"))
     least = kth_largest(scores.withColumn("sampling_key", key), "sampling_key", k)
