@@ -127,7 +127,8 @@ def train(sets: list[np.ndarray], labels: np.ndarray, fold: np.ndarray) -> tuple
 def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> tuple[np.ndarray, list[np.ndarray], list[float]]:
     """Trains in one task on a bounded sample of labelled rows; documents whose labels disagree are left out.
 
-    The sample holds at most LABELLED ids, and of their rows at most ROWS in order of fold and words; both bound the task.
+    The sample holds at most LABELLED ids, and of their rows at most ROWS, the first in an order by hash of the words. Both
+    cuts are made before the one task, so they bound it, however many rows an id has.
     """
     arrow(docs.sparkSession)
     sure = labels.where(F.col("doc_id").isNotNull())
@@ -149,11 +150,12 @@ def fit(docs: DataFrame, labels: DataFrame, chain=CHAIN) -> tuple[np.ndarray, li
             yield pa.RecordBatch.from_arrays([pa.array(sets, pa.binary()), b.column(1), b.column(2)], ["words", "y", "fold"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = sorted(((f, tuple(y), s) for b in batches for s, y, f in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[2]))[:ROWS]
+        rows = sorted(((f, tuple(y), s) for b in batches for s, y, f in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: (r[0], r[2], r[1]))
         words, weights, cuts = train([np.frombuffer(s, np.uint64) for _, _, s in rows], np.array([y for _, y, _ in rows], int).reshape(len(rows), len(chain)), np.array([f for f, _, _ in rows], int))
         yield pa.RecordBatch.from_arrays([pa.array([words.tobytes()], pa.binary()), pa.array([[w.tobytes() for w in weights]], pa.list_(pa.binary())), pa.array([cuts], pa.list_(pa.float64()))], ["words", "weights", "cuts"])
 
     known = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("__id")).select("text", "__y", "__fold").mapInArrow(pack, "words binary, y array<int>, fold int")
+    known = known.orderBy(F.xxhash64("words"), "words", "y").limit(ROWS)
     got = known.repartition(1).mapInArrow(learn, "words binary, weights array<binary>, cuts array<double>").first()
     if got is None:
         return np.zeros(0, np.uint64), [np.r_[np.zeros(j), -30.0] for j in range(len(chain))], [1.1] * len(chain)
