@@ -334,7 +334,10 @@ def buckets(key: np.ndarray) -> np.ndarray:
 
 
 def index(texts: DataFrame) -> DataFrame:
-    """(th, n, prefix) -> (key, th, n, pos): shingles of prefixes that several texts have, and their place in each."""
+    """(th, n, prefix) -> (key, th, n, pos): shingles of prefixes that several texts have, and their place in each.
+
+    Rows pass in order of the key and are told by their neighbours, so a shingle of very many texts is never held whole.
+    """
 
     def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -345,9 +348,18 @@ def index(texts: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "th", "n", "pos"])
 
     def shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in runs(batches, 1):
-            size = np.diff(buckets(whole[:1]))
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in whole[:, np.repeat(size, size) > 1]], ["key", "th", "n", "pos"])
+        last, again = np.zeros((4, 0), np.int64), False
+        for b in batches:
+            rows = np.concatenate([last, np.stack([c.to_numpy() for c in b.columns])], axis=1)
+            if not rows.shape[1]:
+                continue
+            same = rows[0, 1:] == rows[0, :-1]
+            keep = np.r_[again, same] | np.r_[same, False]
+            # The last row waits for the next batch, whose first row may have its key.
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows[:, :-1][:, keep[:-1]]], ["key", "th", "n", "pos"])
+            last, again = rows[:, -1:], bool(keep[-1])
+        if again:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in last], ["key", "th", "n", "pos"])
 
     kind = "key long, th long, n long, pos long"
     at = texts.select("th", "n", "prefix").where("n > 0").mapInArrow(explode, kind)
