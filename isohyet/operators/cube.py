@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -86,49 +86,49 @@ def cell_area(lat: Column, dlat: Column, dlon: Column) -> Column:
 Ring = list[tuple[float, float]]
 
 
-def within(ring: Ring, x: Column, y: Column) -> Column:
-    """Whether a point lies in a closed ring."""
-    n = F.lit(0)
-    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
-        if ay != by:
-            n = n + F.when(((F.lit(ay) > y) != (F.lit(by) > y)) & (x < (bx - ax) * (y - ay) / (by - ay) + ax), 1).otherwise(0)
-    return n % 2 == 1
-
-
-def crossed(ring: Ring, x0: Column, x1: Column, y0: Column, y1: Column) -> Column:
-    """Whether a closed ring runs through a box: a vertex in it, or an edge that crosses one of its sides."""
-    test = F.lit(False)
-    for (ax, ay), (bx, by) in zip(ring, ring[1:]):
-        test = test | ((x0 <= ax) & (x1 >= ax) & (y0 <= ay) & (y1 >= ay))
-        for x in (x0, x1):
-            if ax != bx:
-                t = (x - ax) / (bx - ax)
-                y = F.lit(ay) + t * (by - ay)
-                test = test | ((t >= 0) & (t <= 1) & (y >= y0) & (y <= y1))
-        for y in (y0, y1):
-            if ay != by:
-                t = (y - ay) / (by - ay)
-                x = F.lit(ax) + t * (bx - ax)
-                test = test | ((t >= 0) & (t <= 1) & (x >= x0) & (x <= x1))
-    return test
-
-
-def inside(polygon: Ring | list[Ring], lon: Column, lat: Column, dlon: float, dlat: float) -> Column:
-    """Whether a cell's box touches the polygon: one ring (x, y), or an outer ring and its holes."""
-    rings = [polygon] if not polygon or isinstance(polygon[0][0], (int, float)) else polygon
-    outer, *holes = [[*r, r[0]] if r[0] != r[-1] else list(r) for r in rings]
-    box = (lon - dlon / 2, lon + dlon / 2, lat - dlat / 2, lat + dlat / 2)
-    test = within(outer, lon, lat) | crossed(outer, *box)
-    for h in holes:
-        test = test & (~within(h, lon, lat) | crossed(h, *box))
-    return test
-
-
-def clip(cube: DataFrame, polygons: list, dlon: float, dlat: float) -> DataFrame:
-    test = F.lit(False)
-    for p in polygons:
-        test = test | inside(p, F.col("lon"), F.col("lat"), dlon, dlat)
-    return cube.where(test)
+def polygon_edges(spark: SparkSession, polygons: list[Ring | list[Ring]]) -> DataFrame:
+    """(poly, ring, ax, ay, bx, by): the edges of closed rings (x, y). A polygon is one ring, or an outer ring (0) and its holes."""
+    rows = []
+    for k, polygon in enumerate(polygons):
+        for n, r in enumerate([polygon] if not polygon or isinstance(polygon[0][0], (int, float)) else polygon):
+            closed = [*r, r[0]] if r[0] != r[-1] else list(r)
+            rows += [(k, n, *map(float, (*a, *b))) for a, b in zip(closed, closed[1:])]
+    return spark.createDataFrame(rows, "poly int, ring int, ax double, ay double, bx double, by double")
+
+
+def touched(cells: DataFrame, edges: DataFrame, dlon: float, dlat: float) -> DataFrame:
+    """Distinct (lat, lon) of cells whose box touches a polygon, the inside of holes apart.
+
+    Cells and edges meet on the rows of the grid that an edge spans, so a cell sees the edges of its own row alone. Their
+    crossings of the ray from the cell to the east are counted by aggregation: an odd number means within. A ring runs
+    through a box if a vertex is in it or an edge crosses one of its sides.
+    """
+    x, y = F.col("lon"), F.col("lat")
+    row = lambda v: F.floor(v / dlat).cast("long")
+    boxes = cells.select("lat", "lon").distinct().withColumn("__r", row(y))
+    span = boxes.agg(F.min("__r").alias("__lo"), F.max("__r").alias("__hi"))
+    low, high = F.greatest(row(F.least("ay", "by") - dlat), "__lo"), F.least(row(F.greatest("ay", "by") + dlat), "__hi")
+    near = edges.crossJoin(span).where(low <= high).withColumn("__r", F.explode(F.sequence(low, high)))  # span is one row
+    ax, ay, bx, by = map(F.col, ("ax", "ay", "bx", "by"))
+    x0, x1, y0, y1 = x - dlon / 2, x + dlon / 2, y - dlat / 2, y + dlat / 2
+    ray = (ay != by) & ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax)
+    cuts = (x0 <= ax) & (x1 >= ax) & (y0 <= ay) & (y1 >= ay)
+    for at in (x0, x1):
+        t = (at - ax) / F.nullif(bx - ax, F.lit(0.0))
+        cuts = cuts | F.coalesce(t.between(0, 1) & (ay + t * (by - ay)).between(y0, y1), F.lit(False))
+    for at in (y0, y1):
+        t = (at - ay) / F.nullif(by - ay, F.lit(0.0))
+        cuts = cuts | F.coalesce(t.between(0, 1) & (ax + t * (bx - ax)).between(x0, x1), F.lit(False))
+    rings = boxes.join(near, "__r").groupBy("lat", "lon", "poly", "ring").agg(F.count_if(ray).alias("__n"), F.bool_or(cuts).alias("__cut"))
+    odd = F.col("__n") % 2 == 1
+    parts = rings.groupBy("lat", "lon", "poly").agg(F.bool_or((F.col("ring") == 0) & (odd | F.col("__cut"))).alias("__in"), F.bool_or((F.col("ring") > 0) & odd & ~F.col("__cut")).alias("__out"))
+    return parts.where("__in AND NOT __out").select("lat", "lon").distinct()
+
+
+def clip(cube: DataFrame, polygons: list, dlon: float, dlat: float, cells: DataFrame | None = None) -> DataFrame:
+    """Rows of cells whose box touches one of the polygons. cells, if given, has the (lat, lon) of all cells, and the cube is read once."""
+    edges = polygon_edges(cube.sparkSession, polygons)
+    return cube.join(touched(cube if cells is None else cells, edges, dlon, dlat), ["lat", "lon"], "left_semi")
 
 
 def valid_cells(cube: DataFrame) -> DataFrame:

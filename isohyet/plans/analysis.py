@@ -65,7 +65,7 @@ def prepare(cube: DataFrame, cfg: Config) -> dict[str, DataFrame]:
     valid = [C.valid_cells(c).withColumn("step", F.lit("read"))]
     step = hold(C.resolution(cells)).first()
     if cfg.polygons:
-        c = C.clip(c, cfg.polygons, step.dlon, step.dlat)
+        c = C.clip(c, cfg.polygons, step.dlon or 1.0, step.dlat or 1.0, cells)
         valid.append(C.valid_cells(c).withColumn("step", F.lit("clipped")))
     c = hold(C.year_filter(C.season(c, cfg.months), cfg.year))
     area = c.select("cell", "lat").distinct().agg(F.sum(C.cell_area(F.col("lat"), F.lit(step.dlat), F.lit(step.dlon))).alias("square_km"))

@@ -7,6 +7,7 @@ days without rows are dry. The state series is made of embeddings, in order of v
 from __future__ import annotations
 
 import functools
+import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -177,6 +178,23 @@ def clip_with_hole(spark, d):
     return C.clip(cube(spark, d), [[TRIANGLE, HOLE]], 0.25, 0.25).groupBy("cell").agg(F.sum("value").alias("total"))
 
 
+#: A concave coast of 180 vertices around most of the grid, with a hole of 120, to 6 decimals.
+COAST, LAKE = ([(round(x + r * math.cos(a), 6), round(y + r * math.sin(a), 6)) for a, r in ((2 * math.pi * k / n, size * (0.65 + 0.35 * math.sin(waves * 2 * math.pi * k / n))) for k in range(n))] for x, y, size, n, waves in ((76.1, 11.15, 1.3, 180, 5), (76.2, 11.1, 0.6, 120, 3)))
+EDGES = ", ".join(f"({ring}, {ax}, {ay}, {bx}, {by})" for ring, points in enumerate((COAST, LAKE)) for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]))
+
+
+@query("clip_coast", on_cube("""SELECT cell, sum(value) AS total FROM cube JOIN kept USING (cell) GROUP BY 1""", f""" edges(ring, ax, ay, bx, by) AS (SELECT * FROM (VALUES {EDGES})),
+meets AS (SELECT cell, ring, ((ay > lat) <> (by > lat)) AND lon < (bx - ax) * (lat - ay) / nullif(by - ay, 0) + ax AS crossed,
+  greatest(0, CASE WHEN bx = ax THEN CASE WHEN abs(ax - lon) <= 0.125 THEN 0 ELSE 2 END ELSE least((lon - 0.125 - ax) / (bx - ax), (lon + 0.125 - ax) / (bx - ax)) END,
+    CASE WHEN by = ay THEN CASE WHEN abs(ay - lat) <= 0.125 THEN 0 ELSE 2 END ELSE least((lat - 0.125 - ay) / (by - ay), (lat + 0.125 - ay) / (by - ay)) END)
+  <= least(1, CASE WHEN bx = ax THEN 1 ELSE greatest((lon - 0.125 - ax) / (bx - ax), (lon + 0.125 - ax) / (bx - ax)) END,
+    CASE WHEN by = ay THEN 1 ELSE greatest((lat - 0.125 - ay) / (by - ay), (lat + 0.125 - ay) / (by - ay)) END) AS cut FROM cells, edges),
+rings AS (SELECT cell, ring, count(*) FILTER (WHERE crossed) % 2 = 1 AS odd, bool_or(cut) AS cut FROM meets GROUP BY 1, 2),
+kept AS (SELECT cell FROM rings GROUP BY 1 HAVING bool_or(ring = 0 AND (odd OR cut)) AND NOT bool_or(ring = 1 AND odd AND NOT cut))"""))
+def clip_coast(spark, d):
+    return C.clip(cube(spark, d), [[COAST, LAKE]], 0.25, 0.25, cells(spark, d)).groupBy("cell").agg(F.sum("value").alias("total"))
+
+
 #: The cube with gaps: some values of cells 0 to 29 are missing, cells whose number ends in 4 are dry throughout.
 GAPS = " gaps AS (SELECT time, cell, \"row\", col, lat, lon, CASE WHEN cell < 30 AND (cell * 31 + date_diff('day', DATE '1970-01-01', time)) % 97 = 0 THEN NULL WHEN cell % 10 = 4 THEN 0 WHEN cell = 37 AND time > (SELECT min(time) FROM cube) THEN NULL ELSE value END AS value FROM cube)"
 

@@ -1,6 +1,7 @@
 """Operators on small tables, and the whole analysis on a small cube."""
 
 import datetime
+import time
 
 import numpy as np
 import pytest
@@ -52,10 +53,43 @@ def test_recurrence_matches_dense(spark, cosine):
 
 def test_clip_counts_touched_cells(spark):
     cells = spark.sql("SELECT x.id * 1.0D AS lon, y.id * 1.0D AS lat FROM range(5) x JOIN range(5) y ON true")
-    got = cells.where(C.inside([(1.4, 1.4), (1.6, 1.4), (1.6, 2.6), (1.4, 2.6)], F.col("lon"), F.col("lat"), 1.0, 1.0)).count()
+    got = C.clip(cells, [[(1.4, 1.4), (1.6, 1.4), (1.6, 2.6), (1.4, 2.6)]], 1.0, 1.0).count()
     assert got == 6
 
 
+def coast(n, x=0.0, y=0.0, size=20.0):
+    """A concave ring of n vertices."""
+    a = np.arange(n) * 2 * np.pi / n
+    r = size * (0.6 + 0.3 * np.sin(7 * a) + 0.1 * np.sin(53 * a))
+    return [*zip((x + r * np.cos(a)).tolist(), (y + r * np.sin(a)).tolist())]
+
+
+def test_clip_to_a_coast_of_ten_thousand_vertices(spark):
+    outer, hole = coast(10_000), coast(500, 1.0, 1.0, 4.0)
+    cells = spark.range(200 * 200).select(((F.col("id") % 200) * 0.25 - 25).alias("lon"), (F.floor(F.col("id") / 200) * 0.25 - 25.1).alias("lat"))
+    began = time.time()
+    got = {(r.lon, r.lat) for r in C.clip(cells, [[outer, hole]], 0.25, 0.25).collect()}
+    assert time.time() - began < 60  # a nested expression of all edges has no end
+    # By sampling: a cell with some points of a fine grid inside is touched, one without any by any edge is not.
+    inside = lambda x, y: kernels.within([*outer, outer[0]], x, y) and not kernels.within([*hole, hole[0]], x, y)
+    edge = np.array(outer + hole)
+    for r in cells.sample(0.004, 7).collect():
+        near = (np.abs(edge[:, 0] - r.lon) <= 0.125) & (np.abs(edge[:, 1] - r.lat) <= 0.125)
+        if near.any():
+            assert (r.lon, r.lat) in got
+        elif (np.abs(edge[:, 0] - r.lon) > 0.3).all() or (np.hypot(*(edge - [r.lon, r.lat]).T) > 0.3).all():
+            assert ((r.lon, r.lat) in got) == inside(r.lon, r.lat)
+    assert len(got) > 5000
+
+
+def test_clip_of_several_polygons_and_no_cells(spark):
+    cells = spark.sql("SELECT x.id * 1.0D AS lon, y.id * 1.0D AS lat FROM range(6) x JOIN range(6) y ON true")
+    square = lambda a, b: [(a, a), (b, a), (b, b), (a, b)]
+    assert C.clip(cells, [square(0.8, 1.2), [square(2.6, 5.6), square(3.4, 4.6)]], 1.0, 1.0).count() == 1 + 8
+    assert C.clip(cells, [[square(-9.0, 9.0), square(-8.0, 8.0)]], 1.0, 1.0).count() == 0
+    assert C.clip(cells.limit(0), [square(0.8, 1.2)], 1.0, 1.0).count() == 0
+
+
 def test_whole_analysis(spark, tmp_path):
     rng = np.random.default_rng(0)
     days = [datetime.date(2000, 1, 1) + datetime.timedelta(k) for k in range(360)]
