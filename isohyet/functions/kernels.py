@@ -134,30 +134,30 @@ def relative_gap(merges) -> float | None:
     return float((d[i] + d[i + 1]) / 2)
 
 
-def auto_k(x: np.ndarray, edges, linkage: str = "ward", metric: str = "euclidean") -> int:
-    """Number of clusters below the cut at the largest relative gap."""
-    merges: list[float] = []
-    agglomerate(x, edges, 1, linkage, metric, merges)
-    cut = relative_gap(merges)
-    return 1 if cut is None else 1 + int((np.array(merges) > cut).sum())
+def nearest_pair(x: np.ndarray, mine: np.ndarray, rest: np.ndarray, block: int = 256) -> tuple[int, int]:
+    """The closest members of two sets of points, the first such pair; distances are held for a block of points at a time."""
+    best = (np.inf, 0, 0)
+    for at in range(0, len(mine), block):
+        d = ((x[mine[at : at + block]][:, None] - x[rest][None]) ** 2).sum(2)
+        i, j = np.unravel_index(np.argmin(d), d.shape)
+        if d[i, j] < best[0]:
+            best = (float(d[i, j]), int(mine[at + i]), int(rest[j]))
+    return best[1:]
 
 
-def agglomerate(x: np.ndarray, edges, k: int, linkage: str = "ward", metric: str = "euclidean", merges: list[float] | None = None) -> np.ndarray:
-    """Labels of k clusters merged along edges only; nearest components of an unconnected graph are linked first.
+def merge_tree(x: np.ndarray, edges, linkage: str = "ward", metric: str = "euclidean") -> list[tuple[int, int, float]]:
+    """All merges along edges, in order, as (cluster, cluster, distance); the n-th makes cluster len(x) + n.
 
-    merges, if given, takes the distances of the merges.
+    Nearest components of an unconnected graph are linked first.
     """
     n = len(x)
     dist = (lambda a, b: float(np.abs(a - b).sum())) if metric == "manhattan" else (lambda a, b: float(np.sqrt(((a - b) ** 2).sum())))
     edges = list(edges)
     comp = union_find(n, edges)
     while len(ids := np.unique(comp)) > 1:
-        mine = np.flatnonzero(comp == ids[0])
-        rest = np.flatnonzero(comp != ids[0])
-        d = ((x[mine][:, None] - x[rest][None]) ** 2).sum(2)
-        i, j = np.unravel_index(np.argmin(d), d.shape)
-        edges.append((int(mine[i]), int(rest[j])))
-        comp = union_find(n, edges)
+        i, j = nearest_pair(x, np.flatnonzero(comp == ids[0]), np.flatnonzero(comp != ids[0]))
+        edges.append((i, j))
+        comp[comp == comp[j]] = comp[i]
     size, centre, near = dict.fromkeys(range(n), 1), {i: x[i].astype(float) for i in range(n)}, {i: {} for i in range(n)}
 
     def ward(a: int, b: int) -> float:
@@ -168,20 +168,17 @@ def agglomerate(x: np.ndarray, edges, k: int, linkage: str = "ward", metric: str
         near[a][b] = near[b][a] = d = ward(a, b) if linkage == "ward" else dist(x[a], x[b])
         heap.append((d, a, b))
     heapq.heapify(heap)
-    member = {i: [i] for i in range(n)}
-    fresh = n
-    while len(member) > max(1, k) and heap:
+    merges: list[tuple[int, int, float]] = []
+    while heap and len(merges) < n - 1:
         d, a, b = heapq.heappop(heap)
-        if a not in member or b not in member or near[a].get(b) != d:
+        if a not in near or b not in near or near[a].get(b) != d:
             continue
-        new, fresh = fresh, fresh + 1
-        if merges is not None:
-            merges.append(d)
-        member[new] = member.pop(a) + member.pop(b)
+        new = n + len(merges)
+        merges.append((a, b, d))
         size[new] = size[a] + size[b]
         centre[new] = (centre[a] * size[a] + centre[b] * size[b]) / size[new]
         near[new] = {}
-        for c in ({*near[a], *near[b]} - {a, b}) & member.keys():
+        for c in {*near[a], *near[b]} - {a, b}:
             da, db = near[a].get(c), near[b].get(c)
             if linkage == "ward":
                 d = ward(new, c)
@@ -194,10 +191,30 @@ def agglomerate(x: np.ndarray, edges, k: int, linkage: str = "ward", metric: str
         for c in (a, b):
             for o in near[c]:
                 near[o].pop(c, None)
-    labels = np.empty(n, int)
-    for k_, ms in enumerate(sorted(map(sorted, member.values()))):
-        labels[ms] = k_
-    return labels
+            del near[c]
+    return merges
+
+
+def cut_tree(n: int, merges, k: int) -> np.ndarray:
+    """Labels of the k clusters that are left before the last k - 1 merges, numbered by their first member."""
+    root = np.arange(n + len(merges))
+    take = max(0, min(len(merges), n - max(1, k)))
+    for m in range(take - 1, -1, -1):  # from the top down, so each cluster's root is known before its parts'
+        a, b = int(merges[m][0]), int(merges[m][1])
+        root[a] = root[b] = root[n + m]
+    _, first, inverse = np.unique(root[:n], return_index=True, return_inverse=True)
+    return np.argsort(np.argsort(first))[inverse]
+
+
+def tree_k(distances) -> int:
+    """Number of clusters below the cut at the largest relative gap."""
+    cut = relative_gap(distances)
+    return 1 if cut is None else 1 + int((np.asarray(distances) > cut).sum())
+
+
+def agglomerate(x: np.ndarray, edges, k: int, linkage: str = "ward", metric: str = "euclidean") -> np.ndarray:
+    """Labels of k clusters merged along edges only."""
+    return cut_tree(len(x), merge_tree(x, edges, linkage, metric), k)
 
 
 def merge_tiny(labels: np.ndarray, row, col, least: int) -> np.ndarray:

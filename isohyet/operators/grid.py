@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -106,33 +108,61 @@ LEAST = 5
 CONFIGS = [("ward", "euclidean"), ("average", "euclidean"), ("average", "manhattan"), ("complete", "euclidean"), ("complete", "manhattan")]
 
 
-def cluster_configs(cells: DataFrame, ks, least_fraction: float = 0.0, configs=CONFIGS, connectivity: str = "queen") -> DataFrame:
-    """(cell, row, col, value) -> (linkage, metric, k_req, k_found, q, p, labels): one task for each configuration.
+def grid_features(grid) -> tuple[pd.DataFrame, np.ndarray]:
+    """The cells of a collected grid, and value, row and col of each, scaled."""
+    g = pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in grid])
+    x = g[["value", "row", "col"]].to_numpy(float)
+    sd = x.std(0)
+    return g, (x - x.mean(0)) / np.where(sd == 0, 1, sd)
 
-    Features are value, row and col, each scaled. k = 0 asks for the k of the largest relative gap. Clusters below the
-    larger of 5 cells and the fraction join others. A configuration gets the whole grid, which is what one clustering needs.
-    """
-    grid = cells.agg(F.array_sort(F.collect_list(F.struct("cell", "row", "col", "value"))).alias("grid"))
-    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("linkage"), F.lit(b).alias("metric"), F.lit(int(k)).alias("k_req")) for k in ks for a, b in configs]))
-    jobs = grid.withColumn("c", asked).select("grid", "c.*")
+
+def collected(cells: DataFrame) -> DataFrame:
+    """One row: all cells with values, in order. One clustering needs the whole grid, so it is one group."""
+    return cells.agg(F.array_sort(F.collect_list(F.struct("cell", "row", "col", "value"))).alias("grid"))
+
+
+def merge_trees(cells: DataFrame, configs=CONFIGS, connectivity: str = "queen") -> DataFrame:
+    """(cell, row, col, value) -> (linkage, metric, a, b, d): the merges of each configuration's tree, in order; a task builds one tree."""
+    asked = F.explode(F.array(*[F.struct(F.lit(a).alias("linkage"), F.lit(b).alias("metric")) for a, b in configs]))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for r in t.itertuples():
-            g = pd.DataFrame([x if isinstance(x, dict) else x.asDict() for x in r.grid])
-            x = g[["value", "row", "col"]].to_numpy(float)
-            sd = x.std(0)
-            x = (x - x.mean(0)) / np.where(sd == 0, 1, sd)
-            rows, cols = g.row.tolist(), g.col.tolist()
-            edges = kernels.grid_edges(rows, cols, QUEEN if connectivity == "queen" else ROOK)
-            k = r.k_req or kernels.auto_k(x, edges, r.linkage, r.metric)
-            labels = kernels.agglomerate(x, edges, k, r.linkage, r.metric) if edges else np.arange(len(g))
-            labels = np.unique(kernels.merge_tiny(labels, rows, cols, max(LEAST, int(len(g) * least_fraction))), return_inverse=True)[1]
-            q = kernels.q_statistic(g.value, labels)
-            out.append((r.linkage, r.metric, r.k_req, int(labels.max()) + 1, q["q"], q["p"], labels.tolist()))
-        return pd.DataFrame(out, columns=["linkage", "metric", "k_req", "k_found", "q", "p", "labels"])
-
-    return jobs.groupBy("linkage", "metric", "k_req").applyInPandas(run, "linkage string, metric string, k_req int, k_found int, q double, p double, labels array<int>")
+        r = t.iloc[0]
+        g, x = grid_features(r.grid)
+        edges = kernels.grid_edges(g.row.tolist(), g.col.tolist(), QUEEN if connectivity == "queen" else ROOK)
+        merges = kernels.merge_tree(x, edges, r.linkage, r.metric) if edges else []
+        a, b, d = zip(*merges) if merges else ((), (), ())
+        return pd.DataFrame({"linkage": [r.linkage], "metric": [r.metric], "a": [list(a)], "b": [list(b)], "d": [list(d)]})
+
+    jobs = collected(cells).withColumn("c", asked).select("grid", "c.*")
+    return jobs.groupBy("linkage", "metric").applyInPandas(run, "linkage string, metric string, a array<int>, b array<int>, d array<double>")
+
+
+def cut_trees(trees: DataFrame, cells: DataFrame, ks, least_fraction: float = 0.0) -> DataFrame:
+    """(linkage, metric, k_req, k_found, q, p, labels): each tree cut at every k; k = 0 asks for the k of the largest relative gap.
+
+    Clusters below the larger of 5 cells and the fraction join others.
+    """
+    jobs = trees.crossJoin(collected(cells)).withColumn("k_req", F.explode(F.array(*[F.lit(int(k)) for k in ks])))  # the grid is one row
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            out = []
+            for r in t.itertuples():
+                g, _ = grid_features(r.grid)
+                labels = kernels.cut_tree(len(g), list(zip(r.a, r.b)), r.k_req or kernels.tree_k(r.d))
+                labels = kernels.merge_tiny(labels, g.row.tolist(), g.col.tolist(), max(LEAST, int(len(g) * least_fraction)))
+                labels = np.unique(labels, return_inverse=True)[1]
+                q = kernels.q_statistic(g.value, labels)
+                out.append((r.linkage, r.metric, r.k_req, int(labels.max()) + 1, q["q"], q["p"], labels.tolist()))
+            yield pd.DataFrame(out, columns=["linkage", "metric", "k_req", "k_found", "q", "p", "labels"])
+
+    # One cut is a row's work; rows are dealt out, as all come from one task.
+    return jobs.repartition(len(list(ks)), "k_req").mapInPandas(run, "linkage string, metric string, k_req int, k_found int, q double, p double, labels array<int>")
+
+
+def cluster_configs(cells: DataFrame, ks, least_fraction: float = 0.0, configs=CONFIGS, connectivity: str = "queen") -> DataFrame:
+    """(cell, row, col, value) -> (linkage, metric, k_req, k_found, q, p, labels) for every configuration and k, from one tree each."""
+    return cut_trees(hold(merge_trees(cells, configs, connectivity)), cells, ks, least_fraction)
 
 
 def distinct_partitions(found: DataFrame) -> DataFrame:

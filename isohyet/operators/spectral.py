@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from isohyet.functions import kernels
+from isohyet.operators.grid import components
+from isohyet.operators.hold import hold
 from isohyet.operators.recurrence import by_group
 
 
@@ -58,55 +61,149 @@ def relevant(loadings: DataFrame, keys: list[str]) -> DataFrame:
     return loadings.withColumn("sd", sd).where(F.abs("a") > 3 * F.col("sd")).select(*keys, "cell").distinct()
 
 
-def factors(t: pd.DataFrame) -> tuple[pd.Index, np.ndarray, np.ndarray, np.ndarray]:
-    """Cells, loadings, singular components' shares and spectral concentrations of a window's rows (cell, i, z)."""
-    b = t.pivot(index="cell", columns="i", values="z").fillna(0.0)
-    z, a = kernels.svd_factors(b.to_numpy())
-    size = (a**2).sum(0)
-    sc = np.array([kernels.half_height(p)[0] for p in kernels.power_spectrum(z)]) if len(z) else np.zeros(0)
-    return b.index, a, size / max(size.sum(), 1e-300), sc
+#: Cells of a tile are so many rows and columns; a tile of one window is one group.
+TILE = 32
+
+
+def tile(df: DataFrame) -> Column:
+    """The tile of a cell, by place or, without places, by ranges of its id."""
+    if "row" in df.columns:
+        return F.floor(F.col("row") / TILE) * (1 << 32) + F.floor(F.col("col") / TILE)
+    return F.floor(F.col("cell") / (TILE * TILE))
+
+
+def packed(matrix: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, cell, [row, col,] i, z) -> (keys, cells, rows, cols, z): each tile's cell x time matrix as one row. Missing values count as 0."""
+    place = "row" in matrix.columns
+
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        cells, r = np.unique(t.cell.to_numpy(), return_inverse=True)
+        b = np.zeros((len(cells), int(t.i.max()) + 1))
+        b[r, t.i.to_numpy()] = np.nan_to_num(t.z.to_numpy(float))
+        first = np.unique(r, return_index=True)[1]
+        rows, cols = (t[c].to_numpy()[first] if place else np.zeros(len(cells), int) for c in ("row", "col"))
+        return pd.DataFrame({"cells": [cells], "rows": [rows.astype(np.int32)], "cols": [cols.astype(np.int32)], "z": [b.tobytes()]})
+
+    tiles = matrix.where(F.col("i").isNotNull()).withColumn("__tile", tile(matrix))
+    return by_group(tiles, (*keys, "__tile"), run, "cells array<long>, rows array<int>, cols array<int>, z binary").drop("__tile")
+
+
+def tile_matrix(r) -> np.ndarray:
+    return np.frombuffer(r.z).reshape(len(r.cells), -1)
+
+
+def kept_keys(df: DataFrame, keys: tuple[str, ...]) -> str:
+    kinds = dict(df.dtypes)
+    return ", ".join(f"{k} {kinds[k]}" for k in keys)
+
+
+def per_tile(tiles: DataFrame, keys: tuple[str, ...], f, schema: str) -> DataFrame:
+    """f(tile) -> dict of equally long columns, for each tile on its own."""
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for t in parts:
+            for r in t.itertuples():
+                out = f(r)
+                n = len(next(iter(out.values())))
+                yield pd.DataFrame({k: pd.Series([getattr(r, k)] * n, dtype=object) for k in keys} | out)
+
+    return tiles.mapInPandas(run, f"{kept_keys(tiles, keys)}, {schema}")
+
+
+def gram(tiles: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, i, j, g), i <= j: products of times over all cells, summed from tile to tile."""
+
+    def products(r) -> dict:
+        b = tile_matrix(r)
+        i, j = np.triu_indices(b.shape[1])
+        return {"i": i, "j": j, "g": (b.T @ b)[i, j]}
+
+    return per_tile(tiles, keys, products, "i int, j int, g double").groupBy(*keys, "i", "j").agg(F.sum("g").alias("g"))
+
+
+#: Components below this share of the largest eigenvalue are left out: the products of times don't tell them from zero.
+VANISHING = 1e-12
+
+
+def axes(t: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(time x PC, share, spectral concentration) from a window's products of times; its size is the window's alone."""
+    n = int(t.j.max()) + 1
+    g = np.zeros((n, n))
+    g[t.i, t.j] = g[t.j, t.i] = t.g
+    lam, v = np.linalg.eigh(g)
+    lam, v = lam[::-1], v[:, ::-1]
+    keep = lam > VANISHING * lam[0] if lam[0] > 0 else np.zeros(n, bool)
+    lam, v = lam[keep], v[:, keep]
+    sc = np.array([kernels.half_height(p)[0] for p in kernels.power_spectrum(math.sqrt(n) * v.T)]) if len(lam) else np.zeros(0)
+    return v, lam / max(lam.sum(), 1e-300), sc
 
 
 def svd_by_window(matrix: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
     """(keys, cell, i, z) -> (keys, pc, share, sc): each component's share of variance and spectral concentration."""
 
     def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
-        _, _, share, sc = factors(t)
+        _, share, sc = axes(t)
         return pd.DataFrame({"pc": np.arange(len(sc)), "share": share, "sc": sc})
 
-    return by_group(matrix, keys, run, "pc int, share double, sc double")
+    return by_group(gram(packed(matrix, keys), keys), keys, run, "pc int, share double, sc double")
+
+
+def strong_axes(tiles: DataFrame, fixed: float | None, keys: tuple[str, ...]) -> DataFrame:
+    """(keys, sc, v): concentrations and time vectors of the components that count, in one row for each window that has some.
+
+    A component counts if its concentration is above the limit, the knee of the window's own curve unless one is fixed.
+    """
+
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        v, _, sc = axes(t)
+        strong = np.flatnonzero(sc > (kernels.sc_cutoff(sc) if fixed is None else fixed)) if len(sc) else []
+        if not len(strong):
+            return pd.DataFrame({"pcs": [], "sc": [], "v": []}, dtype=object)
+        return pd.DataFrame({"pcs": [strong.astype(np.int32)], "sc": [sc[strong]], "v": [np.ascontiguousarray(v[:, strong] / math.sqrt(len(v))).tobytes()]})
+
+    return by_group(gram(tiles, keys), keys, run, "pcs array<int>, sc array<double>, v binary")
+
+
+def tile_loadings(r) -> np.ndarray:
+    """cell x PC of a tile that has been joined with its window's axes."""
+    b = tile_matrix(r)
+    return b @ np.frombuffer(r.v).reshape(-1, len(r.sc))[: b.shape[1]]
 
 
 def loadings(matrix: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
     """(keys, cell, i, z) -> (keys, cell, pc, sc, a): the loadings of all components; their signs are arbitrary."""
+    tiles = hold(packed(matrix, keys))
 
-    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
-        cells, a, _, sc = factors(t)
-        n = len(sc)
-        return pd.DataFrame({"cell": np.repeat(np.asarray(cells), n), "pc": np.tile(np.arange(n), len(cells)), "sc": np.tile(sc, len(cells)), "a": a.reshape(-1)})
+    def each(r) -> dict:
+        a = tile_loadings(r)
+        n = len(r.sc)
+        return {"cell": np.repeat(np.asarray(r.cells), n), "pc": np.tile(np.asarray(r.pcs), len(r.cells)), "sc": np.tile(np.asarray(r.sc), len(r.cells)), "a": a.reshape(-1)}
 
-    return by_group(matrix, keys, run, "cell long, pc int, sc double, a double")
+    return per_tile(tiles.join(strong_axes(tiles, -1.0, keys), list(keys)), keys, each, "cell long, pc int, sc double, a double")
 
 
 def communities(matrix: DataFrame, fixed: float | None = None, keys: tuple[str, ...] = ("win",)) -> DataFrame:
     """(keys, cell, row, col, i, z) -> (keys, comp, cell): spatially connected cells that load on concentrated components.
 
-    A component counts if its concentration is above the limit, the knee of the window's own curve unless one is fixed.
-    A window's matrix is one group; it is as large as the grid times the window.
+    A cell is hot if its absolute loading on some component exceeds 3 times the spread of all cells' there. Products of
+    times are summed over tiles of the grid, a window's components come from these, and each tile is then multiplied
+    with them: no group grows with the grid but that of a window's hot cells.
     """
+    tiles = hold(packed(matrix, keys))
+    strong = hold(strong_axes(tiles, fixed, keys))
+    both = tiles.join(strong, list(keys))
 
-    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
-        none = pd.DataFrame({"comp": [], "cell": []})
-        cells, a, _, sc = factors(t)
-        if not len(sc):
-            return none
-        strong = np.abs(a[:, np.flatnonzero(sc > (kernels.sc_cutoff(sc) if fixed is None else fixed))])
-        hot = np.flatnonzero((strong > 3 * strong.std(0)).any(1))
-        if len(hot) < 2:
-            return none
-        place = t.drop_duplicates("cell").set_index("cell").loc[cells[hot]]
-        comp = kernels.union_find(len(hot), kernels.grid_edges(place.row.tolist(), place.col.tolist()))
-        out = pd.DataFrame({"comp": np.asarray(cells[hot])[comp], "cell": np.asarray(cells[hot])})
-        return out[out.groupby("comp").cell.transform("size") >= 2].reset_index(drop=True)
-
-    return by_group(matrix, keys, run, "comp long, cell long")
+    def sums(r) -> dict:
+        a = np.abs(tile_loadings(r))
+        return {"pc": np.arange(a.shape[1]), "n": np.full(a.shape[1], len(a)), "one": a.sum(0), "two": (a * a).sum(0)}
+
+    m = per_tile(both, keys, sums, "pc int, n long, one double, two double").groupBy(*keys, "pc").agg(F.sum("n").alias("n"), F.sum("one").alias("one"), F.sum("two").alias("two"))
+    spread = F.sqrt(F.greatest(F.col("two") / F.col("n") - F.pow(F.col("one") / F.col("n"), 2), F.lit(0.0)))
+    limits = m.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("pc", (3 * spread).alias("limit")))), lambda s: s["limit"]).alias("limits"))
+
+    def hot(r) -> dict:
+        at = np.flatnonzero((np.abs(tile_loadings(r)) > np.asarray(r.limits)).any(1))
+        return {"cell": np.asarray(r.cells)[at], "row": np.asarray(r.rows)[at], "col": np.asarray(r.cols)[at]}
+
+    found = per_tile(both.join(limits, list(keys)), keys, hot, "cell long, row int, col int")
+    return components(found, list(keys), 2).select(*keys, "comp", "cell")

@@ -183,12 +183,12 @@ COAST, LAKE = ([(round(x + r * math.cos(a), 6), round(y + r * math.sin(a), 6)) f
 EDGES = ", ".join(f"({ring}, {ax}, {ay}, {bx}, {by})" for ring, points in enumerate((COAST, LAKE)) for (ax, ay), (bx, by) in zip(points, points[1:] + points[:1]))
 
 
-@query("clip_coast", on_cube("""SELECT cell, sum(value) AS total FROM cube JOIN kept USING (cell) GROUP BY 1""", f""" edges(ring, ax, ay, bx, by) AS (SELECT * FROM (VALUES {EDGES})),
-meets AS (SELECT cell, ring, ((ay > lat) <> (by > lat)) AND lon < (bx - ax) * (lat - ay) / nullif(by - ay, 0) + ax AS crossed,
-  greatest(0, CASE WHEN bx = ax THEN CASE WHEN abs(ax - lon) <= 0.125 THEN 0 ELSE 2 END ELSE least((lon - 0.125 - ax) / (bx - ax), (lon + 0.125 - ax) / (bx - ax)) END,
-    CASE WHEN by = ay THEN CASE WHEN abs(ay - lat) <= 0.125 THEN 0 ELSE 2 END ELSE least((lat - 0.125 - ay) / (by - ay), (lat + 0.125 - ay) / (by - ay)) END)
-  <= least(1, CASE WHEN bx = ax THEN 1 ELSE greatest((lon - 0.125 - ax) / (bx - ax), (lon + 0.125 - ax) / (bx - ax)) END,
-    CASE WHEN by = ay THEN 1 ELSE greatest((lat - 0.125 - ay) / (by - ay), (lat + 0.125 - ay) / (by - ay)) END) AS cut FROM cells, edges),
+@query("clip_coast", on_cube("""SELECT cell, sum(value) AS total FROM cube JOIN kept USING (cell) GROUP BY 1""", f""" edges(ring, px, py, qx, qy) AS (SELECT * FROM (VALUES {EDGES})),
+meets AS (SELECT cell, ring, ((py > lat) <> (qy > lat)) AND lon < (qx - px) * (lat - py) / nullif(qy - py, 0) + px AS crossed,
+  greatest(0, CASE WHEN qx = px THEN CASE WHEN abs(px - lon) <= 0.125 THEN 0 ELSE 2 END ELSE least((lon - 0.125 - px) / (qx - px), (lon + 0.125 - px) / (qx - px)) END,
+    CASE WHEN qy = py THEN CASE WHEN abs(py - lat) <= 0.125 THEN 0 ELSE 2 END ELSE least((lat - 0.125 - py) / (qy - py), (lat + 0.125 - py) / (qy - py)) END)
+  <= least(1, CASE WHEN qx = px THEN 1 ELSE greatest((lon - 0.125 - px) / (qx - px), (lon + 0.125 - px) / (qx - px)) END,
+    CASE WHEN qy = py THEN 1 ELSE greatest((lat - 0.125 - py) / (qy - py), (lat + 0.125 - py) / (qy - py)) END) AS cut FROM cells, edges),
 rings AS (SELECT cell, ring, count(*) FILTER (WHERE crossed) % 2 = 1 AS odd, bool_or(cut) AS cut FROM meets GROUP BY 1, 2),
 kept AS (SELECT cell FROM rings GROUP BY 1 HAVING bool_or(ring = 0 AND (odd OR cut)) AND NOT bool_or(ring = 1 AND odd AND NOT cut))"""))
 def clip_coast(spark, d):
