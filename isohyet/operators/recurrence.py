@@ -34,6 +34,17 @@ def vectors(t: pd.DataFrame) -> np.ndarray:
     return np.array([np.asarray(v, float) for v in t.sort_values("i").x])
 
 
+def recurrent(t: pd.DataFrame, q: float | None, theiler: int, cosine: bool, eps: float | None) -> tuple[np.ndarray, float, np.ndarray] | None:
+    """(places, limit, recurrence matrix) of a window, or None if no two rows are far enough apart in time."""
+    i = np.sort(t.i.to_numpy())
+    d = kernels.distances(vectors(t), cosine)
+    off = np.abs(i[:, None] - i[None]) > (int(t.theiler.iloc[0]) if "theiler" in t else theiler)
+    if not off.any():
+        return None
+    limit = float(np.quantile(d[off], q)) if eps is None else float(eps)
+    return i, limit, (d <= limit) & off
+
+
 def recurrences(state: DataFrame, q: float | None = 0.1, theiler: int = 0, cosine: bool = True, eps: float | None = None, keys: tuple[str, ...] = ("win",)) -> DataFrame:
     """(keys, i, j, eps): pairs with |i - j| > theiler whose distance is at most eps, or the window's q quantile of them.
 
@@ -43,18 +54,37 @@ def recurrences(state: DataFrame, q: float | None = 0.1, theiler: int = 0, cosin
     """
 
     def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
-        i = np.sort(t.i.to_numpy())
-        d = kernels.distances(vectors(t), cosine)
-        off = np.abs(i[:, None] - i[None]) > (int(t.theiler.iloc[0]) if "theiler" in t else theiler)
-        if not off.any():
+        found = recurrent(t, q, theiler, cosine, eps)
+        if not found:
             return pd.DataFrame({"i": [], "j": [], "eps": []})
-        limit = float(np.quantile(d[off], q)) if eps is None else float(eps)
-        a, b = np.nonzero((d <= limit) & off)
+        i, limit, r = found
+        a, b = np.nonzero(r)
         return pd.DataFrame({"i": i[a], "j": i[b], "eps": np.full(len(a), limit)})
 
     return by_group(state, keys, run, "i int, j int, eps double")
 
 
+def line_histograms(state: DataFrame, q: float | None = 0.1, theiler: int = 0, cosine: bool = True, eps: float | None = None, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, kind, len, n): how many diagonal and vertical lines of each length the recurrences have.
+
+    The lines are counted where the window's matrix is, so a few rows leave the task in place of all pairs.
+    """
+
+    def run(at: dict, t: pd.DataFrame) -> pd.DataFrame:
+        found = recurrent(t, q, theiler, cosine, eps)
+        if not found:
+            return pd.DataFrame({"kind": [], "len": [], "n": []})
+        i, _, r = found
+        if i[-1] - i[0] + 1 > len(i):  # missing rows break lines
+            whole = np.zeros((i[-1] - i[0] + 1,) * 2, bool)
+            whole[np.ix_(i - i[0], i - i[0])] = r
+            r = whole
+        each = [(kind, *np.unique(kernels.line_lengths(r, kind == "diag"), return_counts=True)) for kind in ("diag", "vert")]
+        return pd.DataFrame({"kind": [k for k, x, _ in each for _ in x], "len": np.concatenate([x for _, x, _ in each]), "n": np.concatenate([c for *_, c in each])})
+
+    return by_group(state, keys, run, "kind string, len long, n long")
+
+
 def epsilons(state: DataFrame, q: float = 0.1, theiler: int = 0, cosine: bool = True, keys: tuple[str, ...] = ("win",)) -> DataFrame:
     """(keys, eps): the q quantile of each window's distances."""
 
@@ -77,8 +107,12 @@ def runs(rec: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
 
 
 def line_metrics(rec: DataFrame, size: int, least: int = 2, keys: tuple[str, ...] = ("win",)) -> DataFrame:
-    """det, lam, entr, lmean, div, det_lam and rr of each window that has a recurrence."""
-    lens = runs(rec, keys).groupBy(*keys, "kind", "len").agg(F.count("*").alias("n"))
+    """The metrics of pairs, from their runs. See histogram_metrics()."""
+    return histogram_metrics(runs(rec, keys).groupBy(*keys, "kind", "len").agg(F.count("*").alias("n")), size, least, keys)
+
+
+def histogram_metrics(lens: DataFrame, size: int, least: int = 2, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+    """(keys, kind, len, n) -> det, lam, entr, lmean, div, det_lam and rr of each window that has a recurrence."""
     diag, long = F.col("kind") == "diag", F.col("len") >= least
     points = F.col("n") * F.col("len")
     pick = lambda test, x: F.coalesce(F.sum(F.when(test, x)), F.lit(0))

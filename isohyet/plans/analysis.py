@@ -133,7 +133,7 @@ def recurrence_series(z: DataFrame, labels: DataFrame, cfg: Config) -> DataFrame
     w = W.row_windows(pos, size, step)
     rows = w.join(state, "time").select("community", "win", F.col("rel").cast("int").alias("i"), "x").join(tw, "community")
     keys = ("community", "win")
-    got = R.nulled(R.line_metrics(R.recurrences(rows, cfg.q, keys=keys), size, keys=keys), METRICS)
+    got = R.nulled(R.histogram_metrics(R.line_histograms(rows, cfg.q, keys=keys), size, keys=keys), METRICS)
     got = got.join(W.midpoints(w, size), "win")
     if cfg.surrogates:
         surr = hold(R.surrogates(rows, cfg.surrogates, cfg.q, keys=keys))

@@ -304,6 +304,10 @@ def rec(spark, d: str, cosine: bool = True) -> DataFrame:
     return R.recurrences(state(spark, d), Q, THEILER, cosine)
 
 
+def rqa(spark, d: str, cosine: bool = True) -> DataFrame:
+    return R.histogram_metrics(R.line_histograms(state(spark, d), Q, THEILER, cosine), STATE)
+
+
 VECTORS = f"""
 v0 AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS pos, list_transform(embedding, lambda x: CAST(x AS DOUBLE) + 1e-6) AS e, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS x FROM embeddings),
 v1 AS (SELECT *, sqrt(list_sum(list_transform(e, lambda z: z * z))) AS n FROM v0),
@@ -336,17 +340,17 @@ FROM p GROUP BY 1"""
 
 @query("rolling_rqa", lines() + METRICS)
 def rolling_rqa(spark, d):
-    return R.line_metrics(rec(spark, d), STATE).select("win", *r6("det", "lam", "entr", "lmean", "div", "rr"))
+    return rqa(spark, d).select("win", *r6("det", "lam", "entr", "lmean", "div", "rr"))
 
 
 @query("euclid_rqa", lines("p.de <= e.epse") + METRICS)
 def euclid_rqa(spark, d):
-    return R.line_metrics(rec(spark, d, False), STATE).select("win", *r6("det", "lam", "entr", "lmean", "div", "rr"))
+    return rqa(spark, d, False).select("win", *r6("det", "lam", "entr", "lmean", "div", "rr"))
 
 
 @query("det_lam_ratio", f"SELECT win, round(det / (lam + 1e-8), 4) AS det_lam FROM ({lines() + METRICS})")
 def det_lam_ratio(spark, d):
-    m = R.line_metrics(rec(spark, d), STATE).select("win", *r6("det", "lam"))
+    m = rqa(spark, d).select("win", *r6("det", "lam"))
     return m.select("win", F.round(F.col("det") / (F.col("lam") + 1e-8), 4).alias("det_lam"))
 
 
@@ -379,7 +383,7 @@ def theiler_window(spark, d):
 @query("surrogate_rank_test")
 def surrogate_rank_test(spark, d):
     s = state(spark, d)
-    got = R.line_metrics(R.recurrences(s, Q, THEILER), STATE)
+    got = R.histogram_metrics(R.line_histograms(s, Q, THEILER), STATE)
     metrics = ["det", "lam", "entr", "lmean"]
     got, surr = hold(R.nulled(got, metrics)), hold(R.surrogates(s, 99, Q, THEILER))
     tests = [R.rank_test(got.where(F.col(m).isNotNull()), surr, m, ["win"]).select("win", F.lit(m).alias("metric"), F.col(m).alias("value"), "low", "high", "p", "significant") for m in metrics]
@@ -640,7 +644,7 @@ def series_with_trend(spark, d):
 @query("rqa_with_rain", f"WITH RECURSIVE {BASE.strip()},{WINDOWS},{DAILY}, rain AS (SELECT win, round(quantile_cont(mean, 0.5), 6) AS rain FROM wins JOIN daily USING (time) GROUP BY 1) SELECT m.win, det, rain FROM ({lines() + METRICS}) m LEFT JOIN rain ON m.win = rain.win")
 def rqa_with_rain(spark, d):
     rain = W.rain_rolling(W.daily(cube(spark, d), []), SIZE, STEP).select("win", *r6("rain"))
-    return R.line_metrics(rec(spark, d), STATE).select("win", *r6("det")).join(rain, "win", "left")
+    return rqa(spark, d).select("win", *r6("det")).join(rain, "win", "left")
 
 
 @query("rank_test", on_cube("SELECT cell, obs, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high, round((count(*) FILTER (WHERE v >= obs) + 1) / (count(*) + 1.0), 6) AS p, (count(*) FILTER (WHERE v >= obs) + 1) / (count(*) + 1.0) <= 0.3 AS significant FROM yearly JOIN (SELECT cell, v AS obs FROM yearly WHERE y = 1998) USING (cell) GROUP BY 1, 2", YEARLY))
@@ -668,7 +672,7 @@ def ranked_partitions(spark, d):
 
 @query("zero_counts", lines() + "SELECT count(*) FILTER (WHERE det = 0) AS det, count(*) FILTER (WHERE lam = 0) AS lam FROM (" + METRICS + ")")
 def zero_counts(spark, d):
-    return R.zero_counts(R.line_metrics(rec(spark, d), STATE), ["det", "lam"])
+    return R.zero_counts(rqa(spark, d), ["det", "lam"])
 
 
 # Without an SQL twin: factorisations, knees, clusterings. tests/test_values.py holds their values.

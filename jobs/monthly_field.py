@@ -104,8 +104,8 @@ def windows(spark: SparkSession, output: str, cfg: dict, first: datetime.date, s
     days = daily.select("time").distinct().withColumns({"pos": place, "total": F.lit((through - first).days + 1)})
     own = W.row_windows(days, size, step).where(F.date_add(F.lit(first), (F.col("win") * step + size - 1).cast("int")) >= F.lit(start)).select("win", "time", "rel")
     state = daily.groupBy("time").agg(F.transform(F.array_sort(F.collect_list(F.struct("cell", "anomaly"))), lambda s: s["anomaly"]).alias("x"))
-    pairs = R.recurrences(own.join(state, "time").select("win", F.col("rel").cast("int").alias("i"), "x"), cfg["quantile"], cfg["theiler"])
-    lines = R.line_metrics(pairs, size).select("win", *METRICS)
+    counts = R.line_histograms(own.join(state, "time").select("win", F.col("rel").cast("int").alias("i"), "x"), cfg["quantile"], cfg["theiler"])
+    lines = R.histogram_metrics(counts, size).select("win", *METRICS)
     rain = own.join(W.daily(daily, [], cfg["dry"]), "time").groupBy("win").agg(F.min("time").alias("first"), F.max("time").alias("last"), F.percentile("mean", F.lit(0.5)).alias("rain"), F.avg("dry_day").alias("dry_fraction"), F.avg("dry_node_fraction").alias("dry_node_fraction"))
     return rain.join(lines, "win", "left").select("win", "first", "last", *METRICS, "rain", "dry_fraction", "dry_node_fraction", month_of(F.col("last")).alias("month"))
 

@@ -49,6 +49,12 @@ def test_recurrence_matches_dense(spark, cosine):
     got = R.line_metrics(R.recurrences(state, 0.2, 2, cosine), 40).first().asDict()
     want = kernels.line_metrics(kernels.recurrence(x, 0.2, 2, cosine))
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+    for rows in (state, state.where("i % 7 <> 3")):  # with missing rows too
+        lens = R.line_histograms(rows, 0.2, 2, cosine)
+        runs = R.runs(R.recurrences(rows, 0.2, 2, cosine)).groupBy("win", "kind", "len").agg(F.count("*").alias("n"))
+        assert sorted(map(tuple, lens.collect())) == sorted(map(tuple, runs.collect()))
+        a, b = (f.first().asDict() for f in (R.histogram_metrics(lens, 40), R.line_metrics(R.recurrences(rows, 0.2, 2, cosine), 40)))
+        assert a == pytest.approx(b)
 
 
 def test_clip_counts_touched_cells(spark):
