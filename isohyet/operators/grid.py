@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -24,19 +25,74 @@ def neighbours(cells: DataFrame, keys: list[str], moves=QUEEN) -> DataFrame:
     return a.join(cells.select(*keys, "row", "col", F.col("cell").alias("other")), [*keys, "row", "col"]).select(*keys, "cell", "other")
 
 
-def components(cells: DataFrame, keys: list[str], least: int = 2, moves=QUEEN) -> DataFrame:
-    """(keys, cell, comp): smallest cell of the connected part; parts below least are left out. A group is one grid at most."""
+def components(cells: DataFrame, keys: list[str], least: int = 2, moves=QUEEN, tile: int | None = None) -> DataFrame:
+    """(keys, cell, comp): smallest cell of the connected part; parts below least are left out.
+
+    Without a tile a grid is one group. For large grids give the side of tiles, and no group is larger than one. See tiled_components().
+    """
+    if tile:
+        parts = tiled_components(cells, keys, moves, tile)
+        if least <= 1:
+            return parts
+        large = parts.groupBy(*keys, "comp").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).drop("__n")
+        return parts.join(large, [*keys, "comp"], "left_semi").select(*keys, "cell", "comp")
     kinds = dict(cells.dtypes)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("cell")
-        comp = kernels.union_find(len(t), kernels.grid_edges(t.row.tolist(), t.col.tolist(), moves))
-        out = t[[*keys, "cell"]].assign(comp=t.cell.to_numpy()[comp])
+        out = local_parts(t, moves)[[*keys, "cell", "comp"]]
         return out[out.groupby("comp").cell.transform("size") >= least]
 
     return cells.groupBy(*keys).applyInPandas(run, ", ".join(f"{k} {kinds[k]}" for k in [*keys, "cell"]) + f", comp {kinds['cell']}")
 
 
+def local_parts(t: pd.DataFrame, moves) -> pd.DataFrame:
+    t = t.sort_values("cell")
+    return t.assign(comp=t.cell.to_numpy()[kernels.union_find(len(t), kernels.grid_edges(t.row.tolist(), t.col.tolist(), moves))])
+
+
+#: Tiles that meet in one group of the next level, along a side, and levels; the last level takes the whole grid.
+FAN, LEVELS = 16, 3
+
+
+def tiled_components(cells: DataFrame, keys: list[str], moves=QUEEN, tile: int = 256) -> DataFrame:
+    """(keys, cell, row, col) -> (keys, cell, comp): parts within tiles first, then parts that touch across borders are joined.
+
+    Each level merges the borders within squares of FAN by FAN tiles of the level below, so a group holds what touches along
+    the borders of one square, and the next level's tiles are these squares.
+    """
+    kinds = dict(cells.dtypes)
+    kept = ", ".join(f"{k} {kinds[k]}" for k in keys)
+    kept = kept + ", " if kept else ""
+    at = cells.select(*keys, "cell", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.floor(F.col("row") / tile).cast("int").alias("tr"), F.floor(F.col("col") / tile).cast("int").alias("tc"))
+    local = hold(at.groupBy(*keys, "tr", "tc").applyInPandas(lambda t: local_parts(t, moves), f"{kept}cell {kinds['cell']}, row int, col int, tr int, tc int, comp {kinds['cell']}"))
+    edge = lambda c: F.pmod(F.col(c), F.lit(tile)).isin(0, tile - 1)
+    border = local.where(edge("row") | edge("col"))
+    to = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in moves]))
+    asked = border.withColumn("m", to).select(*keys, F.col("comp").alias("a"), F.col("tr").alias("tr0"), F.col("tc").alias("tc0"), (F.col("row") + F.col("m.a")).alias("row"), (F.col("col") + F.col("m.b")).alias("col"))
+    met = asked.join(border, [*keys, "row", "col"]).where("(tr0 <> tr OR tc0 <> tc) AND a < comp")
+    pairs = hold(met.select(*keys, "tr0", "tc0", "tr", "tc", "a", F.col("comp").alias("b")).distinct())
+    names = local.select(*keys, "cell", "comp")
+    for level in range(1, LEVELS + 1):
+        side = FAN**level
+        square = (lambda c: F.floor(F.col(c) / side)) if level < LEVELS else (lambda c: F.lit(0))
+        here = (square("tr0") == square("tr")) & (square("tc0") == square("tc"))
+
+        def join(t: pd.DataFrame) -> pd.DataFrame:
+            ids, both = np.unique(np.r_[t.a.to_numpy(), t.b.to_numpy()], return_inverse=True)
+            root = ids[kernels.union_find(len(ids), zip(both[: len(t)].tolist(), both[len(t) :].tolist()))]
+            moved = np.flatnonzero(root != ids)
+            return pd.DataFrame({k: [t[k].iloc[0]] * len(moved) for k in keys} | {"old": ids[moved], "new": root[moved]})
+
+        schema = f"{kept}old {kinds['cell']}, new {kinds['cell']}"
+        grouped = pairs.where(here).withColumns({"__r": square("tr"), "__c": square("tc")}).groupBy(*keys, "__r", "__c")
+        merged = hold(grouped.applyInPandas(join, schema))
+        named = lambda df, c: df.join(merged.withColumnRenamed("old", c), [*keys, c], "left").withColumn(c, F.coalesce("new", c)).drop("new")  # noqa: B023, E731
+        names = named(names, "comp")
+        if level < LEVELS:
+            pairs = hold(named(named(pairs.where(~here), "a"), "b").where("a <> b").distinct())
+    return names.select(*keys, "cell", "comp")
+
+
 def sizes(parts: DataFrame, keys: list[str]) -> DataFrame:
     return parts.groupBy(*keys, "comp").agg(F.count("*").alias("size"))
 
@@ -305,20 +361,8 @@ def outlines(labels: DataFrame, dlat: float, dlon: float, lat0: float, lon0: flo
     return by_group(labels.select("community", "row", "col"), ("community",), run, "cells long, rings int, area double, geometry string")
 
 
-def bilinear(cells: DataFrame, factor: int = 2, keys: tuple[str, ...] = ()) -> DataFrame:
-    """(keys, row, col, value) -> (keys, y, x, value) at 1/factor steps: each point joins the four cells around it."""
-    if keys:
-        rows, cols = ((F.col(c) * factor).alias(c) for c in ("row", "col"))
-        span = lambda c: F.sequence(F.greatest(c - factor + 1, F.lit(0)), c + factor - 1)
-        p = cells.select(*keys, rows, cols).select(*keys, F.explode(span(F.col("row"))).alias("y"), "col").select(*keys, "y", F.explode(span(F.col("col"))).alias("x")).distinct()
-        corner = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-        y, x = F.col("y") / factor, F.col("x") / factor
-        p = p.withColumn("k", corner).withColumns({"row": (F.floor(y) + F.col("k.a")).cast("int"), "col": (F.floor(x) + F.col("k.b")).cast("int")})
-        w = (1 - F.abs(y - F.col("row"))) * (1 - F.abs(x - F.col("col")))
-        j = p.withColumn("w", w).where("w > 0").join(cells.select(*keys, "row", "col", "value"), [*keys, "row", "col"])
-        # As in a triangulation, a point between cells needs all of them.
-        whole = F.abs(F.sum("w") - 1) < 1e-9
-        return j.groupBy(*keys, "y", "x").agg(F.when(whole, F.sum(F.col("w") * F.col("value"))).alias("value")).where("value IS NOT NULL")
+def bilinear(cells: DataFrame, factor: int = 2) -> DataFrame:
+    """(row, col, value) -> (y, x, value) at 1/factor steps: each point joins the four cells around it; missing ones leave their weight to the others."""
     m = cells.agg(F.max("row").alias("rmax"), F.max("col").alias("cmax")).select(F.explode(F.sequence(F.lit(0), F.col("rmax") * factor)).alias("y"), "cmax").select("y", F.explode(F.sequence(F.lit(0), F.col("cmax") * factor)).alias("x"))
     y, x = F.col("y") / factor, F.col("x") / factor
     p = m.withColumns({"fy": y - F.floor(y), "fx": x - F.floor(x), "r0": F.floor(y), "c0": F.floor(x)})
@@ -329,6 +373,48 @@ def bilinear(cells: DataFrame, factor: int = 2, keys: tuple[str, ...] = ()) -> D
     return j.groupBy("y", "x").agg((F.sum(F.col("w") * F.col("value")) / F.sum("w")).alias("value"))
 
 
+def triangulated(cells: DataFrame, factor: int = 2, keys: tuple[str, ...] = (), reach: float = 1.0) -> DataFrame:
+    """(keys, row, col, value) -> (keys, y, x, value) at 1/factor steps: linear over triangles of cells, within reach of one.
+
+    A square of four cells is parted from its smaller to its larger row and column; one of three cells is a triangle. A
+    missing cell between four others is bridged: its square is parted along the row. Points that no such triangle and no line
+    between adjacent cells holds, in wider gaps or beyond the cells, or whose nearest cell is farther than reach, have no row.
+    """
+    corner = {"v00": (0, 0), "v01": (0, -1), "v10": (-1, 0), "v11": (-1, -1)}
+    around = {"north": (1, 0), "south": (-1, 0), "west": (0, 1), "east": (0, -1)}
+
+    def met(places: dict[str, tuple[int, int]]) -> DataFrame:
+        """A row for each place, with the values of the cells that stand to it as named."""
+        to = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, (a, b) in places.items()]))
+        each = cells.select(*keys, "row", "col", "value", to.alias("k")).select(*keys, (F.col("row") + F.col("k.a")).alias("r"), (F.col("col") + F.col("k.b")).alias("c"), "k.n", "value")
+        return each.groupBy(*keys, "r", "c").agg(*[F.max(F.when(F.col("n") == n, F.col("value"))).alias(n) for n in places])
+
+    def spread(df: DataFrame, low: int) -> DataFrame:
+        steps = F.array(*[F.lit(k / factor) for k in range(low, factor)])
+        return df.withColumn("fy", F.explode(steps)).withColumn("fx", F.explode(steps))
+
+    def blend(*parts: tuple[Column, str]) -> Column:
+        """The weighted sum, null if a cell of some weight is missing."""
+        return functools.reduce(lambda a, b: a + b, [F.when(F.abs(w) < 1e-12, 0.0).otherwise(w * F.col(v)) for w, v in parts])
+
+    def nearest(*parts: tuple[str, float, float]) -> Column:
+        return F.least(*[F.when(F.col(v).isNotNull(), F.sqrt(F.pow(F.col("fy") - a, 2) + F.pow(F.col("fx") - b, 2))) for v, a, b in parts])
+
+    y, x, one = F.col("fy"), F.col("fx"), F.lit(1.0)
+    main = F.when(x >= y, blend((one - x, "v00"), (x - y, "v01"), (y, "v11"))).otherwise(blend((one - y, "v00"), (y - x, "v10"), (x, "v11")))
+    upper = F.when(F.col("v00").isNull() & (x + y >= 1), blend((one - y, "v01"), (one - x, "v10"), (x + y - 1, "v11")))
+    lower = F.when(F.col("v11").isNull() & (x + y <= 1), blend((one - x - y, "v00"), (x, "v01"), (y, "v10")))
+    square = spread(met(corner), 0).withColumns({"value": F.coalesce(main, upper, lower), "d": nearest(("v00", 0, 0), ("v01", 0, 1), ("v10", 1, 0), ("v11", 1, 1))})
+    # Around a missing cell; its own place counts with the squares where it is a cell.
+    holes = met(around | {"own": (0, 0)}).where(F.col("own").isNull() & functools.reduce(lambda a, b: a & b, [F.col(n).isNotNull() for n in around]))
+    ay = F.abs(y)
+    side = F.when(y > 0, ay * F.col("south")).otherwise(ay * F.col("north"))
+    bridged = spread(holes, 1 - factor).where(F.abs(y) + F.abs(x) < 1).withColumns({"value": side + (one - ay - x) / 2 * F.col("west") + (one - ay + x) / 2 * F.col("east"), "d": nearest(("north", -1, 0), ("south", 1, 0), ("west", 0, -1), ("east", 0, 1))})
+    place = lambda r, f: F.round((F.col(r) + F.col(f)) * factor).cast("int")
+    pick = lambda df: df.where(F.col("value").isNotNull() & (F.col("d") <= reach)).select(*keys, place("r", "fy").alias("y"), place("c", "fx").alias("x"), "value")
+    return pick(square).unionByName(pick(bridged))
+
+
 def far_points(points: DataFrame, cells: DataFrame, reach: float) -> DataFrame:
     """Points (y, x) whose nearest cell centre (row, col) is farther than reach: cells are searched by integer blocks."""
     k = max(1, int(np.ceil(reach)))

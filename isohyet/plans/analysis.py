@@ -96,7 +96,7 @@ def period_cells(heat: DataFrame, cells: DataFrame, upsample: int = 2) -> DataFr
     at = cells.agg(F.min(F.struct("row", "lat")).alias("y0"), F.max(F.struct("row", "lat")).alias("y1"), F.min(F.struct("col", "lon")).alias("x0"), F.max(F.struct("col", "lon")).alias("x1"))
     size = lambda a, b, k, v: (F.col(f"{b}.{v}") - F.col(f"{a}.{v}")) / F.greatest(F.col(f"{b}.{k}") - F.col(f"{a}.{k}"), F.lit(1)) / upsample
     at = at.select((F.col("y0.lat") - F.col("y0.row") * upsample * size("y0", "y1", "row", "lat")).alias("lat0"), size("y0", "y1", "row", "lat").alias("dlat"), (F.col("x0.lon") - F.col("x0.col") * upsample * size("x0", "x1", "col", "lon")).alias("lon0"), size("x0", "x1", "col", "lon").alias("dlon"))
-    fine = G.bilinear(heat.join(cells.select("cell", "row", "col"), "cell").withColumn("value", F.coalesce("fraction", F.lit(0.0))), upsample, ("period",))
+    fine = G.triangulated(heat.join(cells.select("cell", "row", "col"), "cell").withColumn("value", F.coalesce("fraction", F.lit(0.0))), upsample, ("period",))
     boxes = fine.crossJoin(at)  # one row
     return boxes.select("period", F.col("value").alias("rf"), tables.cell_wkt(F.col("lat0") + F.col("y") * F.col("dlat"), F.col("lon0") + F.col("x") * F.col("dlon"), F.col("dlat"), F.col("dlon")).alias("geometry"))
 

@@ -503,8 +503,8 @@ def active(spark, d: str) -> DataFrame:
     return placed(y.select(F.col("y").alias("win"), "cell"))
 
 
-def parts(spark, d: str) -> DataFrame:
-    return G.components(active(spark, d), ["win"])
+def parts(spark, d: str, tile: int | None = None) -> DataFrame:
+    return G.components(active(spark, d), ["win"], tile=tile)
 
 
 @query("neighbours_queen", on_cube("SELECT win, cell, other FROM nb", ACTIVE))
@@ -522,6 +522,11 @@ def components(spark, d):
     return parts(spark, d).select(*long("win"), "cell", "comp")
 
 
+@query("components_tiled", on_cube("SELECT win, cell, comp FROM comp", COMP))
+def components_tiled(spark, d):
+    return parts(spark, d, 3).select(*long("win"), "cell", "comp")
+
+
 @query("component_sizes", on_cube("SELECT win, comp, size FROM sz", COMP))
 def component_sizes(spark, d):
     return G.sizes(parts(spark, d), ["win"]).select(*long("win"), "comp", "size")
@@ -627,6 +632,29 @@ def bilinear_grid(spark, d):
     return G.bilinear(placed(z).select("row", "col", "value")).select(*long("y", "x"), *r6("value"))
 
 
+#: Some cells are missing: single ones, two side by side, one on the border, a corner.
+MISSING = [22, 25, 47, 48, 74, 93, 99]
+TRIANGLES = f""" h AS (SELECT "row" AS r, col AS c, sum(value) AS z FROM cube WHERE cell NOT IN ({", ".join(map(str, MISSING))}) GROUP BY 1, 2),
+g AS (SELECT r.range AS r, c.range AS c FROM range(10) r, range(10) c),
+sq AS (SELECT g.r, g.c, a.z AS a, b.z AS b, e.z AS e, f.z AS f FROM g LEFT JOIN h a ON a.r = g.r AND a.c = g.c LEFT JOIN h b ON b.r = g.r AND b.c = g.c + 1 LEFT JOIN h e ON e.r = g.r + 1 AND e.c = g.c LEFT JOIN h f ON f.r = g.r + 1 AND f.c = g.c + 1 WHERE g.r < 9 AND g.c < 9),
+tri(y1, x1, z1, y2, x2, z2, y3, x3, z3) AS (
+  SELECT r, c, a, r, c + 1, b, r + 1, c + 1, f FROM sq WHERE a + b + f IS NOT NULL UNION ALL
+  SELECT r, c, a, r + 1, c, e, r + 1, c + 1, f FROM sq WHERE a + e + f IS NOT NULL UNION ALL
+  SELECT r, c + 1, b, r + 1, c, e, r + 1, c + 1, f FROM sq WHERE a IS NULL AND b + e + f IS NOT NULL UNION ALL
+  SELECT r, c, a, r, c + 1, b, r + 1, c, e FROM sq WHERE f IS NULL AND a + b + e IS NOT NULL UNION ALL
+  SELECT w.r, w.c, w.z, e.r, e.c, e.z, v.r, v.c, v.z FROM g JOIN h w ON w.r = g.r AND w.c = g.c - 1 JOIN h e ON e.r = g.r AND e.c = g.c + 1 JOIN h v ON v.c = g.c AND abs(v.r - g.r) = 1
+  WHERE NOT EXISTS (SELECT 1 FROM h WHERE h.r = g.r AND h.c = g.c) AND (SELECT count(*) FROM h WHERE h.c = g.c AND abs(h.r - g.r) = 1) = 2),
+pt AS (SELECT y.range AS y, x.range AS x, y.range / 3.0 AS py, x.range / 3.0 AS px FROM range(28) y, range(28) x),
+bary AS (SELECT y, x, z1, z2, z3, ((x2 - px) * (y3 - py) - (x3 - px) * (y2 - py)) / ((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) AS l1,
+  ((x3 - px) * (y1 - py) - (x1 - px) * (y3 - py)) / ((x2 - x1) * (y3 - y1) - (x3 - x1) * (y2 - y1)) AS l2 FROM pt, tri)"""
+
+
+@query("triangle_grid", on_cube("SELECT y, x, round(min(l1 * z1 + l2 * z2 + (1 - l1 - l2) * z3), 6) AS value FROM bary WHERE l1 >= -1e-9 AND l2 >= -1e-9 AND l1 + l2 <= 1 + 1e-9 GROUP BY 1, 2", TRIANGLES))
+def triangle_grid(spark, d):
+    z = cube(spark, d).where(~F.col("cell").isin(MISSING)).groupBy("cell").agg(F.sum("value").alias("value"))
+    return G.triangulated(placed(z).select("row", "col", "value"), 3).select(*long("y", "x"), *r6("value"))
+
+
 @query("distance_mask", on_cube("SELECT y, x FROM (SELECT unnest(generate_series(0, 14)) AS y) CROSS JOIN (SELECT unnest(generate_series(0, 14)) AS x) WHERE NOT EXISTS (SELECT 1 FROM lab WHERE sqrt((y - \"row\") ** 2 + (x - col) ** 2) <= 2.5)", QUAD))
 def distance_mask(spark, d):
     points = spark.range(15).select(F.col("id").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(14).cast("long"))).alias("x"))
