@@ -236,18 +236,25 @@ def merge_tiny(labels: np.ndarray, row, col, least: int) -> np.ndarray:
     return out
 
 
-def merge_remaining(labels: np.ndarray, row, col, least: int) -> np.ndarray:
-    """Clusters below least, by id, join the largest adjacent cluster of that size; sizes grow as they do."""
-    out, at = labels.copy(), {(r, c): i for i, (r, c) in enumerate(zip(row, col))}
-    size = dict(zip(*(x.tolist() for x in np.unique(labels, return_counts=True))))
+def merge_remaining(sizes: dict[int, int], touching, least: int) -> dict[int, int]:
+    """Where clusters below least go: by id, each to the largest cluster of that size that touches it then; sizes grow as they do."""
+    size, near = dict(sizes), {k: set() for k in sizes}
+    for a, b in touching:
+        near[a].add(b)
+        near[b].add(a)
+    moved = {}
     for k in sorted(i for i, s in size.items() if s < least):
-        near = {int(out[j]) for i in np.flatnonzero(out == k) for a, b in QUEEN if (j := at.get((row[i] + a, col[i] + b))) is not None} - {k}
-        near = {i for i in near if size[i] >= least}
-        if near:
-            to = min(near, key=lambda i: (-size[i], i))
-            out[out == k] = to
+        large = [i for i in near[k] if size[i] >= least]
+        if large:
+            to = min(large, key=lambda i: (-size[i], i))
+            moved[k] = to
             size[to] += size.pop(k)
-    return out
+            for other in near.pop(k):
+                near[other].discard(k)
+                if other != to:
+                    near[other].add(to)
+                    near[to].add(other)
+    return moved
 
 
 def q_statistic(z, labels) -> dict[str, float]:

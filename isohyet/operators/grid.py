@@ -50,11 +50,13 @@ def local_parts(t: pd.DataFrame, moves) -> pd.DataFrame:
     return t.assign(comp=t.cell.to_numpy()[kernels.union_find(len(t), kernels.grid_edges(t.row.tolist(), t.col.tolist(), moves))])
 
 
+#: Side of a tile of cells, for grids that have more cells than one.
+TILE = 256
 #: Tiles that meet in one group of the next level, along a side, and levels; the last level takes the whole grid.
 FAN, LEVELS = 16, 3
 
 
-def tiled_components(cells: DataFrame, keys: list[str], moves=QUEEN, tile: int = 256) -> DataFrame:
+def tiled_components(cells: DataFrame, keys: list[str], moves=QUEEN, tile: int = TILE) -> DataFrame:
     """(keys, cell, row, col) -> (keys, cell, comp): parts within tiles first, then parts that touch across borders are joined.
 
     Each level merges the borders within squares of FAN by FAN tiles of the level below, so a group holds what touches along
@@ -309,13 +311,22 @@ def merge_small(labels: DataFrame, least: int) -> DataFrame:
 
 
 def merge_remaining(labels: DataFrame, least: int) -> DataFrame:
-    """Clusters below least, one after the other, into the largest touching cluster; the order matters, so one task."""
+    """Clusters below least, one after the other, into the largest touching cluster of that size. See kernels.merge_remaining().
+
+    The order matters, so one group does it, on the graph of clusters: it has a row for each cluster and each two that
+    touch, however large the grid is. Cells get their label by a join.
+    """
+    kind = dict(labels.dtypes)["label"]
+    sizes_ = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(F.col("label").alias("a"), F.lit(None).cast(kind).alias("b"), "n")
+    touch = cluster_adjacency(labels).select(F.col("label").alias("a"), F.col("other").alias("b"), F.lit(0).cast("long").alias("n"))
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
-        t = t.sort_values("cell").reset_index(drop=True)
-        return t.assign(label=kernels.merge_remaining(t.label.to_numpy(), t.row.tolist(), t.col.tolist(), least))
+        alone = t.b.isna()
+        moved = kernels.merge_remaining(dict(zip(t.a[alone], t.n[alone])), zip(t.a[~alone], t.b[~alone].astype(t.a.dtype)), least)
+        return pd.DataFrame({"label": list(moved), "__to": list(moved.values())})
 
-    return labels.withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(lambda t: run(t.drop(columns="__g")), labels.schema)
+    moved = sizes_.unionByName(touch).withColumn("__g", F.lit(0)).groupBy("__g").applyInPandas(run, f"label {kind}, __to {kind}")
+    return labels.join(moved, "label", "left").withColumn("label", F.coalesce("__to", "label")).select(*labels.columns)
 
 
 def relabel(labels: DataFrame, order: str = "south") -> DataFrame:

@@ -182,12 +182,13 @@ def loadings(matrix: DataFrame, keys: tuple[str, ...] = ("win",)) -> DataFrame:
     return per_tile(tiles.join(strong_axes(tiles, -1.0, keys), list(keys)), keys, each, "cell long, pc int, sc double, a double")
 
 
-def communities(matrix: DataFrame, fixed: float | None = None, keys: tuple[str, ...] = ("win",)) -> DataFrame:
+def communities(matrix: DataFrame, fixed: float | None = None, keys: tuple[str, ...] = ("win",), side: int | None = None) -> DataFrame:
     """(keys, cell, row, col, i, z) -> (keys, comp, cell): spatially connected cells that load on concentrated components.
 
     A cell is hot if its absolute loading on some component exceeds 3 times the spread of all cells' there. Products of
     times are summed over tiles of the grid, a window's components come from these, and each tile is then multiplied
-    with them: no group grows with the grid but that of a window's hot cells.
+    with them: no group grows with the grid but that of a window's hot cells, unless a side of tiles for
+    their components is given.
     """
     tiles = hold(packed(matrix, keys))
     strong = hold(strong_axes(tiles, fixed, keys))
@@ -206,4 +207,4 @@ def communities(matrix: DataFrame, fixed: float | None = None, keys: tuple[str,
         return {"cell": np.asarray(r.cells)[at], "row": np.asarray(r.rows)[at], "col": np.asarray(r.cols)[at]}
 
     found = per_tile(both.join(limits, list(keys)), keys, hot, "cell long, row int, col int")
-    return components(found, list(keys), 2).select(*keys, "comp", "cell")
+    return components(found, list(keys), 2, tile=side).select(*keys, "comp", "cell")

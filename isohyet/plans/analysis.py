@@ -78,7 +78,8 @@ def heatmap(z: DataFrame, cells: DataFrame, cfg: Config, keys: tuple[str, ...] =
     step = W.step_of(cfg.window, cfg.overlap)
     w = hold(W.row_windows(W.positions(z, list(keys)), cfg.window, step))
     m = w.join(z, [*keys, "time"]).select(*keys, "win", "cell", "row", "col", F.col("rel").cast("int").alias("i"), C.matrix_value(F.col("z")).alias("z"))
-    found = hold(S.communities(m, cfg.sc_threshold, (*keys, "win")))
+    large = cells.count() > G.TILE * G.TILE
+    found = hold(S.communities(m, cfg.sc_threshold, (*keys, "win"), G.TILE if large else None))
     least = G.least_sizes(G.sizes(found, [*keys, "win"]), keys) if cfg.min_community_size == "auto" else int(cfg.min_community_size)
     return G.heatmap(found, cells.join(C.roi(z.select("cell", F.col("value")), 1).select("cell"), "cell", "left_semi"), w, least, keys)
 
@@ -181,6 +182,9 @@ def run_pipeline(spark: SparkSession, cube: DataFrame, cfg: Config, out_dir: str
             tables.write_table(df, f"{out_dir}/{name}")
         tables.write_heatmap(found["heatmap"], f"{out_dir}/heatmap_csv", "fraction")
         tables.write_table(found["trends"], f"{out_dir}/trends_csv", "csv")
+        tables.write_features(found["period_cells"], f"{out_dir}/period_cells_geojson", by=("period",))
+        if "outlines" in found:
+            tables.write_features(found["outlines"], f"{out_dir}/outlines_geojson")
         tables.write_series(both, found["trends"], [*METRICS, *RAIN], f"{out_dir}/series_csv")
     return found
 
@@ -209,13 +213,13 @@ def parse_size(text: str) -> int | str:
 def main(args: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(description="Communities and recurrence dynamics of a gridded field.")
     a.add_argument("--path", help="wide CSV or long Parquet cube")
-    a.add_argument("--shapefile", help="GeoJSON polygon to clip to")
+    a.add_argument("--shapefile", help="GeoJSON or .shp polygons to clip to")
     a.add_argument("--out_dir", default="results")
     a.add_argument("--mode", choices=["preset", "single", "all"], default="preset")
     a.add_argument("--preset", default="JJAS_full")
     a.add_argument("--only", help="comma-separated presets of mode all")
     a.add_argument("--list", action="store_true")
-    a.add_argument("--window", type=int, default=122)
+    a.add_argument("--window", type=int, help="rows of a window, in mode single")
     a.add_argument("--months", type=parse_months)
     a.add_argument("--year", type=parse_year)
     a.add_argument("--units", default="mm")
@@ -229,6 +233,13 @@ def main(args: list[str] | None = None) -> None:
     if o.list:
         print("\n".join(f"{n}: window {w}, months {m}" for n, (w, m) in PRESETS.items()))
         return
+    if not o.path:
+        a.error("--path is needed: a wide CSV or a long Parquet cube")
+    if o.mode == "single" and not o.window:
+        a.error("mode single needs --window")
+    unknown = [n for n in ([o.preset] if o.mode == "preset" else o.only.split(",") if o.mode == "all" and o.only else []) if n not in PRESETS]
+    if unknown:
+        a.error(f"unknown preset {', '.join(unknown)}; there are {', '.join(PRESETS)}")
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
     cube = tables.read_wide_csv(spark, o.path) if o.path.endswith(".csv") else tables.read_cube(spark, o.path)
     more = dict(year=o.year, units=o.units, min_community_size=o.min_community_size, cluster_fraction=o.cluster_fraction, surrogates=o.surrogates, q=o.quantile, sort_by=o.sort_by, use_theiler_window=o.use_theiler_window, polygons=tables.read_polygons(spark, o.shapefile) if o.shapefile else None)

@@ -9,6 +9,7 @@ import struct
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.functions import projections
 from isohyet.functions.kernels import ring_area
 
 #: Date forms of the input, least p of dot plots, column names of results.
@@ -26,7 +27,8 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
     """A CSV with one row for each cell and one column for each date -> (lat, lon, time, rainfall).
 
     A line is kept as one array of text and exploded with the dates, so the plan has a few columns however many days
-    there are. Fields hold no commas but for the column geometry, which is dropped with its quotes.
+    there are. Fields hold no commas but for the column geometry, which is dropped with its quotes. A line with another
+    number of fields than the first one is an error.
     """
     lines = spark.read.text(path)
     head = lines.first().value
@@ -35,7 +37,8 @@ def read_wide_csv(spark: SparkSession, path: str) -> DataFrame:
     fields = F.split(F.regexp_replace("value", geometry, ""), ",", -1)
     others = [k for k, c in enumerate(names) if not c or c in ("lat", "lon", *DROPPED)]
     dates = F.split(F.lit("\n".join(names)), "\n")
-    rows = lines.where(F.col("value") != F.lit(head)).select(fields.alias("f")).where(F.size("f") == n)
+    broken = F.raise_error(F.concat(F.lit(f"{path}: a line has not {n} fields: "), F.substring("value", 1, 80)))
+    rows = lines.where((F.col("value") != F.lit(head)) & (F.trim("value") != "")).select(F.when(F.size(fields) == n, fields).otherwise(broken).alias("f"))
     at = lambda c: F.try_element_at("f", F.lit(names.index(c) + 1)).cast("double").alias(c)
     each = rows.select(at("lat"), at("lon"), F.posexplode("f").alias("k", "v")).where(~F.col("k").isin(others))
     long = each.select("lat", "lon", F.element_at(dates, F.col("k") + 1).alias("time"), F.expr("try_cast(v AS double)").alias("rainfall"))
@@ -60,23 +63,47 @@ def melt(wide: DataFrame) -> DataFrame:
 
 
 def read_polygons(spark: SparkSession, path: str) -> list[list[list[tuple[float, float]]]]:
-    """Polygons, each an outer ring and its holes, of a GeoJSON file or a shapefile; polygons are few, so the driver holds them.
+    """Polygons, each an outer ring and its holes, in degrees of WGS 84, of GeoJSON or a shapefile; polygons are few, so the driver holds them.
 
-    Coordinates are degrees of EPSG:4326; a file that names another reference system, or a shapefile whose .prj is
-    missing, is an error, as there is no reprojection.
+    GeoJSON is one document, or a folder of files with one feature a line, as write_features() gives. A shapefile's .prj or
+    a document's crs names the reference system; projected ones are turned back to degrees. A missing .prj, or a system
+    without a way back, is an error.
     """
     if path.lower().endswith(".shp"):
         prj = [r.value for r in spark.read.text(path[:-4] + ".prj", wholetext=True).collect()]
-        if not prj or prj[0].lstrip().startswith("PROJCS") or "WGS" not in prj[0].upper():
-            raise ValueError(f"{path}: no reference system, or not WGS 84")
-        return shapes(bytes(spark.read.format("binaryFile").load(path).first().content))
-    found = json.loads("".join(r.value for r in spark.read.text(path, wholetext=True).collect()))
-    name = str(found.get("crs", {}).get("properties", {}).get("name", "CRS84"))
-    if not name.endswith(("CRS84", "4326")):
-        raise ValueError(f"{path}: reference system {name} is not EPSG:4326")
-    geometries = [f["geometry"] for f in found["features"]] if "features" in found else [found.get("geometry", found)]
-    parts = [p for g in geometries for p in ([g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"])]
-    return [[[tuple(p[:2]) for p in ring] for ring in part] for part in parts]
+        if not prj:
+            raise ValueError(f"{path}: no reference system")
+        return unprojected(shapes(bytes(spark.read.format("binaryFile").load(path).first().content)), projections.from_wkt(prj[0]))
+    out = []
+    for row in spark.read.text(path, wholetext=True).collect():
+        try:
+            documents = [json.loads(row.value)]
+        except json.JSONDecodeError:
+            documents = [json.loads(line) for line in row.value.splitlines() if line.strip()]
+        for found in documents:
+            name = str(found.get("crs", {}).get("properties", {}).get("name", "CRS84"))
+            back = None if name.endswith("CRS84") else projections.from_epsg(int(name.replace(":", " ").split()[-1]))
+            geometries = [f["geometry"] for f in found["features"]] if "features" in found else [found.get("geometry", found)]
+            parts = [p for g in geometries for p in ([g["coordinates"]] if g["type"] == "Polygon" else g["coordinates"])]
+            out += unprojected([[[tuple(p[:2]) for p in ring] for ring in part] for part in parts], back)
+    return out
+
+
+def unprojected(polygons: list, back: projections.Inverse | None) -> list:
+    return [[[back(*p) for p in ring] for ring in part] for part in polygons] if back else polygons
+
+
+def feature(df: DataFrame, geometry: str = "geometry") -> Column:
+    """A row as a GeoJSON feature: the WKT polygon or multipolygon as its geometry, other columns as properties."""
+    kind = F.when(F.col(geometry).startswith("MULTI"), "MultiPolygon").otherwise("Polygon")
+    pairs = F.regexp_replace(F.regexp_extract(geometry, r"^\w+ (.*)$", 1), r"(-?[0-9.eE+-]+) (-?[0-9.eE+-]+)", "[$1,$2]")
+    rest = F.to_json(F.struct(*[F.col(f"`{c}`") for c in df.columns if c != geometry]))
+    return F.concat(F.lit('{"type":"Feature","properties":'), rest, F.lit(',"geometry":{"type":"'), kind, F.lit('","coordinates":'), F.translate(pairs, "()", "[]"), F.lit("}}"))
+
+
+def write_features(df: DataFrame, path: str, geometry: str = "geometry", by: tuple[str, ...] = ()) -> None:
+    """Text files with one GeoJSON feature a line, in folders by the columns `by`, which are properties too."""
+    df.select(*by, feature(df, geometry).alias("value")).write.mode("overwrite").partitionBy(*by).text(path)
 
 
 def shapes(data: bytes) -> list[list[list[tuple[float, float]]]]:

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import kernels as K
+from isohyet.functions import projections
 from isohyet.operators import grid as G
 from isohyet.operators import recurrence as R
 from isohyet.operators import spectral as S
@@ -183,11 +184,100 @@ def test_wide_csv(spark, tmp_path):
     assert got == {(10.5, "2000-01-01"): 1.5, (10.5, "2000-01-02"): None, (11.5, "2000-01-01"): None, (11.5, "2000-01-02"): 2.0}
 
 
+UTM = (
+    'PROJCS["WGS_1984_UTM_Zone_18N",GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984",SPHEROID["WGS_1984",6378137.0,298.257223563]],PRIMEM["Greenwich",0.0],UNIT["Degree",0.0174532925199433]],'
+    'PROJECTION["Transverse_Mercator"],PARAMETER["Central_Meridian",%d.0],PARAMETER["False_Easting",%d.0],PARAMETER["False_Northing",0.0],PARAMETER["Scale_Factor",0.9996],PARAMETER["Latitude_Of_Origin",0.0],UNIT["Meter",1.0]]'
+)
+
+
+def test_projections_at_published_points():
+    """Worked examples of the map projection literature, on Clarke's ellipsoid of 1866; they give metres to 0.1."""
+    a, f = 6378206.4, 1 / 294.978698214
+    assert projections.transverse_mercator(a, f, lon0=-75, k0=0.9996)(127106.5, 4484124.4) == pytest.approx((-73.5, 40.5), abs=1e-6)
+    assert projections.lambert_conic(a, f, lon0=-96, lat0=23, lat1=33, lat2=45)(1894410.9, 1564649.5) == pytest.approx((-75, 35), abs=1e-6)
+    assert projections.mercator(a, f, lon0=-180)(11688673.7, 4139145.6) == pytest.approx((-75, 35), abs=1e-6)
+    assert projections.from_epsg(3857)(20037508.342789244, 0.0) == pytest.approx((180, 0), abs=1e-9)
+    south = projections.from_epsg(32756)(500_000.0, 10_000_000.0)
+    assert south == pytest.approx((153, 0), abs=1e-9) and projections.from_epsg(4326) is None
+    # Meridian arc: a quarter of the ellipsoid's circumference through the poles.
+    assert projections.transverse_mercator(6378137.0, 1 / 298.257223563)(0.0, 10001965.729) == pytest.approx((0, 90), abs=1e-7)
+    assert projections.from_wkt('GEOGCS["WGS 84"]') is None
+    one = 'PROJCS["x",GEOGCS["WGS 84",DATUM["WGS_1984",SPHEROID["WGS 84",6378137,298.257223563]]],PROJECTION["Lambert_Conformal_Conic_2SP"],PARAMETER["standard_parallel_1",33],PARAMETER["standard_parallel_2",45],PARAMETER["latitude_of_origin",23],PARAMETER["central_meridian",-96],PARAMETER["false_easting",100],PARAMETER["false_northing",0],UNIT["metre",1]]'
+    assert projections.from_wkt(one)(100.0, 0.0) == pytest.approx((-96, 23), abs=1e-8)
+    for bad in ('PROJCS["NAD27"]', 'PROJCS["WGS 84",PROJECTION["Mercator"],UNIT["foot",0.3048]]'):
+        with pytest.raises(ValueError):
+            projections.from_wkt(bad)
+    with pytest.raises(ValueError):
+        projections.from_epsg(27700)
+
+
+def test_features_come_back(spark, tmp_path):
+    rows = [(1, r, c) for r in range(4) for c in range(4) if (r, c) != (1, 2)] + [(2, 6, 6), (2, 8, 8)]
+    shapes = G.outlines(spark.createDataFrame(rows, "community long, row int, col int"), 0.5, 0.5, 10.0, 70.0)
+    tables.write_features(shapes, str(tmp_path / "f"), by=("community",))
+    got = tables.read_polygons(spark, str(tmp_path / "f" / "community=1"))
+    assert [len(p) for p in got] == [2] and sorted(set(got[0][1])) == [(70.75, 10.25), (70.75, 10.75), (71.25, 10.25), (71.25, 10.75)]
+    assert len(tables.read_polygons(spark, str(tmp_path / "f" / "community=2"))) == 2
+    first = spark.read.text(str(tmp_path / "f" / "community=1")).first().value
+    assert '"cells":15' in first and '"type":"MultiPolygon"' in first
+
+
+def test_a_broken_line_of_a_wide_file_is_an_error(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("lat,lon,2000-01-01,2000-01-02\n1,2,3,4\n\n5,6,7\n")
+    with pytest.raises(Exception, match="has not 4 fields"):
+        tables.read_wide_csv(spark, str(tmp_path / "w.csv")).collect()
+    (tmp_path / "w.csv").write_text("lat,lon,2000-01-01,2000-01-02\n1,2,3,4\n\n")
+    assert tables.read_wide_csv(spark, str(tmp_path / "w.csv")).count() == 2
+
+
+def cells_merged(labels, row, col, least):
+    """Merging on the cells themselves, one cluster after the other."""
+    out, at = labels.copy(), {(r, c): i for i, (r, c) in enumerate(zip(row, col))}
+    size = dict(zip(*(x.tolist() for x in np.unique(labels, return_counts=True))))
+    for k in sorted(i for i, s in size.items() if s < least):
+        near = {int(out[j]) for i in np.flatnonzero(out == k) for a, b in G.QUEEN if (j := at.get((row[i] + a, col[i] + b))) is not None} - {k}
+        near = [i for i in near if size[i] >= least]
+        if near:
+            to = min(near, key=lambda i: (-size[i], i))
+            out[out == k] = to
+            size[to] += size.pop(k)
+    return out
+
+
+def test_merging_on_the_graph_of_clusters(spark):
+    rng = np.random.default_rng(3)
+    for least in (2, 4, 9):
+        row, col = (x.tolist() for x in np.divmod(np.flatnonzero(rng.random(144) < 0.9), 12))
+        labels = rng.integers(0, 30, len(row))
+        df = spark.createDataFrame([(i, r, c, int(k)) for i, (r, c, k) in enumerate(zip(row, col, labels))], "cell long, row int, col int, label long")
+        got = {r.cell: r.label for r in G.merge_remaining(df, least).collect()}
+        assert [got[i] for i in range(len(row))] == cells_merged(labels, row, col, least).tolist()
+
+
+def test_trend_table_is_read_again(spark, tmp_path):
+    t = spark.createDataFrame([(1, "det", "full", 0.5, 1e-12, True), (1, "rain", "full", None, None, False), (2, "det", "1951-1981", -0.1, 0.04, True)], "community long, metric string, period string, slope double, p double, significant boolean")
+    tables.write_table(t, str(tmp_path / "t"), "csv")
+    got = {(r.community, r.period): (r.neg_log_p, r.significant) for r in tables.dot_plot_rows(tables.read_trends(spark, str(tmp_path / "t"))).collect()}
+    assert got == {(1, "full"): (10.0, True), (2, "1951-1981"): (pytest.approx(-np.log10(0.04)), True)}
+    assert tables.dot_plot_rows(tables.read_trends(spark, str(tmp_path / "t")), ["full"], ["det"]).count() == 1
+
+
+def test_command_line_says_what_is_missing(capsys):
+    for args in ([], ["--path", "x", "--mode", "single"], ["--path", "x", "--preset", "spring"], ["--path", "x", "--mode", "all", "--only", "JJAS_full,spring"]):
+        with pytest.raises(SystemExit):
+            analysis.main(args)
+    assert "--path is needed" in capsys.readouterr().err
+    analysis.main(["--list"])
+    assert "JJAS_full" in capsys.readouterr().out
+
+
 def test_polygon_files(spark, tmp_path):
     shape = '{"features": [{"geometry": {"type": "Polygon", "coordinates": [[[0, 0], [4, 0], [4, 4], [0, 0]], [[2, 1], [3, 1], [3, 2], [2, 1]]]}}]%s}'
     (tmp_path / "a.json").write_text(shape % "")
     assert [len(p) for p in tables.read_polygons(spark, str(tmp_path / "a.json"))] == [2]
-    (tmp_path / "b.json").write_text(shape % ', "crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::3857"}}')
+    (tmp_path / "m.json").write_text(shape % ', "crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::3857"}}')
+    assert tables.read_polygons(spark, str(tmp_path / "m.json"))[0][0][1] == pytest.approx((4 / 6378137 * 180 / np.pi, 0), abs=1e-12)
+    (tmp_path / "b.json").write_text(shape % ', "crs": {"properties": {"name": "urn:ogc:def:crs:EPSG::2154"}}')
     with pytest.raises(ValueError):
         tables.read_polygons(spark, str(tmp_path / "b.json"))
     rings = [[(0, 0), (0, 4), (4, 4), (4, 0), (0, 0)], [(1, 1), (2, 1), (2, 2), (1, 2), (1, 1)], [(8, 8), (8, 9), (9, 9), (8, 8)]]
@@ -196,7 +286,10 @@ def test_polygon_files(spark, tmp_path):
     (tmp_path / "c.shp").write_bytes(b"\0" * 100 + struct.pack(">2i", 1, len(body) // 2) + body)
     (tmp_path / "c.prj").write_text('GEOGCS["GCS_WGS_1984",DATUM["D_WGS_1984"]]')
     assert [len(p) for p in tables.read_polygons(spark, str(tmp_path / "c.shp"))] == [2, 1]
-    (tmp_path / "c.prj").write_text('PROJCS["WGS_1984_UTM_Zone_43N"]')
+    (tmp_path / "c.prj").write_text(UTM % (-75, 500000))
+    east = tables.read_polygons(spark, str(tmp_path / "c.shp"))[0][0][0]
+    assert east == pytest.approx(projections.from_epsg(32618)(0.0, 0.0), abs=1e-9)
+    (tmp_path / "c.prj").write_text('PROJCS["WGS_1984_Polar",GEOGCS["GCS_WGS_1984"],PROJECTION["Stereographic"],UNIT["Meter",1.0]]')
     with pytest.raises(ValueError):
         tables.read_polygons(spark, str(tmp_path / "c.shp"))
 
