@@ -19,12 +19,16 @@ from pyspark.sql.window import Window
 from isohyet.llm.common import cut, table
 
 #: Distinct vectors in a shard, about: the larger of SHARD and GROWTH times the root of their number, so that both shards
-#: and the number of them grow, up to what one task can hold.
-SHARD, GROWTH, LARGEST = 4096, 16, 1 << 18
-#: Neighbours of a node on level 0 (half as many above), width of searches when building and when answering.
+#: and the number of them grow, up to LARGEST and the bytes of vectors that one task holds.
+SHARD, GROWTH, LARGEST, SHARD_BYTES = 4096, 16, 1 << 18, 256 << 20
+#: Neighbours of a node on level 0 (half as many above), width of searches when building and least width when answering.
 LINKS, BUILD, SEARCH = 24, 64, 112
-#: Queries in a block, and blocks that one copy of a graph answers, so that its shard is no single task.
-BLOCK, BLOCKS = 512, 8
+#: A shard's width is doubled until searches for so many of its own vectors find this share of their nearest; a search
+#: expands about a STEP-th of its width at a time.
+PROBES, TARGET, STEP = 64, 0.96, 128
+#: Queries in a block. A copy of a graph answers at least BLOCKS blocks, and QUERIES times the root of the number of vectors,
+#: so what is sent grows as their number to the power 1.5, like the searches, and a shard is no single task.
+BLOCK, BLOCKS, QUERIES = 512, 8, 4
 K = 20
 
 
@@ -34,7 +38,10 @@ def dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Best-first search of one level for all queries at once: (distance, node), nearest first, -1 where none."""
+    """Best-first search of one level for all queries at once: (distance, node), nearest first, -1 where none.
+
+    Wide searches expand several nodes at a time, about STEP times in all.
+    """
     n, q = len(points), len(queries)
     rows = np.arange(q)
     norm = np.einsum("ij,ij->i", points, points)
@@ -48,16 +55,20 @@ def beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.n
     dist[:, :first] = norm[entry] - 2 * dots(queries, points[entry])
     done[:, :first] = False
     seen[rows[:, None], entry] = True
-    live = rows
+    live, step = rows, max(1, width // STEP)
     while len(live):
         open_ = np.where(done[live], np.inf, dist[live])
-        at = open_.argmin(1)
-        ok = np.isfinite(open_[np.arange(len(live)), at])
-        live, at = live[ok], at[ok]
+        at = np.argpartition(open_, step - 1, axis=1)[:, :step] if step > 1 else open_.argmin(1)[:, None]
+        ok = np.isfinite(np.take_along_axis(open_, at, 1))
+        some = ok.any(1)
+        live, at, ok = live[some], at[some], ok[some]
         if not len(live):
             break
-        done[live, at] = True
-        near = links[best[live, at]]
+        done[live[:, None], at] = True
+        near = np.where(ok[:, :, None], links[np.maximum(best[live[:, None], at], 0)], n).reshape(len(live), -1)
+        if step > 1:  # a node may be a neighbour of several
+            near = np.sort(near, axis=1)
+            near[:, 1:][near[:, 1:] == near[:, :-1]] = n
         fresh = ~seen[live[:, None], near]
         seen[live[:, None], near] = True
         seen[:, n] = True
@@ -173,9 +184,22 @@ def search(v: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], queries:
     return beam(points, levels[-1][1], q, entry, width)[1]
 
 
-def width(n: int) -> int:
-    """Width of a search among n vectors: larger graphs need wider ones for the same recall."""
-    return int(SEARCH * (1 + max(0.0, np.log2(max(n, 1) / SHARD)) / 2))
+def calibrated(v: np.ndarray, levels: list[tuple[np.ndarray, np.ndarray]], k: int) -> int:
+    """The width at which the graph's own vectors, PROBES of them, find TARGET of their k largest products; at most all vectors.
+
+    Distances crowd together as dimensions or vectors grow, so no formula in the number of vectors holds the recall.
+    """
+    probes = v[np.linspace(0, len(v) - 1, min(PROBES, len(v))).astype(int)]
+    k = min(k, len(v))
+    least = np.concatenate([np.partition(probes[i : i + 16] @ v.T, len(v) - k, axis=1)[:, len(v) - k] for i in range(0, len(probes), 16)])
+    width = min(len(v), max(SEARCH, k))
+    while width < len(v):
+        near = search(v, levels, probes, width)
+        score = np.where(near < 0, -np.inf, np.einsum("qkd,qd->qk", v[near], probes))
+        if np.minimum((score >= least[:, None] - 1e-9 * np.abs(least[:, None])).sum(1), k).mean() >= TARGET * k:
+            break
+        width = min(len(v), 2 * width)
+    return width
 
 
 def usable(vectors: DataFrame) -> DataFrame:
@@ -204,7 +228,8 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
     kinds = all_.withColumn("r", rank).where(F.col("r") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     kinds = cut(kinds.withColumn("h", F.xxhash64("v", F.lit(9))), "distinct-vectors")
     count = kinds.count()
-    shards = max(1, round(count / min(LARGEST, max(SHARD, GROWTH * count**0.5))))
+    most = max(k + 1, min(LARGEST, SHARD_BYTES // (8 * dim)))
+    shards = max(1, -(-count // most), round(count / max(SHARD, GROWTH * count**0.5)))
     dealt = kinds.withColumn("shard", F.pmod("h", F.lit(shards)).cast("int")).repartition(shards, "shard")
 
     def index(key: tuple, t: pa.Table) -> pa.Table:
@@ -213,35 +238,37 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = K) -> DataFrame:
         ids = t["ids"].combine_chunks()
         levels = build(augmented(v))
         flat = [x.astype(np.int32).tobytes() for nodes, links in levels for x in (nodes, links)]
-        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "v": [v.tobytes()], "ids": [ids.flatten().to_numpy().tobytes()], "ends": [ids.offsets.to_numpy().astype(np.int64).tobytes()], "graph": [flat]})
+        return pa.table({"shard": pa.array([key[0].as_py()], pa.int32()), "v": [v.tobytes()], "ids": [ids.flatten().to_numpy().tobytes()], "ends": [ids.offsets.to_numpy().astype(np.int64).tobytes()], "graph": [flat], "width": pa.array([calibrated(v, levels, k + 1)], pa.int32())})
 
-    graphs = dealt.groupBy("shard").applyInArrow(index, "shard int, v binary, ids binary, ends binary, graph array<binary>")
+    graphs = dealt.groupBy("shard").applyInArrow(index, "shard int, v binary, ids binary, ends binary, graph array<binary>, width int")
     graphs = cut(graphs, "graphs")
 
     queries = all_.where(F.col("vec_id") % every == 0)
     blocks = max(1, -(-queries.count() // BLOCK))
     asked = queries.withColumn("block", F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).cast("int"))
     asked = asked.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("vec_id", "v"))).alias("qs")).select("block", F.col("qs.vec_id").alias("q_ids"), F.flatten("qs.v").alias("q"))
-    # Each block of the stated query set goes to each shard. A graph goes to its blocks once for BLOCKS of them.
-    sets = -(-blocks // BLOCKS)
+    # Each block of the stated query set goes to each shard. A graph goes to its blocks once for `run` of them.
+    run = max(BLOCKS, int(QUERIES * count**0.5 / BLOCK))
+    sets = -(-blocks // run)
     numbers = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     homes = graphs.withColumn("part", numbers(sets)).withColumns({"block": F.lit(-1), "q_ids": F.lit(None).cast("array<bigint>"), "q": F.lit(None).cast("array<double>")})
-    visits = cut(asked, "queries").withColumn("shard", numbers(shards)).withColumn("part", F.floor(F.col("block") / BLOCKS).cast("int"))
+    visits = cut(asked, "queries").withColumn("shard", numbers(shards)).withColumn("part", F.floor(F.col("block") / run).cast("int"))
     met = homes.unionByName(visits, allowMissingColumns=True).repartition(shards * sets, "shard", "part").sortWithinPartitions("shard", "part", "block")
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = ids = ends = levels = None
+        v = ids = ends = levels = width = None
         for b in batches:
             for r in range(b.num_rows):
                 get = lambda c: b.column(c)[r]  # noqa: B023, E731
                 if get("block").as_py() < 0:
                     v = np.frombuffer(get("v").as_py()).reshape(-1, dim)
                     ids, ends = np.frombuffer(get("ids").as_py(), np.int64), np.frombuffer(get("ends").as_py(), np.int64)
+                    width = get("width").as_py()
                     flat = [np.frombuffer(x, np.int32).astype(np.int64) for x in get("graph").as_py()]
                     levels = [(nodes, links.reshape(len(nodes), -1)) for nodes, links in zip(flat[::2], flat[1::2])]
                     continue
                 q_ids, q = get("q_ids").values.to_numpy(), get("q").values.to_numpy().reshape(-1, dim)
-                near = search(v, levels, q, min(width(len(v)), len(v)))
+                near = search(v, levels, q, width)
                 exact = np.where(near < 0, -np.inf, np.einsum("qkd,qd->qk", v[near], q))
                 row, col = np.nonzero(near >= 0)
                 places = near[row, col]

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from isohyet.llm import quality, simhash, toxicity
+from isohyet.llm import ann, quality, simhash, toxicity
 
 RNG = np.random.default_rng(12)
 VOCAB = ["".join(RNG.choice(list("abcdefgh"), 5)) for _ in range(60)]
@@ -49,3 +49,18 @@ def test_threshold_does_not_hang_on_the_partitions(spark, docs, labels, monkeypa
     monkeypatch.setattr(quality, "LABELLED", 25)
     a, b = (sorted(map(tuple, quality.resample(docs.repartition(n), labels).select("doc_id", "text", "kept").collect())) for n in (2, 7))
     assert a == b and len(a) == 700
+
+
+def test_width_of_a_shard_is_measured():
+    """Vectors without any structure need wider searches than the least width to find the nearest from outside."""
+    rng = np.random.default_rng(1)
+    v, q = rng.normal(size=(3000, 64)), rng.normal(size=(60, 64))
+    levels = ann.build(ann.augmented(v))
+    width = ann.calibrated(v, levels, 21)
+    near = ann.search(v, levels, q, width)
+    assert ann.SEARCH < width < 3000 and all(len(set(r[r >= 0])) == (r >= 0).sum() for r in near)
+    score = np.where(near < 0, -np.inf, np.einsum("qkd,qd->qk", v[near], q))
+    least = np.sort(q @ v.T, axis=1)[:, -20]
+    assert np.minimum((score >= least[:, None] - 1e-9).sum(1), 20).mean() >= 0.9 * 20
+    few = rng.normal(size=(5, 3))
+    assert ann.calibrated(few, ann.build(ann.augmented(few)), 21) == 5
