@@ -18,7 +18,7 @@ from isohyet.operators import spectral as S
 from isohyet.operators import trend as T
 from isohyet.operators import windows as W
 from isohyet.operators.hold import hold
-from isohyet.sources import tables
+from isohyet.sources import netcdf, tables
 
 #: Window size in days and months of the named runs, inclusive periods of heatmaps, half-open ones of
 #: trends as (first, last) year, names of metrics and command-line options.
@@ -212,7 +212,8 @@ def parse_size(text: str) -> int | str:
 
 def main(args: list[str] | None = None) -> None:
     a = argparse.ArgumentParser(description="Communities and recurrence dynamics of a gridded field.")
-    a.add_argument("--path", help="wide CSV or long Parquet cube")
+    a.add_argument("--path", help="wide CSV, long Parquet cube, or classic NetCDF (.nc)")
+    a.add_argument("--variable", default="tp", help="variable of a NetCDF file")
     a.add_argument("--shapefile", help="GeoJSON or .shp polygons to clip to")
     a.add_argument("--out_dir", default="results")
     a.add_argument("--mode", choices=["preset", "single", "all"], default="preset")
@@ -241,7 +242,10 @@ def main(args: list[str] | None = None) -> None:
     if unknown:
         a.error(f"unknown preset {', '.join(unknown)}; there are {', '.join(PRESETS)}")
     spark = SparkSession.builder.config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    cube = tables.read_wide_csv(spark, o.path) if o.path.endswith(".csv") else tables.read_cube(spark, o.path)
+    if o.path.endswith((".nc", ".cdf")):
+        cube = netcdf.read_netcdf(spark, o.path, o.variable).withColumn("time", F.col("time").cast("date"))
+    else:
+        cube = tables.read_wide_csv(spark, o.path) if o.path.endswith(".csv") else tables.read_cube(spark, o.path)
     more = dict(year=o.year, units=o.units, min_community_size=o.min_community_size, cluster_fraction=o.cluster_fraction, surrogates=o.surrogates, q=o.quantile, sort_by=o.sort_by, use_theiler_window=o.use_theiler_window, polygons=tables.read_polygons(spark, o.shapefile) if o.shapefile else None)
     names = [o.preset] if o.mode == "preset" else (o.only.split(",") if o.only else list(PRESETS)) if o.mode == "all" else ["custom"]
     for name in names:
