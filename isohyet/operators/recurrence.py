@@ -191,20 +191,22 @@ def surrogates(state: DataFrame, count: int = 99, q: float = 0.1, theiler: int =
     kinds = dict(state.dtypes)
     tw = F.max("theiler") if "theiler" in kinds else F.lit(theiler)
     parts = F.explode(F.sequence(F.lit(0), F.lit((count - 1) // batch)))
-    packed = state.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("rows"), tw.alias("tw")).withColumn("part", parts)
+    packed = state.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x")))["x"].alias("rows"), tw.alias("tw")).withColumn("part", parts)
 
     def run(t: pd.DataFrame) -> pd.DataFrame:
         at = {k: int(t[k].iloc[0]) for k in keys}
         part = int(t.part.iloc[0])
-        x = np.array([r["x"] for r in t.rows.iloc[0]], float)
+        x = np.array([np.asarray(v, float) for v in t.rows.iloc[0]])
+        mine = range(part * batch, min(count, (part + 1) * batch))
         out = []
-        for k in range(part * batch, min(count, (part + 1) * batch)):
-            y = kernels.iaaft(x, np.random.default_rng([*at.values(), k]), rounds)
+        for k, y in zip(mine, kernels.iaafts(x, [np.random.default_rng([*at.values(), k]) for k in mine], rounds)):
             out.append(at | {"surr": k} | kernels.line_metrics(kernels.recurrence(y, q, int(t.tw.iloc[0]), cosine)))
         return pd.DataFrame(out)
 
     schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + ", surr int, det double, lam double, entr double, lmean double"
-    return packed.groupBy(*keys, "part").applyInPandas(run, schema)
+    # A window is little data and much work, so parts are dealt out by a number of tasks, which no join of small ones undoes.
+    tasks = max(state.sparkSession.sparkContext.defaultParallelism, int(state.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return packed.repartition(tasks, *keys, "part").groupBy(*keys, "part").applyInPandas(run, schema)
 
 
 def rank_test(observed: DataFrame, surr: DataFrame, value: str, keys: list[str], alpha: float = 0.05) -> DataFrame:

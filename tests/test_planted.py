@@ -52,6 +52,24 @@ def test_surrogate_metrics(spark):
         assert all(r[m] == pytest.approx(v, abs=1e-9) for m, v in want.items())
 
 
+def test_surrogate_rounds_turn_the_first_channel_only(monkeypatch):
+    """20 rounds cost 20 turns of one channel for all surrogates and one turn of all channels for each."""
+    x = np.random.default_rng(2).normal(size=(40, 16)).cumsum(0)
+    turned, irfft = [], np.fft.irfft
+    monkeypatch.setattr(np.fft, "irfft", lambda a, *more, **named: turned.append(a.shape[1]) or irfft(a, *more, **named))
+    many = list(kernels.iaafts(x, [np.random.default_rng([4, k]) for k in range(5)], 20))
+    assert sum(turned) == 20 * 5 + 5 * 16
+    assert all(np.array_equal(y, kernels.iaaft(x, np.random.default_rng([4, k]), 20)) for k, y in enumerate(many))
+
+
+def test_surrogates_are_dealt_out_by_parts(spark):
+    """A window's parts are few bytes, but not one task."""
+    rows = [(w, i, v.tolist()) for w in range(4) for i, v in enumerate(np.random.default_rng(w).normal(size=(20, 3)))]
+    state = spark.createDataFrame(rows, "win int, i int, x array<double>").coalesce(1)
+    got = R.surrogates(state, 6, 0.2, 1, rounds=2, batch=1).withColumn("task", F.spark_partition_id()).collect()
+    assert len(got) == 24 and len({r.task for r in got}) > 1
+
+
 @pytest.fixture(scope="module")
 def found(spark):
     """The cells of a patch share a wave of 20 days, all others are noise."""
