@@ -16,63 +16,98 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from isohyet.functions import kernels
 from jobs.common import config, log, read_if_there, settings
 
 DEFAULT = Path(__file__).with_suffix(".json")
 COUNTS = ["words", "windows", "points", "diagonal_long", "diagonal_runs", "vertical_long"]
 TEXTS = "doc_id long, source string, " + ", ".join(f"{c} long" for c in COUNTS) + ", entr double, language string"
 SOURCES = "source string, texts long, " + ", ".join(f"{c} long" for c in COUNTS) + ", det double, lam double, lmean double, language string"
-#: Words of a text that go to Python at a time bound a batch together with its rows.
-BATCH_ROWS = 500
-
-
-def words(text: Column) -> Column:
-    """Words between ASCII white space, A-Z lower-cased; null has none."""
-    low = F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    return F.regexp_extract_all(low, F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
-
-
-def counted(tokens: np.ndarray, size: int, least: int) -> tuple:
-    """COUNTS and entropy of one text. Windows follow each other; the last one may be shorter."""
-    codes = np.unique(tokens, return_inverse=True)[1] if len(tokens) else np.zeros(0, int)
-    points = diagonal_long = vertical_long = 0
-    long = np.zeros(size + 1, np.int64)
-    starts = range(0, len(codes), size)
-    for a in starts:
-        w = codes[a : a + size]
-        r = w[:, None] == w[None]
-        np.fill_diagonal(r, False)
-        points += int(r.sum())
-        d, v = kernels.line_lengths(r), kernels.line_lengths(r, False)
-        d = d[d >= least]
-        long += np.bincount(d, minlength=size + 1)
-        diagonal_long += int(d.sum())
-        vertical_long += int(v[v >= least].sum())
-    runs = int(long.sum())
-    p = long[long > 0] / max(1, runs)
-    entropy = float(-(p * np.log(p)).sum()) if runs else 0.0
-    return len(codes), len(starts), points, diagonal_long, runs, vertical_long, entropy
+#: Rows and bytes of texts that go to Python at a time.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
+#: Recurrent pairs of whole windows that are held at a time.
+PAIRS = 1 << 20
+
+
+def words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(number of each word's text, code of the word) of the words between ASCII white space, A-Z lower-cased; null has none."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+    flat, text = split.flatten(), pc.list_parent_indices(split).to_numpy()
+    some = pc.greater(pc.binary_length(flat), 0)
+    return text[some.to_numpy(zero_copy_only=False)], flat.filter(some).dictionary_encode().indices.to_numpy().astype(np.int64)
+
+
+def counted(texts: pa.Array, size: int, least: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """COUNTS and entropy of each text. Windows follow each other; the last one of a text may be shorter.
+
+    The places of a word in a window are all that is needed: no window's matrix is made.
+    """
+    text, code = words(texts)
+    n = np.bincount(text, minlength=len(texts))
+    windows = -(-n // size)
+    place = np.arange(len(text)) - (np.cumsum(n) - n)[text]
+    win = (np.cumsum(windows) - windows)[text] + place // size
+    owner = np.repeat(np.arange(len(texts)), windows)
+    group = win * (int(code.max(initial=0)) + 1) + code
+    order = np.argsort(group, kind="stable")
+    starts = lambda x: np.flatnonzero(np.diff(x, prepend=x[:1] - 2) != 0)
+    first = starts(group[order])
+    m = np.diff(first, append=len(order))
+    at = order[np.repeat(m > 1, m)]  # words that are in their window again
+    m = m[m > 1]
+    win, place = win[at], place[at] % size
+    total = lambda at, x: np.bincount(owner[at], x, len(texts)).astype(np.int64)
+    each = np.repeat(m, m)
+    points = total(win, each - 1)
+
+    # Runs of a word's places: the columns of its other places hold them whole, their own columns hold them without one place.
+    ids = np.repeat(np.arange(len(m)), m)
+    run = starts(ids * (size + 1) + place - np.arange(len(at)))
+    length = np.diff(run, append=len(at))
+    inner = np.maximum((length - 1) * length - (least - 1) * least, 0)
+    vertical_long = total(win[run], np.where(length >= least, (each[run] - length) * length, 0) + inner)
+
+    # Pairs of a word's places, by window, lag and place. Both triangles are alike, and a lag's last place is no other's first.
+    later = np.repeat(np.cumsum(m), m) - np.arange(len(at)) - 1
+    found = [np.zeros((2, 0), np.int64)]
+    chunk = np.cumsum(later) // PAIRS
+    edges = np.unique(np.searchsorted(win, win[starts(chunk)])) if len(at) else []
+    for a, b in zip(edges, [*edges[1:], len(at)]):
+        i = np.repeat(np.arange(a, b), later[a:b])
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[a:b]) - later[a:b], later[a:b])
+        key = np.sort((win[i] * size + place[j] - place[i]) * size + place[i])
+        line = np.flatnonzero(np.diff(key, prepend=key[:1] - 2) != 1)
+        length = np.diff(line, append=len(key))
+        long = length >= least
+        found.append(np.stack(np.unique(owner[key[line[long]] // size**2] * (size + 1) + length[long], return_counts=True)))
+    key, c = np.concatenate(found, axis=1)
+    key, back = np.unique(key, return_inverse=True)
+    c = 2 * np.bincount(back, c, len(key))
+    owner, length = key // (size + 1), key % (size + 1)
+    runs = np.bincount(owner, c, len(texts))
+    p = c / runs[owner]
+    entropy = np.bincount(owner, -p * np.log(p), len(texts)) + 0.0
+    return [n, windows, points, np.bincount(owner, c * length, len(texts)).astype(np.int64), runs.astype(np.int64), vertical_long], entropy
 
 
 def measured(docs: DataFrame, cfg: dict) -> DataFrame:
     """Documents -> TEXTS. Needs no other row, so it serves streams and tables alike."""
     size, least = cfg["window_words"], cfg["least"]
     language = F.coalesce(F.nullif(F.col(cfg["language"]), F.lit("")), F.lit("und"))
-    each = docs.select(F.col(cfg["id"]).cast("long").alias("doc_id"), F.coalesce(F.col(cfg["source"]), F.lit("")).alias("source"), words(F.col(cfg["text"])).alias("w"), language.alias("language"))
+    each = docs.select(F.col(cfg["id"]).cast("long").alias("doc_id"), F.coalesce(F.col(cfg["source"]), F.lit("")).alias("source"), F.col(cfg["text"]).cast("string").alias("text"), language.alias("language"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for t in parts:
-            found = [counted(np.asarray(w, dtype=object), size, least) for w in t.w]
-            yield pd.concat([t[["doc_id", "source"]].astype({"doc_id": "Int64"}).reset_index(drop=True), pd.DataFrame(found, columns=[*COUNTS, "entr"]), t[["language"]].reset_index(drop=True)], axis=1)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            counts, entropy = counted(b["text"], size, least)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], b["source"], *map(pa.array, counts), pa.array(entropy), b["language"]], ["doc_id", "source", *COUNTS, "entr", "language"])
 
-    return each.mapInPandas(run, TEXTS)
+    return each.mapInArrow(run, TEXTS)
 
 
 def figures(counts: DataFrame) -> DataFrame:
@@ -94,7 +129,7 @@ def is_folder(spark: SparkSession, source: str, schema: StructType) -> bool:
 def run(spark: SparkSession, source: str, output: str, checkpoint: str, cfg: dict) -> dict[str, int]:
     """Takes the files that are new to the checkpoint; returns rows read by the stream and sources written. See the module."""
     schema = spark.read.parquet(source).schema
-    limits = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS), "spark__sql__streaming__schemaInference": "false"}
+    limits = {"spark__sql__execution__arrow__maxRecordsPerBatch": str(BATCH_ROWS), "spark__sql__execution__arrow__maxBytesPerBatch": str(BATCH_BYTES), "spark__sql__streaming__schemaInference": "false"}
     with settings(spark, **limits):
         reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", cfg["files_per_batch"])
         folder, _, name = source.rstrip("/").rpartition("/")

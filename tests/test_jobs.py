@@ -7,6 +7,7 @@ import sys
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -91,6 +92,20 @@ def counts(text, size=8):
     return tuple(out)
 
 
+def test_counts_come_from_places_and_not_from_matrices(monkeypatch):
+    """Texts of a batch are counted together, however their pairs are dealt out."""
+    rng = np.random.default_rng(7)
+    said = [None, "", " \t", "x " * 300, "a b " * 50, *(" ".join(rng.choice(list("aAbBcé"), rng.integers(0, 60))) for _ in range(40))]
+    want = [counts(t) for t in said]
+    monkeypatch.setattr(kernels, "line_lengths", None)
+    for most in (5, 100, 1 << 20):
+        monkeypatch.setattr(text_recurrence, "PAIRS", most)
+        got, entropy = text_recurrence.counted(pa.array(said, pa.string()), 8, 2)
+        assert [tuple(map(int, c)) for c in zip(*got)] == want
+        lines = np.array([37 + 1, 37 + 1, 37, 37, 37, 37])  # of 2 to 7 places: 37 windows of 8 words and one of 4
+        assert entropy[3] == pytest.approx(-(lines / lines.sum() * np.log(lines / lines.sum())).sum()) and not entropy[:3].any()
+
+
 FIRST = [(1, "a b a b a b", "en", "s1", 1), (2, None, None, None, 1), (3, "A a a a", "", "s1", 1), (4, "the rain in spain " * 40, "en", "s2", 1), (None, "x x", "en", "s1", 1), (1, "a b a b a b", "en", "s1", 1)]
 SECOND = [(7, "one two three", "de", "s1", 1), (8, "b a b a", "en", "s1", 1)]
 
