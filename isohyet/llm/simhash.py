@@ -9,6 +9,7 @@ Pairs that share a key are pruned along the chain, and the last step of the chai
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -226,6 +227,8 @@ FEW = 3
 MARKS = 1 << 24
 #: Texts of the commonest root that a turn compares with all of a bucket, and turns before all pairs of different roots.
 STARS, TURNS = 4, 2
+#: Earlier shared shingles of a text that tell a pair which has met in another bucket.
+BEFORE = 3
 #: Texts of a bucket of shared shingles that one task compares with each other.
 BLOCK = 1 << 12
 
@@ -267,8 +270,8 @@ def numbered(g: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.where(nth > 0, T.mix(g + nth * np.uint64(0x9E3779B97F4A7C15)), g), doc
 
 
-#: Longs of a text's parity bits.
-PARITY = 4
+#: Longs of a text's parity bits, and what they are folded to where a bucket gives no more than a few pairs a text.
+PARITY, FOLDED = 16, 4
 
 
 def parities(token: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -366,31 +369,49 @@ def index(texts: DataFrame) -> DataFrame:
     return at.repartition("key").sortWithinPartitions("key").mapInArrow(shared, kind)
 
 
+def folded(longs: int | None) -> list[Column]:
+    """Elements of the array odds, or fewer longs of parity bits that each hold several of them: sums of parities are parities."""
+    some = longs or PARITY
+    return [functools.reduce(Column.bitwiseXOR, [F.col("odds")[i] for i in range(k, PARITY, some)]).alias(f"odd{k}") for k in range(some)]
+
+
 def prefix_pairs(index: DataFrame, large: DataFrame, least: float, turn: int | None) -> DataFrame:
-    """(key, th, n, pos, root, odd0 ...), (key, c) -> (a, b), a < b, distinct: pairs of texts that share a key, differ in root and may be similar.
+    """(key, th, n, pos, root, odds), (key, c) -> (a, b), a < b, distinct: pairs of texts that share a key, differ in root and may be similar.
 
     All such pairs without a turn, else in buckets over FEW only a chain, and stars around some texts of the commonest
     root; each turn takes other texts. At their first common key similar
     texts have enough shingles left on both sides, and their parities differ in no more bits than they may in shingles, so
-    pairs that fail either are left out; no similar one does. A bucket over BLOCK texts, in `large` with its size, is dealt
+    pairs that fail either are left out; no similar one does. All pairs of a bucket are told by all parity bits: of many near
+    copies just under the limit most have differing shingles that cancel out in a few bits, few in many. There a pair that
+    also has one of the last BEFORE shared shingles in common is left to that one's bucket, where it has more shingles left,
+    so a pair is not given once for each shingle that copies share, and its first bucket always gives it. A bucket over BLOCK texts, in `large` with its size, is dealt
     out as pairs of parts, so no task holds more than two parts and no pair is missed.
     """
     t = (least - 1e-9) / (1 + least - 1e-9)
     g = F.ceil(F.coalesce("c", F.lit(1)) / BLOCK)
     mine = F.pmod(F.xxhash64("th"), g)
     pairs = F.transform(F.sequence(F.lit(0).cast("long"), g - 1), lambda j: F.least(mine, j) * 4294967296 + F.greatest(mine, j))
-    dealt = index.join(large, "key", "left").select("key", F.explode(pairs).alias("pair"), "th", "n", "pos", "root", *[f"odd{k}" for k in range(PARITY)])
+    before = [] if turn is not None else [F.coalesce(F.lag("key", k).over(Window.partitionBy("th").orderBy("pos")), "key").alias(f"before{k}") for k in range(1, BEFORE + 1)]
+    index = index.select("key", "th", "n", "pos", "root", *before, *folded(None if turn is None else FOLDED))
+    dealt = index.join(large, "key", "left").select("key", F.explode(pairs).alias("pair"), *index.columns[1:])
+
+    earlier = len(before)
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in runs(batches, 2):
             th, n, pos, root = whole[2:6]
-            left, odd = n - pos, whole[6:].view(np.uint64)
+            left, past, odd = n - pos, whole[6 : 6 + earlier], whole[6 + earlier :].view(np.uint64)
 
             def fit(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 ok = np.flatnonzero((root[i] != root[j]) & (np.minimum(left[i], left[j]) >= t * (n[i] + n[j]) - 1e-6))
                 i, j = i[ok], j[ok]
                 ok = np.bitwise_count(odd[:, i] ^ odd[:, j]).sum(0, dtype=np.int64) <= (1 - 2 * t) * (n[i] + n[j]) + 1e-6
-                return th[i[ok]], th[j[ok]]
+                i, j = i[ok], j[ok]
+                met = np.zeros(len(i), bool)
+                for a in past:
+                    for b in past:  # a text's first shingles have their own key for an earlier one
+                        met |= (a[i] == b[j]) & (a[i] != whole[0, i])
+                return th[i[~met]], th[j[~met]]
 
             cuts = buckets(whole[:2])
             size = np.diff(cuts)
@@ -477,16 +498,14 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     rank = np.clip(np.log2(often["n"].to_numpy()[order].astype(float)), 1, 7).astype(np.uint64)
     known = spark.sparkContext.broadcast((common[order], rank))
 
-    odds = [f"odd{k}" for k in range(PARITY)]
-
     def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             n, prefix, fp, odd = prefixes(b.column(2), *known.value, least)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(prefix, pa.binary()), pa.array(fp.view(np.int64)), *map(pa.array, odd.view(np.int64))], ["id", "th", "n", "prefix", "fp", *odds])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n), pa.array(prefix, pa.binary()), pa.array(fp.view(np.int64)), pa.ListArray.from_arrays(np.arange(len(n) + 1, dtype=np.int32) * PARITY, odd.T.ravel().view(np.int64))], ["id", "th", "n", "prefix", "fp", "odds"])
 
     ids = docs.schema["doc_id"].dataType.simpleString()
-    rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary, fp long, " + ", ".join(f"{c} long" for c in odds))
-    texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "fp", *odds)]), "texts")
+    rows = keyed.select("doc_id", "__th", "__text").mapInArrow(heads, f"id {ids}, th long, n int, prefix binary, fp long, odds array<long>")
+    texts = cut(rows.groupBy("th").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), *[F.first(c).alias(c) for c in ("prefix", "fp", "odds")]), "texts")
     at = cut(index(texts), "shared-shingles")
     large = cut(at.groupBy("key").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK), "large-buckets")
 
@@ -521,7 +540,7 @@ def dedup(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
         tried = tried.unionByName(edges) if tried else edges
         roots = components(linked.unionByName(verified(edges)))
         linked = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
-        own = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"), *odds)
+        own = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", F.coalesce("root", "th").alias("root"), "odds")
         rooted = at.join(own, "th")
     group = texts.join(roots, F.col("th") == F.col("node"), "left").select("th", "first", F.coalesce("root", "th").alias("root"))
     stay = group.groupBy("root").agg(F.min(F.struct("first", "th")).alias("s")).select(F.col("s.th").alias("__t"), F.col("s.first.id").alias("__i"))

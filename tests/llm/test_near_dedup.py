@@ -2,6 +2,8 @@
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from isohyet.llm import simhash
 
@@ -64,3 +66,26 @@ def test_large_buckets(spark):
     want = expected(texts)
     assert 80 < len(want) < 200
     assert kept(spark, texts) == want
+
+
+def test_a_pair_of_near_copies_is_given_once(spark, monkeypatch):
+    """Near copies share many shingles; all pairs of their buckets are given, each by one bucket only."""
+    rng = np.random.default_rng(11)
+    base, rows = [f"w{k}" for k in range(90)], []
+    for i in range(40):
+        words = list(base)
+        words[int(rng.integers(90))] = f"x{i}"
+        rows.append((i, " ".join(words)))
+    none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    n, prefix, _, odd = simhash.prefixes(pa.array([t for _, t in rows], pa.string()), *none, 0.8)
+    table = [(i, int(n[i]), prefix[i], i, odd[:, i].view(np.int64).tolist()) for i in range(40)]
+    texts = spark.createDataFrame(table, "th long, n int, prefix binary, root long, odds array<long>")
+    at = simhash.index(texts).join(texts.select("th", "root", "odds"), "th")
+    large = at.groupBy("key").agg(F.count("*").alias("c")).where("c > 4096")
+    made, real = [], DataFrame.distinct
+    monkeypatch.setattr(DataFrame, "distinct", lambda df: made.append(df.count()) or real(df))
+    got = {(r.a, r.b) for r in simhash.prefix_pairs(at, large, 0.8, None).collect()}
+    sets = [np.frombuffer(x, np.uint64) for x in simhash.shingle_sets(pa.array([t for _, t in rows], pa.string()))]
+    alike = {(i, j) for i in range(40) for j in range(i + 1, 40) if simhash.similarity(sets[i], sets[j]) >= 0.8}
+    assert alike and alike <= got
+    assert made[0] < 1.2 * len(got)
